@@ -32,16 +32,25 @@ def with_group_total(df: DataFrame, keys: Sequence[str], value: Column, out: str
 
 def with_dense_rank_desc(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Add the dense rank of ``value``, largest first, within each group. NULL values get NULL."""
+    return _with_rank(df, keys, value, out, F.lit(1))
+
+
+def with_rank_desc(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Add the rank of ``value``, largest first, ties sharing the smallest rank. NULL values get NULL."""
+    return _with_rank(df, keys, value, out, F.count(F.lit(1)))
+
+
+def _with_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, weight: Column) -> DataFrame:
     keys = list(keys)
-    values = df.select(*keys, value).where(F.col(value).isNotNull()).distinct().withColumn("_b", value_bucket(F.col(value)))
-    before = (values.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_before", F.coalesce(
-                  F.sum("_n").over(W.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)),
-                  F.lit(0)))
-              .drop("_n"))
-    local = values.withColumn("_r", F.dense_rank().over(W.partitionBy(*keys, "_b").orderBy(F.desc(value))))
-    ranks = (local.join(before, [*keys, "_b"])
-             .select(*keys, value, (F.col("_r") + F.col("_before")).cast("int").alias(out)))
+    values = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(weight.alias("_w"))
+              .withColumn("_b", value_bucket(F.col(value))))
+    higher_buckets = W.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    before = (values.groupBy(*keys, "_b").agg(F.sum("_w").alias("_n"))
+              .select(*keys, "_b", F.coalesce(F.sum("_n").over(higher_buckets), F.lit(0)).alias("_before")))
+    higher_values = W.partitionBy(*keys, "_b").orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("_w").over(higher_values), F.lit(0))
+    ranks = (values.withColumn("_inside", inside).join(before, [*keys, "_b"])
+             .select(*keys, value, (F.col("_inside") + F.col("_before") + 1).cast("int").alias(out)))
     return df.join(ranks, [*keys, value], "left")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules, scalar as S
-from .grouped import top_per_group
+from .grouped import top_per_group, with_rank_desc
 from .scoring import min_max
 
 
@@ -195,12 +195,7 @@ def growth_potential(kpis: DataFrame, rule_table: DataFrame, weights: Mapping[st
     score = (w["low_attachment"] * F.col("low_attachment_score") + w["order_volume"] * F.col("order_volume_score")
              + w["assoc_lift"] * F.col("assoc_lift_score"))
     df = df.withColumn("potential_score", F.round(score, 4)).drop("_low", "_volume")
-    # Rank with ties sharing the smallest: one more than the number of branches with a higher score.
-    counts = df.groupBy("potential_score").agg(F.count(F.lit(1)).alias("_n"))
-    above = (counts.alias("x").join(counts.alias("y"), F.col("y.potential_score") > F.col("x.potential_score"), "left")
-             .groupBy(F.col("x.potential_score").alias("potential_score"))
-             .agg((F.coalesce(F.sum("y._n"), F.lit(0)) + 1).cast("int").alias("potential_rank")))
-    return df.join(above, "potential_score").select(
+    return with_rank_desc(df, [], "potential_score", "potential_rank").select(
         *kpis.columns, "low_attachment_score", "order_volume_score", "avg_lift", "assoc_lift_score", "potential_score",
         "potential_rank", "top_bundle_rule")
 
