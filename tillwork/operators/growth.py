@@ -143,7 +143,7 @@ def _mine(base: DataFrame, total: Column | None, sized: DataFrame | None, is_tot
     # Consequents are the non-empty subsets of an item set's target members that leave an antecedent. Each of these
     # subsets is a frequent set itself, so their number never exceeds the number of sets found.
     drinks = F.filter("items", target)
-    picks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size(drinks)) - 1)
+    picks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(drinks)) - 1).cast("int"))
     split = (sets.where(F.size("items") >= 2).withColumn("_drinks", drinks).where(F.size("_drinks") > 0)
              .withColumn("_mask", F.explode(picks))
              .withColumn("_cons", F.filter("_drinks", lambda i, k: F.getbit(F.col("_mask"), k) == 1))

@@ -108,7 +108,7 @@ def _branch_of_user() -> Column:
 def shifts(spark: SparkSession, d: str) -> DataFrame:
     """Punches from the non-purchase events: start at ts, length value/10 hours."""
     hours = F.col("value") / F.lit(10.0)
-    end = F.timestampadd("SECOND", F.floor(hours * 3600).cast("int"), F.date_trunc("second", F.col("ts").cast("timestamp")))
+    end = F.timestamp_add("SECOND", F.floor(hours * 3600).cast("int"), F.date_trunc("second", F.col("ts").cast("timestamp")))
     return (table(spark, d, "events").where(F.col("event_type") != "purchase")
             .select(F.col("user_id").cast("string").alias("emp_id"),
                     F.concat(F.lit("Person_"), F.col("user_id").cast("string")).alias("name"),
