@@ -42,6 +42,13 @@ def ratio_or_value(x: Column, y: Column) -> Column:
     return x.cast("double") / F.when(d == 0, F.lit(1.0)).otherwise(d)
 
 
+def round_to(c: Column | str, digits: int) -> Column:
+    """Round a double to a number of digits the way NumPy does: scale, round half to even, scale back."""
+    c = F.col(c) if isinstance(c, str) else c
+    scale = F.lit(float(10 ** digits))
+    return F.rint(c.cast("double") * scale) / scale
+
+
 def money(c: Column) -> Column:
     """Exact money for sums, independent of task order."""
     return c.cast("decimal(18,2)")

@@ -59,8 +59,8 @@ def reconcile(totals: DataFrame, notes: Mapping[tuple[str, str], str] = RECONCIL
     variance = F.abs(F.col("a") - F.col("b")) / F.greatest(F.col("a"), F.lit(1.0))
     return (wide.select("branch", F.inline(rows)).where(F.col("a").isNotNull() & F.col("b").isNotNull())
             .select("branch", "source_a", "source_b", F.lit("total_revenue").alias("metric"),
-                    F.round("a", 2).alias("value_a"), F.round("b", 2).alias("value_b"),
-                    F.round(variance, 4).alias("variance_pct"), (variance <= tolerance).alias("is_within_tolerance"), "note"))
+                    S.round_to("a", 2).alias("value_a"), S.round_to("b", 2).alias("value_b"),
+                    S.round_to(variance, 4).alias("variance_pct"), (variance <= tolerance).alias("is_within_tolerance"), "note"))
 
 
 def source_totals(monthly: DataFrame, menu: DataFrame, items: DataFrame) -> DataFrame:

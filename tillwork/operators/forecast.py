@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import arrays, rules
+from ..functions import arrays, rules, scalar as S
 
 BASE, SENSITIVE = "base", "surge_sensitive"
 
@@ -132,7 +132,7 @@ def ensemble(monthly: DataFrame, anomaly_rules: Sequence[rules.AnomalyRule] = ru
         most = facts.agg(F.max("n_all")).scalar()
         facts = facts.withColumn("is_partial", F.col("n_all") < most)
     df = fits.join(facts, "branch").join(refs, "branch", "left")
-    full = F.round("vol_full", 4)
+    full = S.round_to("vol_full", 4)
     clean_vol = F.max(F.when(F.col("scenario") == BASE, F.col("vol_series"))).over(W.partitionBy("branch"))
     df = df.withColumn("vol", F.when((F.col("scenario") != BASE) & (full > 0), full).otherwise(clean_vol))
     df = df.withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
@@ -179,11 +179,11 @@ def ensemble(monthly: DataFrame, anomaly_rules: Sequence[rules.AnomalyRule] = ru
         F.when(F.col("value") > 2.0 * F.col("clean_max"), F.format_string("WARN: forecast above 2.0× historical max (%,.0f)", "clean_max"))))
     out = [
         F.col("branch"), F.col("scenario"), F.col("p").alias("forecast_period"), (F.col("p") == 1).alias("is_primary"),
-        month_label(F.col("last_t") + F.col("p")).alias("forecast_month"), F.round("value", 2).alias("demand_index_forecast"),
-        F.round("change", 4).alias("expected_change_vs_last_clean_month"), F.round("low", 2).alias("relative_band_low"),
-        F.round("high", 2).alias("relative_band_high"), F.round("width", 4).alias("band_width_pct"),
-        F.round("naive", 2).alias("naive_estimate"), F.round("wma3", 2).alias("wma3_estimate"),
-        F.round("linear", 2).alias("linear_estimate"), F.round("similar", 2).alias("similarity_estimate"),
+        month_label(F.col("last_t") + F.col("p")).alias("forecast_month"), S.round_to("value", 2).alias("demand_index_forecast"),
+        S.round_to("change", 4).alias("expected_change_vs_last_clean_month"), S.round_to("low", 2).alias("relative_band_low"),
+        S.round_to("high", 2).alias("relative_band_high"), S.round_to("width", 4).alias("band_width_pct"),
+        S.round_to("naive", 2).alias("naive_estimate"), S.round_to("wma3", 2).alias("wma3_estimate"),
+        S.round_to("linear", 2).alias("linear_estimate"), S.round_to("similar", 2).alias("similarity_estimate"),
         F.lit("ensemble_median").alias("method"), F.col("confidence").alias("confidence_level"),
         F.col("score").alias("forecast_stability_score"), F.col("label").alias("forecast_stability_label"),
         F.col("s_qty").alias("stability_data_qty"), F.col("s_vol").alias("stability_volatility"),
@@ -210,12 +210,12 @@ def backtest(monthly: DataFrame, holdout: int = 1, similar: Mapping[str, str] |
     joined = made.join(actual, ["branch", "forecast_period"])
 
     def error(column: str) -> Column:
-        return F.round(F.avg(F.try_divide(F.abs(F.col(column) - F.col("actual")), F.col("actual"))), 6)
+        return S.round_to(F.avg(F.try_divide(F.abs(F.col(column) - F.col("actual")), F.col("actual"))), 6)
 
     return joined.groupBy("branch").agg(
         F.count(F.lit(1)).alias("n_holdout"), error("demand_index_forecast").alias("mape_ensemble"),
         error("naive_estimate").alias("mape_naive"), error("wma3_estimate").alias("mape_wma3"), error("linear_estimate").alias("mape_linear"),
-        F.round(F.avg(F.col("actual").between(F.col("relative_band_low"), F.col("relative_band_high")).cast("double")), 6).alias("band_coverage"))
+        S.round_to(F.avg(F.col("actual").between(F.col("relative_band_low"), F.col("relative_band_high")).cast("double")), 6).alias("band_coverage"))
 
 
 def run_metadata(forecast: DataFrame) -> DataFrame:

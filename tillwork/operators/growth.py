@@ -18,10 +18,10 @@ def attach_kpis(baskets: DataFrame, target) -> DataFrame:
     """
     hit = F.coalesce(F.exists("items_list", target), F.lit(False))
     rates = (baskets.groupBy("branch").agg(F.count(F.lit(1)).alias("total_orders"), F.count_if(hit).alias("beverage_orders"))
-             .withColumn("beverage_attachment_rate", F.round(S.ratio(F.col("beverage_orders"), F.col("total_orders")), 4)))
+             .withColumn("beverage_attachment_rate", S.round_to(S.ratio(F.col("beverage_orders"), F.col("total_orders")), 4)))
     best = rates.agg(F.max("beverage_attachment_rate")).scalar()
-    return (rates.withColumn("best_branch_rate", F.round(best, 4))
-            .withColumn("beverage_gap_to_best", F.round(F.col("best_branch_rate") - F.col("beverage_attachment_rate"), 4)))
+    return (rates.withColumn("best_branch_rate", S.round_to(best, 4))
+            .withColumn("beverage_gap_to_best", S.round_to(F.col("best_branch_rate") - F.col("beverage_attachment_rate"), 4)))
 
 
 def revenue_share(items: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def revenue_share(items: DataFrame) -> DataFrame:
     amount = S.money(F.col("amount"))
     return (items.groupBy("branch").agg(F.sum(amount).cast("double").alias("total_amount"),
                                         F.coalesce(F.sum(F.when(drink, amount)).cast("double"), F.lit(0.0)).alias("bev_amount"))
-            .withColumn("bev_revenue_share", F.round(S.ratio(F.col("bev_amount"), F.col("total_amount")), 4)))
+            .withColumn("bev_revenue_share", S.round_to(S.ratio(F.col("bev_amount"), F.col("total_amount")), 4)))
 
 
 def merge_kpis(attach: DataFrame, revenue: DataFrame) -> DataFrame:
@@ -84,8 +84,8 @@ def pair_rules(baskets: DataFrame, target, top_k: int | None = 10, narrow: int =
 def _rule_metrics(rows: DataFrame, top_k: int | None) -> DataFrame:
     n = {c: F.col(c).cast("double") for c in ("ab", "a", "b", "baskets")}
     result = rows.select("branch", "is_total", F.col("item_a").alias("antecedents"), F.col("item_b").alias("consequents"),
-                         F.round(n["ab"] / n["baskets"], 5).alias("support"), F.round(n["ab"] / n["a"], 4).alias("confidence"),
-                         F.round((n["ab"] / n["a"]) / (n["b"] / n["baskets"]), 4).alias("lift"))
+                         S.round_to(n["ab"] / n["baskets"], 5).alias("support"), S.round_to(n["ab"] / n["a"], 4).alias("confidence"),
+                         S.round_to((n["ab"] / n["a"]) / (n["b"] / n["baskets"]), 4).alias("lift"))
     if top_k is None:
         return result
     order = [F.desc("lift"), F.desc("confidence"), F.asc("antecedents"), F.asc("consequents")]
@@ -194,7 +194,7 @@ def growth_potential(kpis: DataFrame, rule_table: DataFrame, weights: Mapping[st
     df = min_max(df, {"_low": "low_attachment_score", "_volume": "order_volume_score", "avg_lift": "assoc_lift_score"})
     score = (w["low_attachment"] * F.col("low_attachment_score") + w["order_volume"] * F.col("order_volume_score")
              + w["assoc_lift"] * F.col("assoc_lift_score"))
-    df = df.withColumn("potential_score", F.round(score, 4)).drop("_low", "_volume")
+    df = df.withColumn("potential_score", S.round_to(score, 4)).drop("_low", "_volume")
     return with_rank_desc(df, [], "potential_score", "potential_rank").select(
         *kpis.columns, "low_attachment_score", "order_volume_score", "avg_lift", "assoc_lift_score", "potential_score",
         "potential_rank", "top_bundle_rule")

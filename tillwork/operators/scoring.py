@@ -130,7 +130,7 @@ def feasibility_scores(kpis: DataFrame, weights: Mapping[str, float] = rules.FEA
             "delivery": "norm_delivery", "ops_eff": "norm_ops_eff"}
     contributions = {name: F.col(part[name]) * F.lit(w) for name, w in weights.items()}
     score = sum(list(contributions.values())[1:], list(contributions.values())[0])
-    df = (df.withColumn("feasibility_score", F.round(score, 4)).withColumn("score_tier", S.tier(F.col("feasibility_score")))
+    df = (df.withColumn("feasibility_score", S.round_to(score, 4)).withColumn("score_tier", S.tier(F.col("feasibility_score")))
           .withColumn("top_drivers", arrays.top_names(contributions, 2)))
     return df.select("branch", "avg_monthly_revenue", "recent_growth_rate", "revenue_volatility", "avg_order_value",
                      "delivery_share", "revenue_per_hour", "norm_growth", "norm_revenue", "norm_volatility",
@@ -140,7 +140,7 @@ def feasibility_scores(kpis: DataFrame, weights: Mapping[str, float] = rules.FEA
 def region_scores(scores: DataFrame, zones: Mapping[str, str] | DataFrame) -> DataFrame:
     """Mean score per region; branches without a region count as 'unknown'."""
     return (with_region(scores, zones).groupBy("region")
-            .agg(F.round(F.avg(F.col("feasibility_score").cast("decimal(10,4)")).cast("double"), 4).alias("region_score")))
+            .agg(S.round_to(F.avg(F.col("feasibility_score").cast("decimal(10,4)")).cast("double"), 4).alias("region_score")))
 
 
 def with_region(df: DataFrame, zones: Mapping[str, str] | DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def region_decision(scores: DataFrame, kpis: DataFrame, zones: Mapping[str, str]
         return df.agg(F.min_by(F.struct(name, metric, *more), F.struct(-F.col(metric), F.col(name))).alias("v"))
 
     regions = region_scores(scores, zones)
-    growth = kpis.select("branch", F.round(F.col("recent_growth_rate"), 6).alias("growth_rate"))
+    growth = kpis.select("branch", S.round_to(F.col("recent_growth_rate"), 6).alias("growth_rate"))
     zoned = with_region(scores, zones).select("branch", "region", "feasibility_score", "score_tier")
     top_region = best(regions, "region", "region_score")
     in_region = zoned.where(F.col("region") == top_region.select("v.region").scalar())
@@ -208,7 +208,7 @@ def branch_ranking(scores: DataFrame, zones: Mapping[str, str]) -> DataFrame:
 
 
 def growth_summary(kpis: DataFrame, zones: Mapping[str, str]) -> DataFrame:
-    rate, change = F.round("recent_growth_rate", 6), F.round("pct_change_first_last", 4)
+    rate, change = S.round_to("recent_growth_rate", 6), S.round_to("pct_change_first_last", 4)
     rising = F.col("recent_growth_rate") > 0
     text = F.format_string("Sales in %s are %s (growth rate: %+.4f, %+.1f%% first-to-last).", F.initcap("branch"),
                            F.when(rising, "INCREASING").otherwise("DECLINING or FLAT"), rate, change * 100)
@@ -223,14 +223,14 @@ def risk_summary(scores: DataFrame, zones: Mapping[str, str]) -> DataFrame:
     text = F.format_string("%s has %s revenue risk (volatility CV: %.4f, stability: %.4f).", F.initcap("branch"), F.lower(level),
                            "revenue_volatility", 1 - v)
     return with_region(scores, zones).select(
-        "branch", "region", F.round("revenue_volatility", 4).alias("revenue_volatility"), F.round(v, 4).alias("norm_volatility"),
-        level.alias("risk_tier"), F.round(1 - v, 4).alias("stability_score"), text.alias("statement"))
+        "branch", "region", S.round_to("revenue_volatility", 4).alias("revenue_volatility"), S.round_to(v, 4).alias("norm_volatility"),
+        level.alias("risk_tier"), S.round_to(1 - v, 4).alias("stability_score"), text.alias("statement"))
 
 
 def feasibility_explanation(scores: DataFrame, weights: Mapping[str, float] = rules.FEASIBILITY_WEIGHTS) -> DataFrame:
     """Normalised parts of the score, one row per branch and component with its weight."""
     part = {"growth": "norm_growth", "revenue": "norm_revenue", "stability": "stability", "avg_order": "norm_avg_order",
             "delivery": "norm_delivery", "ops_eff": "norm_ops_eff"}
-    rows = F.array(*[F.struct(F.lit(n).alias("component"), F.lit(w).alias("weight"), F.round(part[n], 4).alias("value"))
+    rows = F.array(*[F.struct(F.lit(n).alias("component"), F.lit(w).alias("weight"), S.round_to(part[n], 4).alias("value"))
                      for n, w in weights.items()])
     return scores.select("branch", "feasibility_score", "score_tier", "top_drivers", F.inline(rows))

@@ -38,7 +38,7 @@ def supply_profile(hourly: DataFrame) -> DataFrame:
     """Staffing of each observed (branch, weekday, hour) slot over its dates."""
     n = F.col("active_employees")
     return hourly.groupBy(*SLOT).agg(
-        F.round(F.avg(n), 2).alias("avg_active_employees"), F.median(n).alias("median_active_employees"),
+        S.round_to(F.avg(n), 2).alias("avg_active_employees"), F.median(n).alias("median_active_employees"),
         F.min(n).alias("min_active_employees"), F.max(n).alias("max_active_employees"),
         F.count(F.lit(1)).alias("slot_observations"), F.count_distinct("date").alias("observed_days"))
 
@@ -148,12 +148,12 @@ def demand_multipliers(menu: DataFrame, orders: DataFrame, monthly: DataFrame, b
         "branch", "avg_sales_total_customers", "avg_sales_delivery_customers", "avg_sales_delivery_share", "delivery_customer_profiles",
         "delivery_num_orders", "observed_profile_share", F.col("_p.source").alias("share_source"), F.col("_p.confidence").alias("confidence"),
         F.concat_ws("; ", F.when(F.col("_p.note") != "", F.col("_p.note")), more).alias("note"), "recent_revenue_month", "recent_revenue",
-        F.round("_rev", 6).alias("recent_revenue_share_staffed_branches"), F.round("_proxy", 6).alias("overlap_proxy_order_share"),
-        F.round("_gap", 4).alias("sales_to_proxy_gap_ratio"), F.round("_up", 4).alias("sales_calibration_multiplier"),
-        F.round("_low", 6).alias("delivery_share_low"), F.round("_p.base", 6).alias("delivery_share_base"),
-        F.round("_high", 6).alias("delivery_share_high"), F.round(1 / F.col("_high") * F.col("_up"), 4).alias("multiplier_low_demand"),
-        F.round(1 / F.col("_p.base") * F.col("_up"), 4).alias("multiplier_base_demand"),
-        F.round(1 / F.col("_low") * F.col("_up"), 4).alias("multiplier_high_demand"))
+        S.round_to("_rev", 6).alias("recent_revenue_share_staffed_branches"), S.round_to("_proxy", 6).alias("overlap_proxy_order_share"),
+        S.round_to("_gap", 4).alias("sales_to_proxy_gap_ratio"), S.round_to("_up", 4).alias("sales_calibration_multiplier"),
+        S.round_to("_low", 6).alias("delivery_share_low"), S.round_to("_p.base", 6).alias("delivery_share_base"),
+        S.round_to("_high", 6).alias("delivery_share_high"), S.round_to(1 / F.col("_high") * F.col("_up"), 4).alias("multiplier_low_demand"),
+        S.round_to(1 / F.col("_p.base") * F.col("_up"), 4).alias("multiplier_base_demand"),
+        S.round_to(1 / F.col("_low") * F.col("_up"), 4).alias("multiplier_high_demand"))
 
 
 def require_unique(df: DataFrame, *keys: str) -> DataFrame:
@@ -169,9 +169,9 @@ def total_demand(shape: DataFrame, multipliers: DataFrame, check: bool = False)
         require_unique(multipliers, "branch")
     df = shape.join(multipliers, "branch", "left")
     delivered = F.col("branch_total_num_orders_in_overlap") * F.col("shape_weight_rows")
-    df = df.withColumn("_d", delivered).withColumn("delivery_orders_est", F.round("_d", 4))
+    df = df.withColumn("_d", delivered).withColumn("delivery_orders_est", S.round_to("_d", 4))
     for case in ("low", "base", "high"):
-        df = df.withColumn(f"total_orders_est_{case}", F.round(F.col("_d") * F.col(f"multiplier_{case}_demand"), 4))
+        df = df.withColumn(f"total_orders_est_{case}", S.round_to(F.col("_d") * F.col(f"multiplier_{case}_demand"), 4))
     return df.drop("_d")
 
 
@@ -212,8 +212,8 @@ def productivity_targets(profile: DataFrame, demand: DataFrame) -> DataFrame:
             .when(low & (F.col("slot_count") < rules.LOW_CONFIDENCE_MIN_SLOTS), None)
             .when(low, F.least(F.col("target"), overall * rules.LOW_CONFIDENCE_CAP)).otherwise(F.col("target")))
     return df.select(F.col("b").alias("branch"), F.col("s").alias("shift_bucket"), "slot_count",
-                     F.round(F.coalesce("med", F.lit(0.0)), 4).alias("median_observed_orders_per_employee"),
-                     F.round(kept, 4).alias("target_orders_per_employee"), F.col("l").alias("reference_level"), "confidence")
+                     S.round_to(F.coalesce("med", F.lit(0.0)), 4).alias("median_observed_orders_per_employee"),
+                     S.round_to(kept, 4).alias("target_orders_per_employee"), F.col("l").alias("reference_level"), "confidence")
 
 
 def required_staff(profile: DataFrame, demand: DataFrame, targets: DataFrame) -> DataFrame:
@@ -230,12 +230,12 @@ def required_staff(profile: DataFrame, demand: DataFrame, targets: DataFrame) ->
                 "total_orders_est_base", "total_orders_est_high"]
     df = (profile.join(demand, SLOT, "left").na.fill(0, measures).withColumn("shift_bucket", S.hour_shift(F.col("hour")))
           .join(shift, ["branch", "shift_bucket"], "left").join(branch, "branch", "left")
-          .withColumn("target_orders_per_employee", F.round(F.coalesce("_ts", "_tb", overall), 4)).drop("_ts", "_tb"))
+          .withColumn("target_orders_per_employee", S.round_to(F.coalesce("_ts", "_tb", overall), 4)).drop("_ts", "_tb"))
     target = F.col("target_orders_per_employee")
     for case in ("low", "base", "high"):
         need = F.when((F.col(f"total_orders_est_{case}") > 0) & (target > 0), F.ceil(F.col(f"total_orders_est_{case}") / target)).otherwise(0)
         df = df.withColumn(f"required_employees_{case}", F.greatest(F.lit(1), need.cast("int")))
-        df = df.withColumn(f"gap_{case}", F.round(F.col(f"required_employees_{case}") - F.col("avg_active_employees"), 2))
+        df = df.withColumn(f"gap_{case}", S.round_to(F.col(f"required_employees_{case}") - F.col("avg_active_employees"), 2))
     status = F.when(F.col("gap_base") >= 1.0, "understaffed").when(F.col("gap_base") <= -1.0, "overstaffed").otherwise("balanced")
     return df.withColumn("status", status)
 
@@ -265,8 +265,8 @@ def findings(gaps: DataFrame, multipliers: DataFrame) -> DataFrame:
     per_branch = gaps.groupBy("branch").agg(
         F.count(F.lit(1)).alias("analysis_slots"), number("understaffed").alias("understaffed_slots"), number("balanced").alias("balanced_slots"),
         number("overstaffed").alias("overstaffed_slots"),
-        F.round(F.avg(F.col("avg_active_employees").cast("decimal(12,2)")).cast("double"), 2).alias("avg_active_employees_across_slots"),
-        F.round(F.avg("required_employees_base"), 2).alias("avg_required_employees_base"),
+        S.round_to(F.avg(F.col("avg_active_employees").cast("decimal(12,2)")).cast("double"), 2).alias("avg_active_employees_across_slots"),
+        S.round_to(F.avg("required_employees_base"), 2).alias("avg_required_employees_base"),
         slots("understaffed", -1).alias("_u"), slots("overstaffed", 1).alias("_o"))
     advice = F.when(F.col("understaffed_slots") > 0, ADVICE_UNDER).when(F.col("overstaffed_slots") > 0, ADVICE_OVER).otherwise(ADVICE_BALANCED)
     trust = multipliers.select("branch", F.col("confidence").alias("demand_confidence"), "share_source")
@@ -280,12 +280,12 @@ def findings(gaps: DataFrame, multipliers: DataFrame) -> DataFrame:
 
 def summary_view(gaps: DataFrame, found: DataFrame) -> DataFrame:
     def mean(c: str) -> Column:
-        return F.round(F.avg(F.col(c).cast("decimal(12,2)")).cast("double"), 2)
+        return S.round_to(F.avg(F.col(c).cast("decimal(12,2)")).cast("double"), 2)
 
     per_branch = gaps.groupBy("branch").agg(
         F.count(F.lit(1)).alias("staffed_slots"), mean("avg_active_employees").alias("avg_active_employees"),
         mean("required_employees_base").alias("avg_required_employees"), mean("gap_base").alias("avg_gap"),
-        F.max("required_employees_base").alias("peak_required_employees"), F.round(F.max("gap_base"), 2).alias("peak_gap"))
+        F.max("required_employees_base").alias("peak_required_employees"), S.round_to(F.max("gap_base"), 2).alias("peak_gap"))
     kept = found.select("branch", "demand_confidence", "understaffed_slots", "balanced_slots", "overstaffed_slots",
                         "worst_understaffed_slot", "worst_overstaffed_slot", "recommendation")
     return per_branch.join(kept, "branch", "left")

@@ -20,8 +20,8 @@ def channel_shares(menu: DataFrame) -> DataFrame:
     """Average with fallback, and the channel's shares of its branch's sales and customers."""
     totals = menu.groupBy("branch").agg(F.sum("sales").alias("_s"), F.sum("customers").alias("_c"))
     return (menu.join(totals, "branch")
-            .withColumn("sales_share_within_branch", F.round(S.ratio_or_value(F.col("sales"), F.col("_s")), 6))
-            .withColumn("customer_share_within_branch", F.round(S.ratio_or_value(F.col("customers"), F.col("_c")), 6))
+            .withColumn("sales_share_within_branch", S.round_to(S.ratio_or_value(F.col("sales"), F.col("_s")), 6))
+            .withColumn("customer_share_within_branch", S.round_to(S.ratio_or_value(F.col("customers"), F.col("_c")), 6))
             .drop("_s", "_c"))
 
 
@@ -36,7 +36,7 @@ def rank_items(items: DataFrame) -> DataFrame:
     paid = F.when(~F.col("is_modifier"), F.col("amount"))
     df = with_group_total(items, ["branch"], F.when(~F.col("is_modifier"), S.money(F.col("amount"))), "_total")
     df = df.withColumn("_paid", paid)
-    df = df.withColumn("item_sales_share_within_branch", F.round(S.ratio_or_value(F.col("_paid"), F.col("_total")), 6))
+    df = df.withColumn("item_sales_share_within_branch", S.round_to(S.ratio_or_value(F.col("_paid"), F.col("_total")), 6))
     df = with_dense_rank_desc(df, ["branch"], "_paid", "item_rank_within_branch")
     df = with_dense_rank_desc(df, ["branch", "division"], "_paid", "item_rank_within_division")
     return df.drop("_paid", "_total")
@@ -48,7 +48,7 @@ def derive_customers(customers: DataFrame) -> DataFrame:
     return (customers.withColumn("is_zero_value_customer", F.col("total") == 0)
             .withColumn("recency_days", S.elapsed_days(latest, F.col("last_order")))
             .withColumn("customer_lifespan_days", S.elapsed_days(F.col("last_order"), F.col("first_order")))
-            .withColumn("avg_order_value", F.round(S.ratio_or_value(F.col("total"), F.col("num_orders")), 2))
+            .withColumn("avg_order_value", S.round_to(S.ratio_or_value(F.col("total"), F.col("num_orders")), 2))
             .withColumn("is_repeat_customer", F.col("num_orders") > 1))
 
 
@@ -59,7 +59,7 @@ def flag_shifts(punches: DataFrame, short: float = rules.SHIFT_TOO_SHORT, long:
     return (punches.withColumn("shift_start_hour", hour).withColumn("shift_type", S.punch_shift(hour))
             .withColumn("is_anomalous", anomalous)
             .withColumn("is_valid_shift", ~anomalous & F.col("duration_hours").isNotNull())
-            .withColumn("duration_hours", F.round("duration_hours", 2))
+            .withColumn("duration_hours", S.round_to("duration_hours", 2))
             .withColumn("day_of_week", S.day_name(F.col("date")))
             .withColumn("weekend_flag", F.coalesce(S.is_weekend(F.col("day_of_week")), F.lit(False))))
 

@@ -21,7 +21,7 @@ def is_target(item: Column) -> Column:
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: S.round_to(c, digits) for c in columns})
 
 
 # ---------------------------------------------------------------- pairs
@@ -343,7 +343,7 @@ def risk_summary(spark, d):
 
 def forecast_anomalies(spark, d):
     df = FC.anomalies(star.monthly_sales(spark, d), star.ANOMALIES)
-    return df.select("branch", "date", "t", "y", F.round("growth", 6).alias("growth"), "anomaly", "weight")
+    return df.select("branch", "date", "t", "y", S.round_to("growth", 6).alias("growth"), "anomaly", "weight")
 
 
 def forecast_scenarios(spark, d):
@@ -470,7 +470,7 @@ def report_attendance(spark, d):
         "user_id", "kind", F.lit(0).cast("long").alias("n"), "line")
     placed = _report(spark, body.unionByName(head), "punches.csv", F.floor(F.col("user_id") / 10), F.col("user_id"), F.col("kind"), F.col("n"))
     return R.attendance(placed).groupBy("emp_id", "branch", "date").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("duration_hours").cast("decimal(18,6)")).cast("double"), 3).alias("hours"))
+        F.count(F.lit(1)).alias("n"), S.round_to(F.sum(F.col("duration_hours").cast("decimal(18,6)")).cast("double"), 3).alias("hours"))
 
 
 def _document_lines(spark, d):
