@@ -284,6 +284,22 @@ PARTS: dict[str, str] = {
 }
 
 
+def half_even(sql: str) -> str:
+    """``round(x, n)`` as rounding half to even, the rule of the library; plain SQL rounds a half away from zero."""
+    at = sql.rfind("round(")
+    while at >= 0:
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        x, _, n = sql[at + 6:end - 1].rpartition(",")
+        scaled = f"(({x}) * 1e{n.strip()})"
+        even = f"(CASE WHEN abs{scaled} % 1 = 0.5 THEN 2 * ROUND({scaled} / 2) ELSE ROUND({scaled}) END / 1e{n.strip()})"
+        sql = sql[:at] + even + sql[end:]
+        at = sql.rfind("round(", 0, at)
+    return sql
+
+
 def with_parts(body: str) -> str:
     """The statement preceded by every part it uses, directly or through other parts."""
     order: list[str] = []
@@ -483,4 +499,4 @@ BODIES: dict[str, str] = {
     "number_parse": """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 OR o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS parsed FROM orders""",
 }
 
-SQL: dict[str, str] = {name: with_parts(body) for name, body in BODIES.items()}
+SQL: dict[str, str] = {name: half_even(with_parts(body)) for name, body in BODIES.items()}
