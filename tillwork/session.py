@@ -32,11 +32,7 @@ def build_session(app: str = "tillwork", cores: int | str = "*", **conf: str) ->
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables: the session's own setting, else a local one (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = os.path.join(tempfile.gettempdir(), "tillwork-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tillwork-checkpoints")
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
