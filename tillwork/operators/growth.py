@@ -16,7 +16,7 @@ def attach_kpis(baskets: DataFrame, target) -> DataFrame:
 
     ``target`` maps an item column to a boolean column. The rate is rounded before the best rate and the gap are taken.
     """
-    hit = F.coalesce(F.exists("items_list", target), F.lit(False))
+    hit = F.coalesce(F.exists("items_list", lambda i: target(i)), F.lit(False))
     rates = (baskets.groupBy("branch").agg(F.count(F.lit(1)).alias("total_orders"), F.count_if(hit).alias("beverage_orders"))
              .withColumn("beverage_attachment_rate", S.round_to(S.ratio(F.col("beverage_orders"), F.col("total_orders")), 4)))
     best = rates.agg(F.max("beverage_attachment_rate")).scalar()
@@ -45,7 +45,7 @@ def _target_pairs(baskets: DataFrame, target, narrow: int) -> DataFrame:
     """
     split = baskets.select("branch", F.array_distinct("items_list").alias("all")).select(
         "branch", F.size("all").alias("n"), F.filter("all", lambda i: ~target(i)).alias("food"),
-        F.filter("all", target).alias("drink"))
+        F.filter("all", lambda i: target(i)).alias("drink"))
 
     def combine(rows: DataFrame, spread: bool) -> DataFrame:
         foods = rows.select("branch", "drink", F.explode("food").alias("item_a"))
@@ -142,7 +142,7 @@ def _mine(base: DataFrame, total: Column | None, sized: DataFrame | None, is_tot
     sets = sets.where(F.col("n").cast("double") / F.col("baskets") >= min_support)
     # Consequents are the non-empty subsets of an item set's target members that leave an antecedent. Each of these
     # subsets is a frequent set itself, so their number never exceeds the number of sets found.
-    drinks = F.filter("items", target)
+    drinks = F.filter("items", lambda i: target(i))
     picks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(drinks)) - 1).cast("int"))
     split = (sets.where(F.size("items") >= 2).withColumn("_drinks", drinks).where(F.size("_drinks") > 0)
              .withColumn("_mask", F.explode(picks))
