@@ -12,12 +12,12 @@ from . import rules
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def parse_number(c: Column) -> Column:
     """Number with thousands commas or quotes; '-' and junk give NULL."""
-    cleaned = strip(F.regexp_replace(c, '[",]', ""))
+    cleaned = strip(F.translate(c, '",', ""))
     return F.when(cleaned.rlike(rules.NUMBER), cleaned.try_cast("double"))
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules, scalar as S
-from .grouped import top_per_group, with_rank_desc
+from .grouped import top_per_group
 from .scoring import min_max
 
 
@@ -43,9 +43,10 @@ def _target_pairs(baskets: DataFrame, target, narrow: int) -> DataFrame:
 
     A basket is unfolded item by item; one with more than ``narrow`` items is spread over tasks between the two steps.
     """
-    split = baskets.select("branch", F.array_distinct("items_list").alias("all")).select(
-        "branch", F.size("all").alias("n"), F.filter("all", lambda i: ~target(i)).alias("food"),
-        F.filter("all", lambda i: target(i)).alias("drink"))
+    # Each item is classified once; the two lists are then cut from the tagged one.
+    tag = F.transform(F.array_distinct("items_list"), lambda i: F.struct(i.alias("i"), target(i).alias("t")))
+    split = baskets.select("branch", tag.alias("all")).select(
+        "branch", F.size("all").alias("n"), F.filter("all", lambda x: ~x["t"])["i"].alias("food"), F.filter("all", lambda x: x["t"])["i"].alias("drink"))
 
     def combine(rows: DataFrame, spread: bool) -> DataFrame:
         foods = rows.select("branch", "drink", F.explode("food").alias("item_a"))
@@ -195,7 +196,9 @@ def growth_potential(kpis: DataFrame, rule_table: DataFrame, weights: Mapping[st
     score = (w["low_attachment"] * F.col("low_attachment_score") + w["order_volume"] * F.col("order_volume_score")
              + w["assoc_lift"] * F.col("assoc_lift_score"))
     df = df.withColumn("potential_score", S.round_to(score, 4)).drop("_low", "_volume")
-    return with_rank_desc(df, [], "potential_score", "potential_rank").select(
+    # One row per branch, so one task ranks them all.
+    position = F.rank().over(W.orderBy(F.desc("potential_score"))).cast("int")
+    return df.withColumn("potential_rank", position).select(
         *kpis.columns, "low_attachment_score", "order_volume_score", "avg_lift", "assoc_lift_score", "potential_score",
         "potential_rank", "top_bundle_rule")
 

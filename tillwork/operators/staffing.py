@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -298,19 +298,34 @@ def top_gap_slots(gaps: DataFrame, n: int = 10) -> DataFrame:
         *SLOT, "avg_active_employees", "required_employees_base", "delivery_orders_est", "total_orders_est_base", "gap_base", "status")
 
 
-def staffing_tables(shifts: DataFrame, menu: DataFrame, orders: DataFrame, monthly: DataFrame, stage=lambda df, name: df) -> Mapping[str, DataFrame]:
-    """The whole flow. ``stage`` may store an intermediate table that several later ones read."""
+def staffing_tables(shifts: DataFrame, menu: DataFrame, orders: DataFrame, monthly: DataFrame, stage=lambda df, name: df,
+                    wanted: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The whole flow, or the ``wanted`` tables of it. ``stage`` may store the tables that several others read."""
     window = observation_window(shifts)
-    hourly = stage(hourly_supply(shifts), "staffing_supply_hourly")
-    profile = stage(supply_profile(hourly), "supply_profile")
-    shape = demand_shape(orders, profile, window)
-    branches = shifts.where("is_valid_shift").select("branch").where(F.col("branch").isNotNull()).distinct()
-    multipliers = stage(demand_multipliers(menu, orders, monthly, branches, window), "branch_demand_multipliers")
-    demand = stage(total_demand(shape, multipliers), "total_demand_est_hourly")
-    targets = stage(productivity_targets(profile, demand), "target_productivity_reference")
-    gaps = stage(required_staff(profile, demand, targets), "staffing_gap_hourly")
-    found = findings(gaps, multipliers)
-    return {"staffing_supply_hourly": hourly, "supply_profile": profile, "delivery_demand_shape_hourly": shape,
-            "branch_demand_multipliers": multipliers, "target_productivity_reference": targets, "total_demand_est_hourly": demand,
-            "staffing_gap_hourly": gaps, "branch_staffing_findings": found, "branch_summary_view": summary_view(gaps, found),
-            "top_gap_slots": top_gap_slots(gaps)}
+    made: dict[str, DataFrame] = {}
+
+    def branches() -> DataFrame:
+        return shifts.where("is_valid_shift AND branch IS NOT NULL").select("branch").distinct()
+
+    build = {
+        "staffing_supply_hourly": lambda: hourly_supply(shifts),
+        "supply_profile": lambda: supply_profile(get("staffing_supply_hourly")),
+        "delivery_demand_shape_hourly": lambda: demand_shape(orders, get("supply_profile"), window),
+        "branch_demand_multipliers": lambda: demand_multipliers(menu, orders, monthly, branches(), window),
+        "total_demand_est_hourly": lambda: total_demand(get("delivery_demand_shape_hourly"), get("branch_demand_multipliers")),
+        "target_productivity_reference": lambda: productivity_targets(get("supply_profile"), get("total_demand_est_hourly")),
+        "staffing_gap_hourly": lambda: required_staff(get("supply_profile"), get("total_demand_est_hourly"), get("target_productivity_reference")),
+        "branch_staffing_findings": lambda: findings(get("staffing_gap_hourly"), get("branch_demand_multipliers")),
+        "branch_summary_view": lambda: summary_view(get("staffing_gap_hourly"), get("branch_staffing_findings")),
+        "top_gap_slots": lambda: top_gap_slots(get("staffing_gap_hourly")),
+    }
+    shared = {"supply_profile", "branch_demand_multipliers", "total_demand_est_hourly", "target_productivity_reference", "staffing_gap_hourly"}
+    wanted = list(wanted or build)
+
+    def get(name: str) -> DataFrame:
+        if name not in made:
+            df = build[name]()
+            made[name] = stage(df, name) if name in shared and wanted != [name] else df
+        return made[name]
+
+    return {name: get(name) for name in wanted}

@@ -169,9 +169,9 @@ def forward_fill(spark, d):
 # ---------------------------------------------------------------- staffing
 
 def _staffing(spark, d, name: str) -> DataFrame:
-    shifts = stage(_shifts(spark, d), "shifts")
+    shifts = _shifts(spark, d)
     menu = T.channel_shares(star.store_menu(spark, d))
-    return ST.staffing_tables(shifts, menu, stage(star.delivery_orders(spark, d), "orders"), star.store_months(spark, d), stage)[name]
+    return ST.staffing_tables(shifts, menu, star.delivery_orders(spark, d), star.store_months(spark, d), stage, [name])[name]
 
 
 def supply_hourly(spark, d):
@@ -358,7 +358,7 @@ def forecast_estimators(spark, d):
 
 
 def _ensemble(spark, d):
-    return FC.ensemble(star.monthly_sales(spark, d), star.ANOMALIES, star.REFERENCES)
+    return FC.ensemble(stage(star.monthly_sales(spark, d), "monthly"), star.ANOMALIES, star.REFERENCES)
 
 
 def forecast_ensemble(spark, d):
@@ -368,19 +368,20 @@ def forecast_ensemble(spark, d):
 def forecast_short_series(spark, d):
     """The first three months of each branch: too few for a trend of its own, so the reference branch joins in."""
     months = star.monthly_sales(spark, d).where(F.col("date") < F.lit("1995-04-01").cast("date"))
-    return FC.ensemble(months, (), star.REFERENCES).select(
+    return FC.ensemble(stage(months, "monthly"), (), star.REFERENCES).select(
         "branch", "scenario", "forecast_period", "demand_index_forecast", "similarity_estimate", "relative_band_low", "relative_band_high")
 
 
 def forecast_backtest(spark, d):
-    return FC.backtest(star.monthly_sales(spark, d), 3)
+    return FC.backtest(stage(star.monthly_sales(spark, d), "monthly"), 3)
 
 
 # ---------------------------------------------------------------- reports
 
 def _report(spark: SparkSession, rows: DataFrame, name: str, block: Column, *order: Column) -> DataFrame:
     """Rows with a ``line`` column as the placed lines of one report file, cut into blocks."""
-    return rows.select(F.lit(name).alias("path"), F.lit(name).alias("file"), block.alias("block"), F.struct(*order).alias("pos"), "line")
+    pos = order[0] if len(order) == 1 else F.struct(*order)
+    return rows.select(F.lit(name).alias("path"), F.lit(name).alias("file"), block.alias("block"), pos.alias("pos"), "line")
 
 
 def _monthly_report(spark, d):
@@ -403,7 +404,7 @@ def _monthly_report(spark, d):
 
 
 def report_roundtrip(spark, d):
-    return R.monthly_sales(_monthly_report(spark, d))
+    return R.monthly_sales(stage(_monthly_report(spark, d), "monthly_report"))
 
 
 def _detail_report(spark, d):
@@ -413,15 +414,15 @@ def _detail_report(spark, d):
               .join(star.orders(spark, d).select("o_orderkey", "branch"), F.expr("l_orderkey = o_orderkey")))
     price = F.when(F.col("l_linenumber") == 7, F.lit("0.00")).otherwise(F.format_string('"%,.2f"', "l_extendedprice"))
     qty = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-    body = detail.select("o_orderkey", F.lit(3).alias("kind"), F.col("l_linenumber").alias("n"), F.col("p_name").alias("x"),
+    body = detail.select("o_orderkey", F.lit(3).alias("kind"), F.col("l_linenumber").alias("n"),
                          F.format_string(",%.0f,%s,%s,", qty, "p_name", price).alias("line"))
     head = detail.select("o_orderkey", "branch").distinct().select("o_orderkey", F.inline(F.array(
         F.struct(F.lit(1).alias("kind"), F.concat(F.lit("Branch :"), F.col("branch"), F.lit(",,,,")).alias("line")),
         F.struct(F.lit(2).alias("kind"), F.format_string("Person_%d,,,,", "o_orderkey").alias("line")),
         F.struct(F.lit(4).alias("kind"), F.lit("Total :,,,,").alias("line"))))).select(
-        "o_orderkey", "kind", F.lit(0).alias("n"), F.lit("").alias("x"), "line")
+        "o_orderkey", "kind", F.lit(0).alias("n"), "line")
     rows = body.unionByName(head)
-    return _report(spark, rows, "detail.csv", F.floor(F.col("o_orderkey") / 500), F.col("o_orderkey"), F.col("kind"), F.col("n"), F.col("x"))
+    return _report(spark, rows, "detail.csv", F.floor(F.col("o_orderkey") / 500), F.col("o_orderkey") * 1000 + F.col("kind") * 100 + F.col("n"))
 
 
 def report_order_detail(spark, d):
@@ -439,7 +440,7 @@ def report_basket_core(spark, d):
 
 def report_items(spark, d):
     """Item rows written under branch, division and group headers and parsed back."""
-    items = star.items_by_group(spark, d)
+    items = stage(star.items_by_group(spark, d), "items")
     levels = [("branch", ["branch"]), ("division", ["branch", "division"]), ("group", ["branch", "division", "group"])]
     rows = items.select("branch", "division", "group", F.lit(3).alias("level"), "item",
                         F.format_string('%s,,%.0f,"%,.2f"', "item", "qty", "amount").alias("line"))
@@ -452,7 +453,7 @@ def report_items(spark, d):
                                               F.format_string(f"{name.title()}: %s,,,", name).alias("line")))
     rank = F.array_position(F.array(*[F.lit(b) for b in sorted(star.ZONES)]), F.col("branch"))
     placed = _report(spark, rows, "items.csv", rank, F.col("division"), F.col("group"), F.col("level"), F.col("item"))
-    return R.items_by_group(placed).select("branch", "division", "group", "item", "qty", "amount")
+    return R.items_by_group(stage(placed, "items_report")).select("branch", "division", "group", "item", "qty", "amount")
 
 
 def report_attendance(spark, d):
@@ -469,7 +470,7 @@ def report_attendance(spark, d):
         F.struct(F.lit(4).alias("kind"), F.lit(",,,,Total :,99:00:00").alias("line"))))).select(
         "user_id", "kind", F.lit(0).cast("long").alias("n"), "line")
     placed = _report(spark, body.unionByName(head), "punches.csv", F.floor(F.col("user_id") / 10), F.col("user_id"), F.col("kind"), F.col("n"))
-    return R.attendance(placed).groupBy("emp_id", "branch", "date").agg(
+    return R.attendance(stage(placed, "punch_report")).groupBy("emp_id", "branch", "date").agg(
         F.count(F.lit(1)).alias("n"), S.round_to(F.sum(F.col("duration_hours").cast("decimal(18,6)")).cast("double"), 3).alias("hours"))
 
 

@@ -78,40 +78,37 @@ def first_lines(lines: DataFrame, n: int = 5) -> DataFrame:
 
 # ---------------------------------------------------------------- operators over the order of lines
 
-def carry(lines: DataFrame, headers: Mapping[str, tuple[Column, Column]], resets: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+def carry(lines: DataFrame, headers: Mapping[str, tuple[Column, Column]], resets: Mapping[str, Sequence[str]] | None = None,
+          counts: Mapping[str, Column] | None = None) -> DataFrame:
     """Value of the latest header line at or before each line, per name in ``headers`` (is-header test, value).
 
-    ``resets`` lists for a name the headers that clear it: a value older than such a header is dropped.
+    ``resets`` lists for a name the headers that clear it: a value older than such a header is dropped. ``counts`` adds per
+    name the number of lines of the file, up to and including each line, that meet a test.
     """
-    resets = resets or {}
+    resets, counts = resets or {}, counts or {}
     at = F.struct("block", "pos")
-    df = lines
-    for name, (test, value) in headers.items():
-        df = df.withColumn(f"_h_{name}", F.when(test, F.struct(at.alias("at"), value.alias("v"))))
+    df = lines.withColumns({**{f"_h_{n}": F.when(test, F.struct(at.alias("at"), value.alias("v"))) for n, (test, value) in headers.items()},
+                            **{f"_n_{n}": F.when(test, 1).otherwise(0).cast("long") for n, test in counts.items()}})
     here = W.partitionBy(*_BLOCK).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    summary = df.groupBy(*_BLOCK).agg(*[F.max_by(f"_h_{n}", F.when(F.col(f"_h_{n}").isNotNull(), F.col("pos"))).alias(f"_c_{n}") for n in headers])
-    summary = summary.select(*_BLOCK, *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in headers])
-    df = df.join(summary, _BLOCK)
-    for name in headers:
-        df = df.withColumn(f"_s_{name}", F.coalesce(F.last(f"_h_{name}", ignorenulls=True).over(here), F.col(f"_c_{name}")))
-    for name in headers:
+    summary = df.groupBy(*_BLOCK).agg(
+        *[F.max_by(f"_h_{n}", F.when(F.col(f"_h_{n}").isNotNull(), F.col("pos"))).alias(f"_c_{n}") for n in headers],
+        *[F.sum(f"_n_{n}").alias(f"_b_{n}") for n in counts])
+    summary = summary.select(*_BLOCK, *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in headers],
+                             *[F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in counts])
+    df = df.withColumns({**{f"_s_{n}": F.last(f"_h_{n}", ignorenulls=True).over(here) for n in headers},
+                         **{f"_r_{n}": F.sum(f"_n_{n}").over(here) for n in counts}}).join(summary, _BLOCK)
+    df = df.withColumns({f"_s_{n}": F.coalesce(f"_s_{n}", f"_c_{n}") for n in headers})
+
+    def value_of(name: str) -> Column:
         value = F.col(f"_s_{name}.v")
         for other in resets.get(name, ()):
             older = F.col(f"_s_{other}").isNotNull() & (F.col(f"_s_{other}.at") > F.col(f"_s_{name}.at"))
             value = F.when(~older, value)
-        df = df.withColumn(name, value)
-    return df.drop(*[f"{p}{n}" for p in ("_h_", "_c_", "_s_") for n in headers])
+        return value
 
-
-def running_count(lines: DataFrame, test: Column, out: str) -> DataFrame:
-    """Number of lines of the file, up to and including each line, that meet the test."""
-    one = F.when(test, 1).otherwise(0).cast("long")
-    df = lines.withColumn("_one", one)
-    here = W.partitionBy(*_BLOCK).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    before = df.groupBy(*_BLOCK).agg(F.sum("_one").alias("_n")).select(*_BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return df.join(before, _BLOCK).withColumn(out, F.sum("_one").over(here) + F.col("_before")).drop("_one", "_before")
+    return (df.withColumns({**{n: value_of(n) for n in headers}, **{n: F.col(f"_r_{n}") + F.col(f"_b_{n}") for n in counts}})
+            .drop(*[f"{p}{n}" for p in ("_h_", "_c_", "_s_") for n in headers], *[f"{p}{n}" for p in ("_n_", "_b_", "_r_") for n in counts]))
 
 
 def previous(lines: DataFrame, value: Column, out: str) -> DataFrame:
@@ -146,10 +143,9 @@ def following(lines: DataFrame, value: Column, n: int, out: str) -> DataFrame:
 def classify(lines: DataFrame, footer: str = rules.FOOTER) -> DataFrame:
     """Boolean columns for page breaks, footers, blank lines, noise (any of these), date lines and total lines."""
     line = F.col("line")
-    return (lines.withColumn("is_page_break", line.rlike(rules.PAGE_BREAK)).withColumn("is_footer", line.rlike(footer))
-            .withColumn("is_blank", strip(F.regexp_replace(line, ",", "")) == "")
-            .withColumn("is_noise", F.col("is_page_break") | F.col("is_footer") | F.col("is_blank"))
-            .withColumn("is_date_line", line.rlike(rules.DATE_LINE)).withColumn("is_total", line.rlike(rules.TOTAL_LINE)))
+    page, foot, blank = line.rlike(rules.PAGE_BREAK), line.rlike(footer), strip(F.translate(line, ",", "")) == ""
+    return lines.withColumns({"is_page_break": page, "is_footer": foot, "is_blank": blank, "is_noise": page | foot | blank,
+                              "is_date_line": line.rlike(rules.DATE_LINE), "is_total": line.rlike(rules.TOTAL_LINE)})
 
 
 N_CELLS = 16
@@ -159,12 +155,14 @@ def split_cells(lines: DataFrame) -> DataFrame:
     """Cells c0..c15 of a CSV line, quotes honoured, trimmed, empty as NULL; n_cells counts the cells on the line."""
     schema = ", ".join(f"c{i} string" for i in range(N_CELLS))
     parsed = F.from_csv("line", schema, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-    df = lines.withColumn("_cells", parsed)
-    for i in range(N_CELLS):
-        cell = strip(F.col(f"_cells.c{i}"))
-        df = df.withColumn(f"c{i}", F.when(cell != "", cell))
-    commas = F.size(F.split(F.regexp_replace("line", r'"(?:[^"]|"")*"', ""), ",", -1))
-    return df.withColumn("n_cells", commas).drop("_cells")
+    line = F.col("line")
+    unquoted = F.when(line.contains('"'), F.regexp_replace(line, r'"(?:[^"]|"")*"', "")).otherwise(line)
+    commas = F.length(unquoted) - F.length(F.translate(unquoted, ",", "")) + 1
+    cells = {f"c{i}": F.nullif(strip(F.col(f"_cells.c{i}")), F.lit("")) for i in range(1, N_CELLS)}
+    # An unquoted first cell ends at the first comma: header tests need no CSV parsing.
+    first = F.when(line.startswith('"'), F.col("_cells.c0")).otherwise(F.substring_index(line, ",", 1))
+    return (lines.withColumns({"_cells": parsed, "n_cells": commas})
+            .withColumns({"c0": F.nullif(strip(first), F.lit("")), **cells}).drop("_cells"))
 
 
 def is_label() -> Column:

@@ -87,7 +87,7 @@ def customer_orders(lines: DataFrame, wrapped: bool = False) -> DataFrame:
     df = df.where(~F.col("line").rlike(r"(?i)^Customer Name\s*,\s*Address") & ~_contains("customer orders") & ~_contains("from date:"))
     df = df.where(~_contains("total by branch"))
     cells = F.split("line", ",")
-    first, rest = S.strip(cells[0]), S.strip(F.regexp_replace(F.regexp_replace("line", "^[^,]*", ""), ",", ""))
+    first, rest = S.strip(cells[0]), S.strip(F.translate(F.regexp_replace("line", "^[^,]*", ""), ",", ""))
     person = F.regexp_extract("line", PERSON, 0)
     label = (rest == "") & first.rlike(r"^[A-Z][A-Za-z\s\-']+$") & (person == "")
     df = L.carry(df, {"branch": (label, first)})
@@ -132,8 +132,7 @@ def transaction_baskets(lines: DataFrame) -> DataFrame:
     branch = first.rlike(branch_prefix + ".+")
     person = first.rlike(f"^{PERSON}") & ~branch & ~F.col("is_total")
     name = F.regexp_replace(_after(first, branch_prefix), ",+$", "")
-    df = L.carry(df, {"branch": (branch, name), "customer": (person, first)})
-    df = L.running_count(df, person, "basket_id")
+    df = L.carry(df, {"branch": (branch, name), "customer": (person, first)}, counts={"basket_id": person})
     rows = df.where(~branch & ~person & ~F.col("is_total") & F.col("branch").isNotNull() & F.col("customer").isNotNull()
                     & F.col("c0").isNull() & (F.col("n_cells") >= 4) & F.col("c2").isNotNull())
     return rows.select(*L.PLACE, "file", "basket_id", "branch", "customer", F.col("c2").alias("item"),
