@@ -128,23 +128,19 @@ def within(first: np.ndarray, k: int) -> np.ndarray:
 
 
 def chosen(hashes: np.ndarray, w: int) -> np.ndarray:
-    """For each run of w consecutive hashes the index of its least one, the leftmost among equals (len - w + 1 entries).
+    """For each run of w consecutive hashes the index of its least one (by the upper 32 bits), the leftmost among equals.
 
-    What is chosen depends on the w hashes alone, so equal contents choose the same place.
+    Gives len - w + 1 entries. What is chosen depends on the w hashes alone, so equal contents choose the same place.
     """
     n = len(hashes)
     if n < w:
         return np.zeros(0, np.int64)
-    # The order of (hash, place) in one key is not available, so reduce by doubling: compare two overlapping runs.
-    best, span = np.arange(n), 1
+    low = np.uint64(0xFFFFFFFF)
+    keys, span = (hashes & ~low) | np.arange(n, dtype=np.uint64), 1
     while span * 2 <= w:
-        a, b = best[:-span], best[span:]
-        best = np.where(hashes[b] < hashes[a], b, a)
-        span *= 2
-    if span < w:
-        a, b = best[: n - w + 1], best[w - span :]
-        best = np.where(hashes[b] < hashes[a], b, a)
-    return best[: n - w + 1]
+        keys, span = np.minimum(keys[:-span], keys[span:]), span * 2
+    keys = np.minimum(keys[: n - w + 1], keys[w - span : w - span + n - w + 1])
+    return (keys & low).astype(np.int64)
 
 
 def runs(sorted_ids: np.ndarray) -> np.ndarray:
