@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillwork.llm.near_dup import op7_near_dup
 from tillwork.llm.quality_rules import op4_quality_rules
 from tillwork.llm.suffix_dedup import op3_suffix_dedup
 from tillwork.llm.window_dedup import op5_window_dedup
@@ -10,6 +11,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_window_dedup": op5_window_dedup,
+    "op7_near_dup": op7_near_dup,
 }
 
 SQL: dict[str, str] = {}
