@@ -132,7 +132,7 @@ def sort_groups(rows: list[tuple], length: int) -> list[tuple[int, int, int, int
     return out
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 400, most: int = 4096) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = 400, most: int = 1 << 15) -> DataFrame:
     """Every byte covered by a string of ``length`` bytes that also starts anywhere else, in the same document or another, goes.
 
     Result: doc_id, n_bytes, removed (byte intervals [start, end), maximal), kept (the other bytes; a cut may fall inside a character);
