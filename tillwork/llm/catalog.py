@@ -5,9 +5,11 @@ from __future__ import annotations
 from tillwork.llm.near_dup import op7_near_dup
 from tillwork.llm.quality_rules import op4_quality_rules
 from tillwork.llm.suffix_dedup import op3_suffix_dedup
+from tillwork.llm.suffix_tree_lm import op1_suffix_tree_lm
 from tillwork.llm.window_dedup import op5_window_dedup
 
 QUERIES = {
+    "op1_suffix_tree_lm": op1_suffix_tree_lm,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_window_dedup": op5_window_dedup,
