@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tillwork.llm.near_dup import op7_near_dup
+from tillwork.llm.personal_data import op10_personal_data
 from tillwork.llm.quality_rules import op4_quality_rules
 from tillwork.llm.suffix_dedup import op3_suffix_dedup
 from tillwork.llm.suffix_tree_lm import op1_suffix_tree_lm
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_window_dedup": op5_window_dedup,
     "op7_near_dup": op7_near_dup,
+    "op10_personal_data": op10_personal_data,
 }
 
 SQL: dict[str, str] = {}
