@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillwork.llm.kd_shards import op2_kd_shards
 from tillwork.llm.near_dup import op7_near_dup
 from tillwork.llm.personal_data import op10_personal_data
 from tillwork.llm.quality_rules import op4_quality_rules
@@ -11,6 +12,7 @@ from tillwork.llm.window_dedup import op5_window_dedup
 
 QUERIES = {
     "op1_suffix_tree_lm": op1_suffix_tree_lm,
+    "op2_kd_shards": op2_kd_shards,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_window_dedup": op5_window_dedup,
