@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tillwork.llm.kd_shards import op2_kd_shards
+from tillwork.llm.mixing import op6_mixing
 from tillwork.llm.near_dup import op7_near_dup
 from tillwork.llm.personal_data import op10_personal_data
 from tillwork.llm.quality_rules import op4_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_window_dedup": op5_window_dedup,
+    "op6_mixing": op6_mixing,
     "op7_near_dup": op7_near_dup,
     "op10_personal_data": op10_personal_data,
 }
