@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillwork.llm.decontamination import op8_decontamination
 from tillwork.llm.kd_shards import op2_kd_shards
 from tillwork.llm.mixing import op6_mixing
 from tillwork.llm.near_dup import op7_near_dup
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_window_dedup": op5_window_dedup,
     "op6_mixing": op6_mixing,
     "op7_near_dup": op7_near_dup,
+    "op8_decontamination": op8_decontamination,
     "op10_personal_data": op10_personal_data,
 }
 
