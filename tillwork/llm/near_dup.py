@@ -234,35 +234,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, task_nodes: int = 2000,
         made = shingles_of(tasks.select("block", "uid", "task", F.col("side").cast("int").alias("side"), "label"))
         return made.repartition("task").sortWithinPartitions("task").mapInArrow(lambda batches: _verify(batches, percent), LINKS)
 
-    uid = F.col("node").alias("uid")
-    alone = members.select("block", uid, F.xxhash64("root", "chunk").alias("task"), F.lit(0).alias("side"), F.col("node").alias("label"))
-    links = tables.stage(verify(alone), "links")
-    if not weight.where("chunks > 1").isEmpty():
-        wide = members.where("chunks > 1")
-        best = (links.withColumnRenamed("a", "node").join(wide.select("node", "root"), "node")
-                .groupBy("root").agg(F.max(F.struct("links", "node")).getField("node").alias("hub")))
-        held = members.select("node", F.col("block").alias("hub_block"))
-        hub = best.join(held, best.hub == held.node).select("root", "hub", "hub_block")
-        labels = tables.components(links.select("a", "b")).withColumnRenamed("root", "label")
-        wide = wide.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        task = F.xxhash64("root", "chunk").alias("task")
-        each = wide.select("root", "chunk").distinct().join(hub, "root")
-        tasks = wide.select("block", uid, task, F.lit(0).alias("side"), "label").unionByName(
-            each.select(F.col("hub_block").alias("block"), F.col("hub").alias("uid"), task, F.lit(1).alias("side"), (-F.col("hub") - 1).alias("label")))
-        links = tables.stage(links.unionByName(verify(tasks)), "links")
-        labels = tables.components(links.select("a", "b")).withColumnRenamed("root", "label")
-        wide = members.where("chunks > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        wide = wide.join(hub.select("root", "hub"), "root", "left").join(
-            labels.select(F.col("node").alias("hub"), F.col("label").alias("main")), "hub", "left")
-        wide = tables.stage(wide, "wide")
-        rest = wide.where(~F.col("label").eqNullSafe(F.col("main")))
+    uid, own = F.col("node").alias("uid"), F.col("node").alias("label")
+    task = lambda *keys: F.xxhash64(*keys).alias("task")
+    links = tables.stage(verify(members.select("block", uid, task("root", "chunk"), F.lit(0).alias("side"), own)), "links")
+    wide = members.where("chunks > 1")
+    if not wide.isEmpty():
+        best = links.withColumnRenamed("a", "node").join(wide, "node").groupBy("root").agg(F.max(F.struct("links", "node", "block")).alias("hub"))
+        each = wide.select("root", "chunk").distinct().join(best, "root")
+        hub = each.select(F.col("hub.block").alias("block"), F.col("hub.node").alias("uid"), task("root", "chunk"), F.lit(1).alias("side"), (-F.col("hub.node") - 1).alias("label"))
+        near = tables.stage(verify(wide.select("block", uid, task("root", "chunk"), F.lit(0).alias("side"), own).unionByName(hub)), "links")
+        # What is linked with the hub of its group is one group; the rest meets every chunk.
+        main = near.select(F.col("b").alias("node"), F.col("a").alias("main")).distinct()
+        wide = tables.stage(wide.join(main, "node", "left"), "wide")
+        rest = wide.where("main is null")
         shares = rest.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / task_nodes, F.sum("n") / task_shingles)).cast("long").alias("shares"))
-        task = F.xxhash64("root", "chunk", "share").alias("task")
-        left = wide.join(shares, "root").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-        right = rest.join(shares, "root").withColumn("share", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares"))).drop("chunk")
-        right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        tasks = left.select("block", uid, task, F.lit(0).alias("side"), "label").unionByName(right.select("block", uid, task, F.lit(1).alias("side"), "label"))
-        links = links.unionByName(verify(tasks))
+        spread = lambda c, n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(c)
+        left = wide.join(shares, "root").select("block", "node", "root", "chunk", F.coalesce("main", "node").alias("label"), spread("share", "shares"))
+        right = rest.join(shares, "root").select("block", "node", "root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares")).alias("share"), spread("chunk", "chunks"))
+        tasks = left.select("block", uid, task("root", "chunk", "share"), F.lit(0).alias("side"), "label").unionByName(
+            right.select("block", uid, task("root", "chunk", "share"), F.lit(1).alias("side"), own))
+        links = links.unionByName(near).unionByName(verify(tasks))
     groups = tables.components(links.select("a", "b"))
     named = sets.where("n_shingles > 0").join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("uid", "doc_id", "n_shingles", "node")
     named = named.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))

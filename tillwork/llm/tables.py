@@ -9,7 +9,6 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillwork.session import checkpoint_dir, stage
 
@@ -74,25 +73,18 @@ def numbered(df: DataFrame, key: Column | None, order: list[Column], name: str,
 def components(edges: DataFrame) -> DataFrame:
     """Least node of the connected group of every node of ``edges`` (a long, b long): table (node, root).
 
-    Alternates linking every node's larger neighbours to its least one and its smaller ones to the least, both by aggregation
-    and an equality join, until the edges form stars; each round is a written table, so a lost executor costs no more than a round.
+    A node takes the least label among its own, its neighbours' and the label of its label, so what is known doubles its reach each
+    round. Labels are least by aggregation, map side first; each round is a written table, so a lost executor costs a round at most.
     """
-    spark = edges.sparkSession
-    now = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    if now.isEmpty():
-        return spark.createDataFrame([], T.StructType([T.StructField("node", T.LongType()), T.StructField("root", T.LongType())]))
-    seen = None
+    pairs = edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    links = stage(pairs.select("e.a", "e.b").distinct(), "edges")
+    labels, seen = stage(links.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "labels"), None
     while True:
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
-        now = stage(small, "edges")
-        mark = now.agg(F.count("*"), F.bit_xor("a"), F.bit_xor("b"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
-    roots = now.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node")
-    return stage(roots.union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root")), "roots")
+        near = links.join(labels, links.b == labels.node).select(F.col("a").alias("node"), "root")
+        least = labels.unionByName(near).groupBy("node").agg(F.min("root").alias("root"))
+        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        labels = stage(least.join(jump, "root").select("node", F.least("root", "further").alias("root")), "labels")
+        mark = tuple(labels.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "root"))).first())
+        if mark == seen or not mark[0]:
+            return labels
+        seen = mark
