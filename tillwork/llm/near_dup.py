@@ -188,8 +188,7 @@ def _verify(batches, percent: int):
 def near_duplicates(docs: DataFrame, percent: int = 85, task_nodes: int = 2000, task_shingles: int = 1 << 20) -> DataFrame:
     """Links texts with 100 * |intersection| >= percent * |union| of their shingle sets and groups what links connect.
 
-    Result: uid, doc_id, n_shingles, component_id (least doc_id of the group), first_uid (the uid of the group's row that stays: least
-    doc_id, nulls last, then least uid); one row per row of ``docs``. A shingle is 5 words, lower-cased; a text of 1 to 4 words is one
+    Result: doc_id, n_shingles, component_id (least doc_id of the group); one row per row of ``docs``. A shingle is 5 words, lower-cased; a text of 1 to 4 words is one
     shingle; a text without words (or null) has no shingle and is a group of its own, like every other such text. Rows with a null
     doc_id take part, but do not name a group unless all its rows have none. An empty table gives an empty result; extra columns are
     ignored. ``task_nodes`` and ``task_shingles`` only bound the memory of a task.
@@ -258,16 +257,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, task_nodes: int = 2000,
     named = sets.where("n_shingles > 0").join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("uid", "doc_id", "n_shingles", "node")
     named = named.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = named.unionByName(sets.where("n_shingles = 0").select("uid", "doc_id", "n_shingles", F.col("uid").alias("node"), F.col("uid").alias("root")))
-    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"),
-                                      F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).getField("uid").alias("first_uid"))
-    return named.join(first, "root").select("uid", "doc_id", "n_shingles", "component_id", "first_uid")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root").select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` without those that are not the first of their near-duplicate group, all columns as they are."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("doc_id"))
+    """The rows of ``docs`` without those that are not the first of their near-duplicate group, all columns as they are.
+
+    The first has the least doc_id, a null being last; among equal ones any single row stays.
+    """
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"),
+                       F.monotonically_increasing_id().alias("doc_id"))
     rows = tables.stage(rows, "rows")
-    first = near_duplicates(rows.select("doc_id", "text"), percent).where("doc_id = component_id").select("doc_id")
+    groups = near_duplicates(rows.select("doc_id", "text"), percent).select("doc_id", "component_id")
+    named = groups.join(rows.select("doc_id", "_doc"), "doc_id")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "doc_id")).getField("doc_id").alias("doc_id"))
     return rows.join(first, "doc_id", "left_semi").select("_row.*")
 
 
