@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tillwork.llm.decontamination import op8_decontamination
+from tillwork.llm.fuzzy_lines import op9_fuzzy_lines
 from tillwork.llm.kd_shards import op2_kd_shards
 from tillwork.llm.mixing import op6_mixing
 from tillwork.llm.near_dup import op7_near_dup
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_near_dup": op7_near_dup,
     "op8_decontamination": op8_decontamination,
+    "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_personal_data": op10_personal_data,
 }
 
