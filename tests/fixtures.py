@@ -2,7 +2,7 @@
 
 MONTHLY = """Hill,,,,
 Monthly Sales,,,,
-30-Jan-26,,,,
+17-Mar-27,,,,
 ,Year: 2025,,Page 1 of, 2
 Month,,Year,Total,
 Branch Name: Harbour,,,,
@@ -16,13 +16,13 @@ December,,2025,-,
 ,,Total for    2025,"6,000.50",
 Branch Name: Hill,,,,
 october,,2025,500.00,
-REP_S_00334,"Copyright someone",,,
+REP_S_90909,"Copyright nobody",,,
 """
 
 MENU = """Hill,,,,
 Average Sales By Menu,,,,
 ,Year: 2025 - All Months,,Page 1 of, 1
-30-Jan-26,,,,
+17-Mar-27,,,,
 Menu Name,# Cust,Sales,Avg Customer,
 Harbour,,,,
 DELIVERY,10.00,200.00,,
@@ -85,7 +85,7 @@ Total Branch:,0,,0
 
 PUNCHES = """Hill,,,,,
 Time & Attendance Report,,,,,
-,30-Jan-26,From Date: 01-Dec-2025 30-Dec-2025,,,
+,17-Mar-27,From Date: 01-Dec-2025 30-Dec-2025,,,
 ,PUNCH IN,,PUNCH OUT,,Work Duration
 ,EMP ID :1.0,NAME :Person_0001,,,
 ,Harbour,,,,
@@ -101,7 +101,7 @@ Time & Attendance Report,,,,,
 
 TAX = """Hill,,,,,,,,,
 Tax Report,,,,,,,,,
-30-Jan-26,,,,,,,,Page 1 of, 1
+17-Mar-27,,,,,,,,Page 1 of, 1
 TAX DESCRIPTION,VAT 11 %,Tax 2,Tax 3,Tax 4,Tax 5,,Service,Total,
 Branch Name:  Harbour,,,,,,,,,
 Total By Branch,"427.50",0.00,0.00,0.00,,0.00,0.00,"430.00",

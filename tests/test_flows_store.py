@@ -145,3 +145,6 @@ def test_incremental_intake(spark, tmp_path):
     audit = {r.file: r.reason for r in spark.read.parquet(f"{out}/file_audit").collect()}
     assert audit["c_copy.csv"] == "duplicate of a_monthly.csv" and audit["d_more.csv"] is None
     assert spark.read.parquet(f"{out}/avg_sales_menu").count() == 3
+    clean = intake.cleaned(spark, out)
+    assert {r.branch: r.is_partial_history for r in clean["monthly_sales"].collect()} == {"Harbour": False, "Hill": True, "Moon": False}
+    assert {r.canonical_branch_name for r in clean["dim_branch"].collect()} >= {"Harbour", "Hill", "Moon"}

@@ -1,5 +1,4 @@
 import datetime as dt
-import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,23 +52,51 @@ def test_audit(result):
     assert {t for t, s, _ in got.values() if s == "parsed"} == set(R._PARSERS)
 
 
-def test_hash_is_md5_of_the_first_bytes(spark, folder):
-    placed = L.place(L.scan(spark.read, str(folder)))
-    for size in (8192, 100):
-        got = {r.file: r.hash for r in L.fingerprints(placed, size).collect()}
-        for name in fixtures.FILES:
-            assert got[name] == hashlib.md5((folder / name).read_bytes()[:size]).hexdigest()
-
-
-def test_full_hash_sees_a_late_difference(spark, tmp_path, small_blocks):
+def test_hash_covers_the_whole_file_and_no_split(spark, tmp_path):
     body = "x,1\n" * 3000
-    for name, tail in (("a.csv", "1\n"), ("b.csv", "2\n"), ("c.csv", "1\n")):
+    for name, tail in (("a.csv", "1\n"), ("b.csv", "2\n"), ("c.csv", "1\n"), ("d.csv", "1")):
         (tmp_path / name).write_text(body + tail)
-    placed = L.place(L.scan(spark.read, str(tmp_path)))
-    prefix = {r.file: r.hash for r in L.fingerprints(placed).collect()}
-    full = {r.file: r.hash for r in L.fingerprints(placed, None).collect()}
-    assert len(set(prefix.values())) == 1
-    assert full["a.csv"] == full["c.csv"] != full["b.csv"]
+    old, found = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    for size in ("96", "1000", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found.append({r.file: r.hash for r in L.fingerprints(L.place(L.scan(spark.read, str(tmp_path)))).collect()})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found[0] == found[1] == found[2]
+    assert found[0]["a.csv"] == found[0]["c.csv"] and len(set(found[0].values())) == 3
+
+
+def test_late_differences_and_empty_files_are_seen(spark, tmp_path):
+    filler = "".join(f",Year: 2025,,Page {i} of, 900\n" for i in range(900))
+    first = "Monthly Sales,,,,\n" + filler + "Branch Name: Hill,,,,\nMay,,2025,\"1.00\",\n"
+    (tmp_path / "a.csv").write_text(first)
+    (tmp_path / "b.csv").write_text(first.replace("May", "June"))
+    (tmp_path / "c.csv").write_text("")
+    got = flows.etl(spark, str(tmp_path))
+    assert rows(got["monthly_sales"], "month") == [("June",), ("May",)]
+    assert {r.file: (r.status, r.reason) for r in got["file_audit"].collect()} == {"a.csv": ("parsed", None), "b.csv": ("parsed", None), "c.csv": ("skipped", "empty")}
+
+
+def test_all_cells_of_a_line(spark):
+    line = "Total By Branch," + ",".join(f"{i}.00" for i in range(1, 17)) + ',"17.00"'
+    odd = ' a ,"b ""q"", c",,"x'
+    got = L.split_cells(spark.createDataFrame([(line,), (odd,), ("only,,,",), ("," * 17 + "late",), ("",)], "line string"))
+    cells = [r.cells for r in got.collect()]
+    assert cells[0][-1] == "17.00" and len(cells[0]) == 18
+    assert cells[1] == ["a", 'b "q", c', None, '"x']
+    assert [r[0] for r in got.select(L.is_label()).collect()] == [False, False, True, False, False]
+
+
+def test_long_tax_lines_counts_and_wrapped_rows(spark, tmp_path, small_blocks):
+    tax = "Branch Name: Harbour,\nTotal By Branch," + ",".join(f'"{i}.00"' for i in range(1, 18)) + ",\n"
+    orders = ("Customer Orders (Delivery),,,\nHarbour,,,\nPerson_0001,Street 5,81111\n,c/o\n,2025-01-02 10:00\n,2025-01-05 09:00\n,\"1,200.00\"\n,650,\n"
+              "Hill,,,\nPerson_0002,Lane,82222,2025-01-02 10:00,2025-01-02 10:00,\"7.00\",501,\nPerson_0003,Lane,8,,,\"3.00\",4,\nPerson_0004,Lane,8,,,\"3.00\"\n")
+    (tmp_path / "tax.csv").write_text(tax)
+    assert rows(R.tax_summary(L.read_lines(spark, str(tmp_path))), "vat", "total_tax") == [(1.0, 17.0)]
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "orders.csv").write_text(orders)
+    got = rows(R.customer_orders(L.read_lines(spark, str(tmp_path / "o")), wrapped=True).na.fill(-1), "customer", "branch", "total", "num_orders", "last_order")
+    assert got == [("Person_0001", "Harbour", 1200.0, 650, dt.datetime(2025, 1, 5, 9)), ("Person_0002", "Hill", 7.0, 501, dt.datetime(2025, 1, 2, 10)),
+                   ("Person_0003", "Hill", 3.0, 4, None), ("Person_0004", "Hill", 3.0, 8, None)]
 
 
 def test_monthly(result):

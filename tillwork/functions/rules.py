@@ -50,6 +50,13 @@ FOOTER = r"(?i)Copyright|All Rights Reserved|^REP_S_\d+,"
 DATE_LINE = r"^\d{2}-\w{3}-\d{2}"
 TOTAL_LINE = r"(?i)^\s*,?\s*Total"
 NUMBER = r"^-?\d+\.?\d*$"
+# Patterns inside report lines.
+PERSON = r"Person_\d+"
+STAMP = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}"
+EMPLOYEE = r"EMP ID\s*:\s*([\d.]+)"
+EMPLOYEE_NAME = r"NAME\s*:\s*(Person_\d+)"
+PUNCH_DATE = r"(\d{2}-\w{3}-\d{2})"
+PUNCH_TIME = r"(\d{2}\.\d{2}\.\d{2})"
 
 # Item categories by division text, the first match from the top wins.
 CATEGORY_PATTERNS = [

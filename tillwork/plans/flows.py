@@ -15,17 +15,17 @@ from ..sources import lines as L, reports as R
 from . import store
 
 
-def etl(spark: SparkSession, folder: str, prefix_bytes: int | None = 8192, seen: DataFrame | None = None) -> dict[str, DataFrame]:
+def etl(spark: SparkSession, folder: str, seen: DataFrame | None = None) -> dict[str, DataFrame]:
     """Cleaned tables, dimensions, checks, features and the file audit of a folder of report files.
 
     The text is read once, then stored with its report type; each parser reads only the lines of its own type.
     """
     lines = stage(L.read_lines(spark, folder), "lines")
-    return tables_of_lines(lines, prefix_bytes, seen)
+    return tables_of_lines(lines, seen, L.list_files(spark, folder))
 
 
-def tables_of_lines(lines: DataFrame, prefix_bytes: int | None = 8192, seen: DataFrame | None = None) -> dict[str, DataFrame]:
-    audit = stage(R.audit_files(lines, prefix_bytes, seen=seen), "file_audit")
+def tables_of_lines(lines: DataFrame, seen: DataFrame | None = None, listed: DataFrame | None = None) -> dict[str, DataFrame]:
+    audit = stage(R.audit_files(lines, seen=seen, listed=listed), "file_audit")
     clean = {name: stage(df, name) for name, df in R.clean_tables(typed_tables(lines, audit)).items()}
     return {**clean, **layers(clean), "file_audit": audit}
 

@@ -43,29 +43,30 @@ def decode(placed: DataFrame) -> DataFrame:
     return placed.join(valid, "path").withColumn("line", strip(text)).drop("_utf8")
 
 
-def fingerprints(placed: DataFrame, prefix_bytes: int | None = 8192) -> DataFrame:
-    """One hash per file: MD5 of its first ``prefix_bytes`` bytes, or with None a hash of every line and its place.
+def list_files(spark: SparkSession, path: str | Sequence[str], glob: str = "*.csv") -> DataFrame:
+    """path and file of all files of a folder, empty ones too, from the file index that the driver holds anyway."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).inputFiles()
+    listed = spark.createDataFrame([(p,) for p in found], "path string")
+    return listed.withColumn("file", F.url_decode(F.substring_index("path", "/", -1)))
 
-    The prefix is put together from the lines of the first block up to that length. The full hash adds up two 64-bit line
-    hashes per file, which combines map side and needs no file in one task.
+
+def number_lines(placed: DataFrame) -> DataFrame:
+    """Add ``line_no``, the place of each line in its file from 0, whatever blocks the file was read in."""
+    blocks = placed.groupBy(*_BLOCK).agg(F.min("pos").alias("_p0"), F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = blocks.select(*_BLOCK, "_p0", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return placed.join(starts, _BLOCK).withColumn("line_no", F.col("pos") - F.col("_p0") + F.col("_before")).drop("_p0", "_before")
+
+
+def fingerprints(placed: DataFrame) -> DataFrame:
+    """One hash per file over its whole content, the same however the file is split into blocks.
+
+    Adds up two 64-bit hashes of every line and its number, which combines map side and needs no file in one task.
     """
-    by_line = W.partitionBy(*_BLOCK).orderBy("pos")
-    if prefix_bytes is None:
-        start = placed.groupBy(*_BLOCK).agg(F.min("pos").alias("_p0"))
-        at = (F.col("pos") - F.col("_p0")).alias("at")
-        keyed = placed.join(start, _BLOCK).select("path", "file", "file_size", F.xxhash64("block", at, "bytes").alias("h1"),
-                                                  F.xxhash64(F.lit("2"), "bytes", at, "block").alias("h2"))
-        wide = "decimal(38,0)"
-        return keyed.groupBy("path", "file", "file_size").agg(F.sum(F.col("h1").cast(wide)).alias("a"), F.sum(F.col("h2").cast(wide)).alias("b")).select(
-            "path", "file", F.md5(F.concat_ws("|", "file_size", "a", "b").cast("binary")).alias("hash"))
-    size = F.octet_length("bytes") + 1
-    offset = F.sum(size).over(by_line.rowsBetween(W.unboundedPreceding, -1))
-    head = placed.where("block = 0").withColumn("_at", F.coalesce(offset, F.lit(0))).where(F.col("_at") < prefix_bytes)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("h")))), lambda x: x["h"])
-    text = F.concat(F.array_join(parts, "0A"), F.lit("0A"))
-    limit = F.least(F.lit(prefix_bytes), F.col("file_size"))
-    return head.groupBy("path", "file", "file_size").agg(text.alias("t")).select(
-        "path", "file", F.md5(F.unhex(F.substring(F.col("t"), F.lit(1), (limit * 2).cast("int")))).alias("hash"))
+    keyed = number_lines(placed).select("path", "file", "file_size", F.xxhash64("line_no", "bytes").alias("h1"), F.xxhash64(F.lit("2"), "bytes", "line_no").alias("h2"))
+    wide = "decimal(38,0)"
+    return keyed.groupBy("path", "file", "file_size").agg(F.sum(F.col("h1").cast(wide)).alias("a"), F.sum(F.col("h2").cast(wide)).alias("b")).select(
+        "path", "file", F.md5(F.concat_ws("|", "file_size", "a", "b").cast("binary")).alias("hash"))
 
 
 def first_lines(lines: DataFrame, n: int = 5) -> DataFrame:
@@ -148,23 +149,27 @@ def classify(lines: DataFrame, footer: str = rules.FOOTER) -> DataFrame:
                               "is_date_line": line.rlike(rules.DATE_LINE), "is_total": line.rlike(rules.TOTAL_LINE)})
 
 
-N_CELLS = 16
+N_NAMED = 4
 
 
 def split_cells(lines: DataFrame) -> DataFrame:
-    """Cells c0..c15 of a CSV line, quotes honoured, trimmed, empty as NULL; n_cells counts the cells on the line."""
-    schema = ", ".join(f"c{i} string" for i in range(N_CELLS))
-    parsed = F.from_csv("line", schema, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    """All cells of a CSV line as the array ``cells``, quotes honoured, trimmed, empty as NULL.
+
+    The first four are also columns c0 to c3; n_cells counts the cells on the line.
+    """
     line = F.col("line")
+    # Each cell is taken with the comma before it, so no match is empty.
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"(?=,|$)|[^,]*)'), 1)
+    plain = F.transform(raw, lambda x: F.when(x.rlike('^".*"$') & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    cells = F.transform(plain, lambda x: F.nullif(strip(x), F.lit("")))
     unquoted = F.when(line.contains('"'), F.regexp_replace(line, r'"(?:[^"]|"")*"', "")).otherwise(line)
     commas = F.length(unquoted) - F.length(F.translate(unquoted, ",", "")) + 1
-    cells = {f"c{i}": F.nullif(strip(F.col(f"_cells.c{i}")), F.lit("")) for i in range(1, N_CELLS)}
     # An unquoted first cell ends at the first comma: header tests need no CSV parsing.
-    first = F.when(line.startswith('"'), F.col("_cells.c0")).otherwise(F.substring_index(line, ",", 1))
-    return (lines.withColumns({"_cells": parsed, "n_cells": commas})
-            .withColumns({"c0": F.nullif(strip(first), F.lit("")), **cells}).drop("_cells"))
+    first = F.when(line.startswith('"'), F.get("cells", F.lit(0))).otherwise(F.substring_index(line, ",", 1))
+    return (lines.withColumns({"cells": cells, "n_cells": commas})
+            .withColumns({"c0": F.nullif(strip(first), F.lit("")), **{f"c{i}": F.get("cells", F.lit(i)) for i in range(1, N_NAMED)}}))
 
 
 def is_label() -> Column:
     """Only the first cell of the line holds text."""
-    return F.col("c0").isNotNull() & F.coalesce(*[F.col(f"c{i}") for i in range(1, N_CELLS)]).isNull()
+    return F.col("c0").isNotNull() & ~F.exists(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: c.isNotNull())

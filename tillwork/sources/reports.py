@@ -73,52 +73,59 @@ def items_by_group(lines: DataFrame) -> DataFrame:
                        F.coalesce(S.parse_number(F.col("c3")), F.lit(0.0)).alias("amount")).where(F.col("qty").isNotNull())
 
 
-PERSON = r"Person_\d+"
-
-
-def customer_orders(lines: DataFrame, wrapped: bool = False) -> DataFrame:
+def customer_orders(lines: DataFrame, wrapped: bool = False, most_orders: int = 500) -> DataFrame:
     """branch, customer, phone, first_order, last_order, total, num_orders.
 
-    ``wrapped`` joins a row to the lines it wraps onto: up to three, until the next customer, noise or blank line.
+    The number of orders is the last whole number in the cells after the last time stamp. Only in a row without a time stamp it is guessed: the
+    last whole number of at most ``most_orders`` between two commas, NULL if there is none. ``wrapped`` joins a row to all
+    lines it wraps onto, until the next customer, branch label, noise or blank line.
     """
     if wrapped:
         lines = join_wrapped(lines)
     df = L.classify(lines).where(~F.col("is_noise"))
     df = df.where(~F.col("line").rlike(r"(?i)^Customer Name\s*,\s*Address") & ~_contains("customer orders") & ~_contains("from date:"))
     df = df.where(~_contains("total by branch"))
-    cells = F.split("line", ",")
-    first, rest = S.strip(cells[0]), S.strip(F.translate(F.regexp_replace("line", "^[^,]*", ""), ",", ""))
-    person = F.regexp_extract("line", PERSON, 0)
-    label = (rest == "") & first.rlike(r"^[A-Z][A-Za-z\s\-']+$") & (person == "")
+    person = F.regexp_extract("line", rules.PERSON, 0)
+    label, first = _branch_label()
     df = L.carry(df, {"branch": (label, first)})
-    rows = df.where(~label & (person != "") & F.col("branch").isNotNull())
-    stamps = F.regexp_extract_all("line", F.lit(r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2})"), 1)
-    phone = S.strip(F.regexp_extract("line", PERSON + r"\s*,\s*[^,]*,\s*(\d[\d\s]*)", 1))
+    rows = L.split_cells(df.where(~label & (person != "") & F.col("branch").isNotNull()))
+    stamps = F.regexp_extract_all("line", F.lit(rf"({rules.STAMP})"), 1)
+    phone = S.strip(F.regexp_extract("line", rules.PERSON + r"\s*,\s*[^,]*,\s*(\d[\d\s]*)", 1))
     quoted = F.regexp_extract_all("line", F.lit(r'"([\d,]+\.?\d*)"'), 1)
-    counts = F.transform(F.regexp_extract_all("line", F.lit(r",\s*(\d{1,3})\s*,"), 1), lambda x: x.cast("int"))
-    in_range = F.filter(F.reverse(counts), lambda x: x.between(1, 500))
+    stamped = F.transform("cells", lambda c: F.coalesce(c.rlike(rules.STAMP), F.lit(False)))
+    last = F.size("cells") - F.array_position(F.reverse(stamped), F.lit(True)).cast("int") + 1
+    after = F.filter(F.slice("cells", last + 1, F.size("cells")), lambda c: c.rlike(r"^\d+$"))
+    guesses = F.transform(F.regexp_extract_all("line", F.lit(r",\s*(\d+)\s*(?=,)"), 1), lambda x: x.try_cast("int"))
+    guess = F.get(F.filter(F.reverse(guesses), lambda x: x.between(1, most_orders)), F.lit(0))
+    count = F.when(F.array_contains(stamped, True), F.try_element_at(after, F.lit(-1)).try_cast("int")).otherwise(guess)
 
     def stamp(i: int) -> Column:
         return F.try_to_timestamp(F.get(stamps, F.lit(i)), F.lit("yyyy-MM-dd HH:mm"))
 
     return rows.select("branch", person.alias("customer"), phone.alias("phone"), stamp(0).alias("first_order"),
                        F.when(F.size(stamps) > 1, stamp(1)).otherwise(stamp(0)).alias("last_order"),
-                       F.coalesce(S.parse_number(F.get(quoted, F.lit(0))), F.lit(0.0)).alias("total"),
-                       F.coalesce(F.get(in_range, F.lit(0)), F.lit(1)).alias("num_orders"))
+                       F.coalesce(S.parse_number(F.get(quoted, F.lit(0))), F.lit(0.0)).alias("total"), count.alias("num_orders"))
+
 
+def _branch_label() -> tuple[Column, Column]:
+    """Whether a line names a branch (text in its first cell only, no customer), and the name."""
+    first = S.strip(F.split("line", ",")[0])
+    rest = S.strip(F.translate(F.regexp_replace("line", "^[^,]*", ""), ",", ""))
+    return (rest == "") & first.rlike(r"^[A-Z][A-Za-z\s\-']+$") & ~F.col("line").rlike(rules.PERSON), first
 
-def join_wrapped(lines: DataFrame, extra: int = 3) -> DataFrame:
-    """Customer rows joined with up to ``extra`` following lines, until the next customer, noise or blank line."""
-    marked = L.classify(lines)
-    starts = F.col("line").rlike(rf"^{PERSON}\s*(,|$)")
-    stop = starts | F.col("is_noise")
-    df = L.following(marked, F.when(~stop, F.col("line")), extra, "_tail")
-    open_tail = F.slice("_tail", 1, F.when(F.array_position(F.transform("_tail", lambda x: x.isNull()), True) > 0,
-                                           F.array_position(F.transform("_tail", lambda x: x.isNull()), True).cast("int") - 1)
-                        .otherwise(F.size("_tail")))
-    joined = F.when(starts, F.concat_ws(",", "line", F.array_join(F.when(F.size(open_tail) > 0, open_tail), ","))).otherwise(F.col("line"))
-    keep = [c for c in lines.columns if c != "line"]
-    return df.select(*keep, joined.alias("line"))
+
+def join_wrapped(lines: DataFrame) -> DataFrame:
+    """Customer rows joined with the lines they wrap onto, until the next customer, branch label, noise or blank line."""
+    starts = F.col("line").rlike(rf"^{rules.PERSON}\s*(,|$)")
+    stops = F.col("is_noise") | _branch_label()[0]
+    df = L.carry(L.classify(lines), {"_open": (starts | stops, starts)}, counts={"_row": starts})
+    open_ = F.coalesce("_open", F.lit(False))
+    at = F.struct("block", "pos")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "line"))), lambda x: x["line"])
+    kept = [c for c in lines.columns if c not in ("path", "line")]
+    rows = df.where(open_).groupBy("path", "_row").agg(F.min(F.struct(at.alias("at"), *kept)).alias("_first"), F.concat_ws(",", parts).alias("line"))
+    rows = rows.select("path", *[F.col(f"_first.{c}").alias(c) for c in kept], "line")
+    return df.where(~open_).select("path", *kept, "line").unionByName(rows).select(*lines.columns)
 
 
 def transaction_baskets(lines: DataFrame) -> DataFrame:
@@ -130,7 +137,7 @@ def transaction_baskets(lines: DataFrame) -> DataFrame:
     first = F.coalesce("c0", F.lit(""))
     branch_prefix = r"(?i)^Branch\s*:\s*"
     branch = first.rlike(branch_prefix + ".+")
-    person = first.rlike(f"^{PERSON}") & ~branch & ~F.col("is_total")
+    person = first.rlike(f"^{rules.PERSON}") & ~branch & ~F.col("is_total")
     name = F.regexp_replace(_after(first, branch_prefix), ",+$", "")
     df = L.carry(df, {"branch": (branch, name), "customer": (person, first)}, counts={"basket_id": person})
     rows = df.where(~branch & ~person & ~F.col("is_total") & F.col("branch").isNotNull() & F.col("customer").isNotNull()
@@ -140,37 +147,31 @@ def transaction_baskets(lines: DataFrame) -> DataFrame:
                        F.coalesce(S.parse_number(F.col("c3")), F.lit(0.0)).alias("price")).where(F.col("qty").isNotNull())
 
 
-EMPLOYEE = r"EMP ID\s*:\s*([\d.]+)"
-EMPLOYEE_NAME = r"NAME\s*:\s*(Person_\d+)"
-PUNCH_DATE = r"(\d{2}-\w{3}-\d{2})"
-PUNCH_TIME = r"(\d{2}\.\d{2}\.\d{2})"
-
-
 def attendance(lines: DataFrame) -> DataFrame:
     """emp_id, name, branch, date, punch_in, punch_out, duration_hours.
 
     Branch names are the texts on the lines right after an employee header; any later line with such a cell sets the branch.
     """
     df = L.split_cells(L.classify(lines))
-    employee = F.col("line").rlike(EMPLOYEE)
+    employee = F.col("line").rlike(rules.EMPLOYEE)
     df = L.previous(df, employee, "_after_employee")
-    cells = F.array_compact(F.array(*[F.col(f"c{i}") for i in range(L.N_CELLS)]))
-    plain = F.filter(cells, lambda c: ~c.rlike("^" + PUNCH_DATE) & ~c.rlike("^" + PUNCH_TIME) & ~c.rlike(r"^\d[\d.]*$"))
+    cells = F.array_compact("cells")
+    plain = F.filter(cells, lambda c: ~c.rlike("^" + rules.PUNCH_DATE) & ~c.rlike("^" + rules.PUNCH_TIME) & ~c.rlike(r"^\d[\d.]*$"))
     names = (df.where(F.coalesce("_after_employee", F.lit(False)) & ~employee)
              .select("path", F.get(plain, F.lit(0)).alias("_name")).where(F.col("_name").isNotNull()).distinct())
     skip = (F.col("is_noise") | F.col("is_total") | _contains("time & attendance") | _contains("punch in") | _contains("from date:"))
     df = df.where(~skip)
-    header = employee & F.col("line").rlike(EMPLOYEE_NAME)
-    has_time = F.col("line").rlike(PUNCH_TIME)
+    header = employee & F.col("line").rlike(rules.EMPLOYEE_NAME)
+    has_time = F.col("line").rlike(rules.PUNCH_TIME)
     # Only lines without a punch can name a branch; their cells are looked up in the file's names.
     labels = (df.where(~header & ~has_time).select(*L.PLACE, F.posexplode(cells).alias("_i", "_name")).join(names, ["path", "_name"])
               .groupBy(*L.PLACE).agg(F.min_by("_name", "_i").alias("_label")))
     df = df.join(labels, L.PLACE, "left")
-    emp = F.replace(F.regexp_extract("line", EMPLOYEE, 1), F.lit(".0"), F.lit(""))
-    df = L.carry(df, {"emp_id": (header, emp), "name": (header, F.regexp_extract("line", EMPLOYEE_NAME, 1)),
+    emp = F.replace(F.regexp_extract("line", rules.EMPLOYEE, 1), F.lit(".0"), F.lit(""))
+    df = L.carry(df, {"emp_id": (header, emp), "name": (header, F.regexp_extract("line", rules.EMPLOYEE_NAME, 1)),
                       "branch": (F.col("_label").isNotNull(), F.col("_label"))})
-    dates = F.regexp_extract_all("line", F.lit(PUNCH_DATE), 1)
-    times = F.regexp_extract_all("line", F.lit(PUNCH_TIME), 1)
+    dates = F.regexp_extract_all("line", F.lit(rules.PUNCH_DATE), 1)
+    times = F.regexp_extract_all("line", F.lit(rules.PUNCH_TIME), 1)
     rows = df.where(~header & (F.size(dates) > 0) & (F.size(times) > 0) & F.col("emp_id").isNotNull())
     third, second = F.get(times, F.lit(2)), F.get(times, F.lit(1))
     length = F.when(third.isNotNull(), third).when((F.size(times) == 2) & (F.size(dates) == 1), second)
@@ -183,14 +184,14 @@ def attendance_hours(lines: DataFrame, names: Sequence[tuple[str, str]], shortes
     """branch_raw, branch, emp_id, duration_hours: the duration at the end of a line, clock glitches left out."""
     df = L.split_cells(L.classify(lines).where(~F.col("is_noise")))
     df = df.where(~_contains("time & attendance") & ~_contains("punch in") & ~_contains("from date:"))
-    header = F.col("line").rlike(EMPLOYEE) | F.col("line").rlike(EMPLOYEE_NAME)
+    header = F.col("line").rlike(rules.EMPLOYEE) | F.col("line").rlike(rules.EMPLOYEE_NAME)
     df = L.previous(df, header, "_after")
-    cells = F.array_compact(F.array(*[F.col(f"c{i}") for i in range(L.N_CELLS)]))
+    cells = F.array_compact("cells")
     label = F.get(F.filter(cells, lambda c: c.rlike(r"^[A-Za-z][A-Za-z0-9\s\-'()]+$")), F.lit(0))
     naming = F.coalesce("_after", F.lit(False)) & ~header
     known = naming & S.canonical_name(label, names).isNotNull()
-    emp = F.regexp_extract("line", EMPLOYEE, 1)
-    df = L.carry(df, {"emp_id": (F.col("line").rlike(EMPLOYEE), emp), "branch_raw": (known, label)})
+    emp = F.regexp_extract("line", rules.EMPLOYEE, 1)
+    df = L.carry(df, {"emp_id": (F.col("line").rlike(rules.EMPLOYEE), emp), "branch_raw": (known, label)})
     hours = S.duration_hours(F.regexp_extract("line", r"(\d{2}[.:]\d{2}[.:]\d{2})\s*$", 1))
     return (df.where(~header & ~naming & F.col("emp_id").isNotNull() & F.col("branch_raw").isNotNull())
             .select("branch_raw", S.canonical_name(F.col("branch_raw"), names).alias("branch"), "emp_id", hours.alias("duration_hours"))
@@ -204,7 +205,7 @@ def tax_summary(lines: DataFrame, names: Sequence[tuple[str, str]] | None = None
     prefix = r"(?i)^Branch\s*Name\s*:\s*"
     header = F.coalesce(F.col("c0").rlike(prefix), F.lit(False))
     df = L.carry(df, {"branch_raw": (header, _after(F.col("c0"), prefix))})
-    numbers = F.array_compact(F.array(*[S.parse_number(F.col(f"c{i}")) for i in range(L.N_CELLS)]))
+    numbers = F.array_compact(F.transform("cells", S.parse_number))
     rows = df.where(~header & _contains("total by branch") & F.col("branch_raw").isNotNull()).withColumn("_n", numbers).where(F.size("_n") > 0)
     return _canonical(rows.select("branch_raw", F.get("_n", F.lit(0)).alias("vat"), F.element_at("_n", -1).alias("total_tax")), names)
 
@@ -216,7 +217,7 @@ def delivery_detail(lines: DataFrame, names: Sequence[tuple[str, str]] | None =
     first = F.coalesce("c0", F.lit(""))
     prefix = r"(?i)^Branch\s*[:\s]\s*"
     branch = first.rlike(prefix + ".+")
-    person = first.rlike(f"^{PERSON}") & ~branch
+    person = first.rlike(f"^{rules.PERSON}") & ~branch
     df = L.carry(df, {"branch_raw": (branch, _after(first, prefix)), "customer": (person, first)}, {"customer": ["branch_raw"]})
     rows = df.where(F.col("c0").isNull() & F.col("branch_raw").isNotNull() & F.col("customer").isNotNull() & F.col("c2").isNotNull())
     rows = rows.select("branch_raw", "customer", F.col("c2").alias("item"), S.parse_number(F.col("c1")).alias("qty"),
@@ -258,13 +259,13 @@ def detect_type(text: Column, registry: Sequence[ReportSpec] = REGISTRY) -> Colu
     return F.coalesce(*[F.when(text.contains(s.detect), F.lit(s.name)) for s in registry])
 
 
-def audit_files(lines: DataFrame, prefix_bytes: int | None = 8192, registry: Sequence[ReportSpec] = REGISTRY,
-                seen: DataFrame | None = None) -> DataFrame:
+def audit_files(lines: DataFrame, registry: Sequence[ReportSpec] = REGISTRY, seen: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
     """One row per file: file, path, hash, report_type, status (parsed or skipped) and reason.
 
-    Of files with the same hash the first by name is kept. ``seen`` (hash, file) holds files of earlier runs.
+    Of files with the same content the first by name is kept. ``seen`` (hash, file) holds files of earlier runs. Files without a
+    line have no row in ``lines``; ``listed`` (path, file), see ``lines.list_files``, adds them as empty.
     """
-    hashes = L.fingerprints(lines, prefix_bytes)
+    hashes = L.fingerprints(lines)
     first = hashes.groupBy("hash").agg(F.min_by(F.struct("path", "file"), F.struct("file", "path")).alias("_first"))
     files = hashes.join(first, "hash").join(L.first_lines(lines).select("path", "head"), "path", "left")
     twin = F.when(F.col("_first.path") != F.col("path"), F.col("_first.file"))
@@ -277,14 +278,20 @@ def audit_files(lines: DataFrame, prefix_bytes: int | None = 8192, registry: Seq
     fits = F.coalesce(*[F.when(kind == s.name, text.contains(s.require)) for s in registry])
     reason = (F.when(twin.isNotNull(), F.concat(F.lit("duplicate of "), twin)).when(kind.isNull(), F.lit("unknown report type"))
               .when(~fits, F.concat(F.lit("signature missing for "), kind)))
-    return files.select("file", "path", "hash", F.when(twin.isNull(), kind).alias("report_type"),
-                        F.when(reason.isNull(), "parsed").otherwise("skipped").alias("status"), reason.alias("reason"))
+    audit = files.select("file", "path", "hash", F.when(twin.isNull(), kind).alias("report_type"),
+                         F.when(reason.isNull(), "parsed").otherwise("skipped").alias("status"), reason.alias("reason"))
+    if listed is None:
+        return audit
+    key = lambda c: F.regexp_replace(c, ":/+", ":/").alias("_key")  # noqa: E731  the index and the metadata write local paths differently
+    empty = listed.withColumn("_key", key("path")).join(audit.select(key("path")), "_key", "left_anti")
+    none = F.lit(None).cast("string")
+    return audit.unionByName(empty.select("file", "path", none.alias("hash"), none.alias("report_type"), F.lit("skipped").alias("status"), F.lit("empty").alias("reason")))
 
 
 def parse_all(lines: DataFrame, audit: DataFrame, registry: Sequence[ReportSpec] = REGISTRY) -> dict[str, DataFrame]:
     """Route the lines of each accepted file to its parser; one table per report type.
 
-    ``lines`` is read once per type: pass a stored table (see ``plans.etl``), partitioned by report type.
+    ``lines`` is read once per type: pass a stored table (see ``plans.flows.etl``), partitioned by report type.
     """
     if "report_type" not in lines.columns:
         accepted = audit.where("status = 'parsed'").select("path", "report_type")

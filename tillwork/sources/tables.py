@@ -58,7 +58,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
     except AnalysisException as exc:
-        raise FileNotFoundError(f"no pair table at {path}; compute it with plans.combos first") from exc
+        raise FileNotFoundError(f"no pair table at {path}; compute it with plans.flows.combos first") from exc
 
 
 def read_result(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
