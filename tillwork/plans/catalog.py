@@ -284,8 +284,8 @@ def _sources(spark, d):
         region = F.when(F.col("branch") == f"store_{i}", name).otherwise(region)
     detail = orders.where("channel = 'DELIVERY'").select(
         "branch", F.col("c_name").alias("customer"), F.lit(1.0).alias("qty"), F.col("o_totalprice").alias("price"))
-    tax = orders.where("branch <> 'ASIA'").select("branch", (F.col("o_totalprice") * 0.11).alias("total_tax"))
-    return {"monthly_sales": star.monthly_sales(spark, d), "customer_orders": star.customer_orders(spark, d).where("branch <> 'AFRICA'"),
+    tax = orders.select("branch", (F.col("o_totalprice") * 0.11).alias("total_tax"))
+    return {"monthly_sales": star.monthly_sales(spark, d), "customer_orders": star.customer_orders(spark, d),
             "delivery_detail": detail, "tax_summary": tax,
             "attendance": star.shifts(spark, d).withColumn("branch", region)}
 
@@ -395,7 +395,7 @@ def _monthly_report(spark, d):
     page = months.select("branch", "year").distinct().select(
         "branch", "year", F.lit(6).alias("m"), F.lit(5).alias("kind"), F.format_string(",Year: %d,,Page 1 of, 2", "year").alias("line"))
     head = months.groupBy("branch").agg(F.min("year").alias("year")).select("branch", "year", F.lit(0).alias("m"), F.inline(F.array(
-        F.struct(F.lit(0).alias("kind"), F.lit("30-Jan-26,,,,").alias("line")),
+        F.struct(F.lit(0).alias("kind"), F.lit("17-Mar-27,,,,").alias("line")),
         F.struct(F.lit(1).alias("kind"), F.concat(F.lit("Branch Name: "), F.col("branch"), F.lit(",,,,")).alias("line")),
         F.struct(F.lit(2).alias("kind"), F.lit("Month,,Year,Total,").alias("line")))))
     rows = body.unionByName(total).unionByName(page).unionByName(head)

@@ -50,7 +50,7 @@ PARTS: dict[str, str] = {
     "buyers0": """SELECT branch, c_name AS customer, CAST(o_custkey AS VARCHAR) AS phone, min(o_orderdate) AS first_order,
         max(o_orderdate) AS last_order, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS t, CAST(count(*) AS INTEGER) AS num_orders
         FROM ord GROUP BY branch, c_name, o_custkey""",
-    "buyers": """SELECT branch, customer, phone, first_order, last_order, CASE WHEN t < 100000 THEN 0.0::DOUBLE ELSE t END AS total, num_orders FROM buyers0""",
+    "buyers": """SELECT branch, customer, phone, first_order, last_order, t AS total, num_orders FROM buyers0""",
     "active": "SELECT * FROM buyers WHERE total <> 0",
     "limits": """SELECT branch, quantile_cont(total, 0.33) AS q33, quantile_cont(total, 0.66) AS q66, quantile_cont(total, 0.5) AS median
         FROM active GROUP BY branch""",
@@ -74,12 +74,12 @@ PARTS: dict[str, str] = {
         max(active_employees) AS max_active_employees, count(*) AS slot_observations, count(DISTINCT date) AS observed_days
         FROM hourly GROUP BY ALL""",
     "deliv": """SELECT 'store_' || (user_id % 5) AS branch, CAST(user_id AS VARCHAR) AS customer, CAST(ts AS DATE) AS day, max(ts) AS last_order,
-        CAST(count(*) AS INTEGER) AS num_orders FROM events WHERE event_type = 'purchase' AND user_id % 5 <> 3 GROUP BY ALL""",
+        CAST(count(*) AS INTEGER) AS num_orders FROM events WHERE event_type = 'purchase' GROUP BY ALL""",
     "win": "SELECT min(date) AS a, max(date) + INTERVAL 1 DAY AS b FROM shifts WHERE is_valid_shift",
     "near": "SELECT d.* FROM deliv d CROSS JOIN win WHERE last_order >= a AND last_order < b",
     "smenu0": """SELECT 'store_' || (user_id % 5) AS branch, CASE WHEN event_type = 'purchase' THEN 'DELIVERY' ELSE upper(event_type) END AS channel,
         CAST(count(*) AS DOUBLE) AS customers, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS sales
-        FROM events WHERE event_type <> 'purchase' OR user_id % 5 IN (0, 2, 4) GROUP BY ALL""",
+        FROM events GROUP BY ALL""",
     "smenu": """SELECT *, round(customers / sum(customers) OVER (PARTITION BY branch), 6) AS share FROM smenu0""",
     "sweek": """SELECT 'store_' || (user_id % 5) AS branch, CAST(date_trunc('week', ts) AS DATE) AS date,
         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS revenue FROM events GROUP BY ALL""",
@@ -234,11 +234,11 @@ PARTS: dict[str, str] = {
         FROM ord WHERE channel = 'DELIVERY' GROUP BY branch""",
     "hk": """SELECT CASE branch WHEN 'store_0' THEN 'AFRICA' WHEN 'store_1' THEN 'AMERICA' WHEN 'store_2' THEN 'ASIA' WHEN 'store_3' THEN 'EUROPE'
         ELSE 'MIDDLE EAST' END AS branch, CAST(sum(CAST(h AS DECIMAL(18,4))) AS DOUBLE) AS total_hours FROM shift0 GROUP BY ALL""",
-    "tk": """SELECT branch, CAST(sum(CAST(o_totalprice * 0.11::DOUBLE AS DECIMAL(18,2))) AS DOUBLE) AS total_tax FROM ord WHERE branch <> 'ASIA' GROUP BY branch""",
+    "tk": """SELECT branch, CAST(sum(CAST(o_totalprice * 0.11::DOUBLE AS DECIMAL(18,2))) AS DOUBLE) AS total_tax FROM ord GROUP BY branch""",
     "bk": """SELECT rk.*, orders_count, total_customer_revenue / orders_count AS avg_order_value, total_customer_revenue, delivery_revenue, delivery_order_count,
         least(greatest(delivery_revenue / (avg_monthly_revenue * n_months), 0), 1) AS delivery_share,
         avg_monthly_revenue * n_months / total_hours AS revenue_per_hour, total_tax / (avg_monthly_revenue * n_months) AS tax_burden
-        FROM rk LEFT JOIN (SELECT * FROM ok WHERE branch <> 'AFRICA') USING (branch) LEFT JOIN dk USING (branch) LEFT JOIN hk USING (branch)
+        FROM rk LEFT JOIN ok USING (branch) LEFT JOIN dk USING (branch) LEFT JOIN hk USING (branch)
         LEFT JOIN tk USING (branch)""",
     "fs0": """SELECT branch, avg_monthly_revenue, recent_growth_rate, revenue_volatility, coalesce(avg_order_value, median(avg_order_value) OVER (), 0.5) AS avg_order_value,
         coalesce(delivery_share, median(delivery_share) OVER (), 0.5) AS delivery_share,

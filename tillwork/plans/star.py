@@ -92,13 +92,12 @@ def items_by_group(spark: SparkSession, d: str) -> DataFrame:
 
 
 def customer_orders(spark: SparkSession, d: str) -> DataFrame:
-    """branch, customer, phone, first_order, last_order, total, num_orders; small totals stand for voided ones."""
+    """branch, customer, phone, first_order, last_order, total, num_orders."""
     total = F.sum(S.money(F.col("o_totalprice"))).cast("double")
     return (orders(spark, d).groupBy("branch", F.col("c_name").alias("customer"), F.col("o_custkey"))
             .agg(F.min("o_orderdate").alias("first_order"), F.max("o_orderdate").alias("last_order"),
-                 total.alias("_total"), F.count(F.lit(1)).cast("int").alias("num_orders"))
-            .select("branch", "customer", F.col("o_custkey").cast("string").alias("phone"), "first_order", "last_order",
-                    F.when(F.col("_total") < 100000, F.lit(0.0)).otherwise(F.col("_total")).alias("total"), "num_orders"))
+                 total.alias("total"), F.count(F.lit(1)).cast("int").alias("num_orders"))
+            .select("branch", "customer", F.col("o_custkey").cast("string").alias("phone"), "first_order", "last_order", "total", "num_orders"))
 
 
 def _branch_of_user() -> Column:
@@ -120,7 +119,6 @@ def shifts(spark: SparkSession, d: str) -> DataFrame:
 def delivery_orders(spark: SparkSession, d: str) -> DataFrame:
     """Delivery customers from the purchase events: one row per user and day, ordered at its last event."""
     return (table(spark, d, "events").where(F.col("event_type") == "purchase")
-            .where(F.col("user_id") % 5 != 3)
             .groupBy(_branch_of_user().alias("branch"), F.col("user_id").cast("string").alias("customer"),
                      F.to_date("ts").alias("day"))
             .agg(F.max("ts").alias("last_order"), F.count(F.lit(1)).cast("int").alias("num_orders"))
@@ -128,10 +126,9 @@ def delivery_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store_menu(spark: SparkSession, d: str) -> DataFrame:
-    """Channel KPIs of the stores: event types as channels; only even stores report the DELIVERY channel."""
+    """Channel KPIs of the stores: event types as channels."""
     name = F.when(F.col("event_type") == "purchase", "DELIVERY").otherwise(F.upper("event_type"))
-    keep = (F.col("event_type") != "purchase") | (F.col("user_id") % 5).isin(0, 2, 4)
-    return (table(spark, d, "events").where(keep)
+    return (table(spark, d, "events")
             .groupBy(_branch_of_user().alias("branch"), name.alias("channel"))
             .agg(F.count(F.lit(1)).cast("double").alias("customers"),
                  F.sum(S.money(F.col("value"))).cast("double").alias("sales")))
