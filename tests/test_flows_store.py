@@ -72,7 +72,7 @@ def test_pair_lookups(spark, stored):
     both = lookups.run(spark, root, "query_combos", scope="branch:Hill|channel:DELIVERY", min_lift=0.0)
     assert both.count() > 0 and "at Hill via delivery orders" in both.first().explanation
     assert lookups.run(spark, root, "list_scopes").count() == 12
-    plan = lookups.combos(spark, root, branch="Hill")._jdf.queryExecution().executedPlan().toString()
+    plan = lookups.run(spark, root, "query_combos", branch="Hill")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(scope_type" in plan
 
 
@@ -92,6 +92,8 @@ def test_expansion_staffing_growth_lookups(spark, stored):
     assert rules and all(r.consequents == "latte" and r.is_total for r in rules)
     assert len(lookups.run(spark, root, "query_growth", query_type="recommendation").first().branch_actions) == 3
     assert lookups.run(spark, root, "query_growth", query_type="gap").count() == 3
+    for kind, n in (("growth_summary", 3), ("risk_summary", 3), ("feasibility_explanation", 18)):
+        assert lookups.run(spark, root, "query_expansion", query_type=kind, zones=ZONES).count() == n
     for name in ("query_expansion", "query_staffing", "query_growth"):
         with pytest.raises(ValueError):
             lookups.run(spark, root, name, query_type="weather")
@@ -105,6 +107,8 @@ def test_overview_and_pages(spark, stored):
     assert sections == {"forecast", "top_combos", "expansion_ranking", "staffing_summary", "growth_ranking"}
     assert {r.section for r in lookups.run(spark, root, "get_all_recommendations").collect()} == {"expansion", "growth", "staffing_top_gaps", "top_combos"}
     assert {r.section for r in lookups.run(spark, root, "page", feature="growth", branch="Hill").collect()} >= {"kpis", "potential"}
+    places = [(r.section, r.position) for r in lookups.run(spark, root, "get_overview").where("section = 'growth_ranking'").collect()]
+    assert sorted(places) == [("growth_ranking", i) for i in range(3)]
     assert lookups.run(spark, root, "query_forecast", as_json=True, compare=True).first().body.startswith("{")
 
 

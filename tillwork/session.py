@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,13 @@ DEFAULTS = {
 
 
 def build_session(app: str = "tillwork", cores: int | str = "*", **conf: str) -> SparkSession:
-    """A local session with the engine's defaults; extra settings as keyword arguments with ``__`` for dots."""
-    builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
+    """A session with the engine's defaults; extra settings as keyword arguments with ``__`` for dots.
+
+    The master is local only where neither a running session nor the launcher (spark-submit, MASTER) has chosen one.
+    """
+    builder = SparkSession.builder.appName(app)
+    if SparkSession.getActiveSession() is None and not os.environ.get("MASTER") and "--master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+        builder = builder.master(f"local[{cores}]")
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
@@ -31,12 +37,24 @@ def build_session(app: str = "tillwork", cores: int | str = "*", **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and staged tables: the session's own setting, else a local one (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tillwork-checkpoints")
+    """Shared folder for checkpoints and staged tables: the session's own setting.
+
+    Only a session whose executors are threads of the driver may do without; it gets a folder that is removed when the driver ends.
+    """
+    chosen = spark.conf.get("spark.checkpoint.dir", None)
+    if chosen:
+        return chosen
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = os.path.join(spark.conf.get("spark.local.dir", "/tmp"), f"tillwork-{spark.sparkContext.applicationId}-{os.getpid()}")
+    if not os.path.isdir(folder):
+        os.makedirs(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a table that is read several times to the shared folder and read it back.
+    """Write a table that is large and read several times to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors and gives the planner real sizes, so that it broadcasts only what is small.
     """
