@@ -64,18 +64,19 @@ def check(spark, con, sf_dir, name, query, sql) -> str:
 
 
 if __name__ == "__main__":
-    from tillwork.plans import catalog, oracle
+    import __spark_entry__ as entry
     from tillwork.session import build_session
 
     folder = f"/root/testdata/sf{sys.argv[1]}"
     session = build_session(cores=8, spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="12g")
     con = duck(folder)
-    for name, query in catalog.QUERIES.items():
-        if (sys.argv[2:] and name not in sys.argv[2:]) or name not in oracle.SQL:
+    queries, answers = entry.queries(), entry.oracle_sql()
+    for name, query in queries.items():
+        if (sys.argv[2:] and name not in sys.argv[2:]) or name not in answers:
             continue
         start = time.time()
         try:
-            result = check(session, con, folder, name, query, oracle.SQL[name])
+            result = check(session, con, folder, name, query, answers[name])
         except Exception as exc:  # report and go on with the next query
             result = f"ERROR {str(exc)[:600]}"
         print(f"{name:24s} {time.time() - start:6.1f}s {result}", flush=True)
