@@ -12,8 +12,7 @@ from .grouped import top_per_group
 PAIR_COLUMNS = ["scope", "scope_type", "branch", "channel", "item_a", "item_b", "n_orders", "count_a", "count_b",
                 "count_ab", "support", "confidence_ab", "confidence_ba", "lift"]
 RANKS = ("lift", "support", "count_ab")
-NARROW_ITEMS = 200  # baskets with at most this many items form their pairs inside one row
-CHUNK_ITEMS = 100  # items per block when a wide basket is paired block by block
+CHUNK_ITEMS = 100  # items per block when a basket is paired block by block
 
 
 def order_lines(df: DataFrame, marker: str = rules.DELIVERY_MARKER) -> DataFrame:
@@ -72,25 +71,16 @@ def order_baskets(lines: DataFrame, order: Sequence[str] = ("branch", "channel",
                     F.hour(stamp).alias("hour"), F.month(stamp).alias("month")))
 
 
-def explode_pairs(baskets: DataFrame, *keep: str) -> DataFrame:
-    """All pairs (item_a before item_b) of each basket's sorted item array; a basket of one item gives none."""
-    first = baskets.where(F.size("items_set") >= 2).select(*keep, "items_set", F.posexplode("items_set").alias("_i", "item_a"))
-    rest = F.slice("items_set", F.col("_i") + 2, F.size("items_set"))
-    return first.select(*keep, "item_a", F.explode(rest).alias("item_b"))
+def frequent_pairs(baskets: DataFrame, min_count: int, chunk: int = CHUNK_ITEMS) -> DataFrame:
+    """Pairs (branch, channel, item_a, item_b), one row per basket, of the items that reach ``min_count`` baskets.
 
-
-def _wide_pairs(baskets: DataFrame, min_count: int, narrow: int, chunk: int) -> DataFrame:
-    """Pairs of the baskets with more than ``narrow`` items.
-
-    Only items that reach ``min_count`` baskets are paired, others cannot be part of a result. The items of a basket are
-    cut into chunks and every pair of chunks is its own join key, so that a task sees at most ``chunk`` x ``chunk``
-    pairs of one basket at a time whatever the basket's size.
+    Rarer items cannot be part of a pair that often and are left out before pairing. The items of a basket are cut into
+    chunks and every pair of chunks is its own join key, so that a task sees at most ``chunk`` x ``chunk`` pairs of one
+    basket at a time whatever the basket's size.
     """
     frequent = (baskets.select(F.explode("items_set").alias("item")).groupBy("item").count()
                 .where(F.col("count") >= min_count).select("item"))
-    presence = (baskets.where(F.col("n_items") > narrow)
-                .select("order_id", "branch", "channel", "n_items", F.explode("items_set").alias("item"))
-                .join(frequent, "item", "left_semi"))
+    presence = baskets.select("order_id", "branch", "channel", "n_items", F.explode("items_set").alias("item")).join(frequent, "item", "left_semi")
     chunks = F.ceil(F.col("n_items") / chunk).cast("int")
     placed = presence.withColumn("_k", chunks).withColumn("_c", F.pmod(F.xxhash64("item"), F.col("_k")).cast("int"))
     left = placed.select("order_id", "branch", "channel", F.col("item").alias("_x"), F.col("_c").alias("_p"),
@@ -99,27 +89,22 @@ def _wide_pairs(baskets: DataFrame, min_count: int, narrow: int, chunk: int) ->
                           F.explode(F.sequence(F.lit(0), "_c")).alias("_p"))
     once = (F.col("_p") < F.col("_q")) | (F.col("_x") < F.col("_y"))
     return (left.join(right, ["order_id", "_p", "_q"]).where(once)
-            .select("branch", "channel", F.lit(2).alias("kind"), F.least("_x", "_y").alias("item_a"),
-                    F.greatest("_x", "_y").alias("item_b")))
+            .select("branch", "channel", F.least("_x", "_y").alias("item_a"), F.greatest("_x", "_y").alias("item_b")))
 
 
 def combo_pairs(baskets: DataFrame, min_support: float = 0.01, min_count_ab: int = 10, scopes: str = "all",
-                narrow: int = NARROW_ITEMS, chunk: int = CHUNK_ITEMS) -> DataFrame:
+                chunk: int = CHUNK_ITEMS) -> DataFrame:
     """Support, confidences and lift of item pairs overall, per branch, per channel and per branch and channel.
 
     Every basket emits one row for itself, one per item and one per pair. These are counted in one aggregation at the
     finest scope (map side first) and rolled up with GROUPING SETS, so the four-fold expansion touches aggregated rows
-    only. Baskets that are too wide to pair inside one row are paired in blocks. ``scopes="overall"`` gives that scope.
+    only. Items below ``min_count_ab`` baskets are not paired. ``scopes="overall"`` gives that scope.
     ``baskets`` is read several times: pass a stored table of :func:`order_baskets`.
     """
-    size, scope = F.col("n_items"), ["branch", "channel"]
-    nothing = F.lit("")
+    scope, nothing = ["branch", "channel"], F.lit("")
     head = baskets.select(*scope, nothing.alias("item_a"), nothing.alias("item_b"), F.lit(0).alias("kind"))
     single = baskets.select(*scope, F.explode("items_set").alias("item_a"), nothing.alias("item_b"), F.lit(1).alias("kind"))
-    paired = explode_pairs(baskets.where(size <= narrow), *scope).withColumn("kind", F.lit(2))
-    emitted = head.unionByName(single).unionByName(paired)
-    if not baskets.where(size > narrow).isEmpty():
-        emitted = emitted.unionByName(_wide_pairs(baskets, min_count_ab, narrow, chunk))
+    emitted = head.unionByName(single).unionByName(frequent_pairs(baskets, min_count_ab, chunk).withColumn("kind", F.lit(2)))
     # 'kind' (0 basket, 1 item, 2 pair) follows from the keys; as an aggregate it is not pushed below the shuffle,
     # so that the readers of all three kinds share that shuffle; so do keys that cannot be NULL.
     item_a, item_b = (F.coalesce(c, nothing).alias(c) for c in ("item_a", "item_b"))

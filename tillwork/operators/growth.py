@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -38,36 +39,31 @@ def merge_kpis(attach: DataFrame, revenue: DataFrame) -> DataFrame:
     return attach.join(revenue, "branch", "left")
 
 
-def _target_pairs(baskets: DataFrame, target, narrow: int) -> DataFrame:
+def _target_pairs(baskets: DataFrame, target) -> DataFrame:
     """(branch, food, drink) once per basket: the two classes of a basket's distinct items, combined row by row.
 
-    A basket is unfolded item by item; one with more than ``narrow`` items is spread over tasks between the two steps.
+    The rows of a basket are unfolded where the basket lies and counted map side, so no key moves before it is counted.
     """
     # Each item is classified once; the two lists are then cut from the tagged one.
     tag = F.transform(F.array_distinct("items_list"), lambda i: F.struct(i.alias("i"), target(i).alias("t")))
     split = baskets.select("branch", tag.alias("all")).select(
-        "branch", F.size("all").alias("n"), F.filter("all", lambda x: ~x["t"])["i"].alias("food"), F.filter("all", lambda x: x["t"])["i"].alias("drink"))
+        "branch", F.filter("all", lambda x: ~x["t"])["i"].alias("food"), F.filter("all", lambda x: x["t"])["i"].alias("drink"))
+    foods = split.where(F.size("drink") > 0).select("branch", "drink", F.explode("food").alias("item_a"))
+    return foods.select("branch", "item_a", F.explode("drink").alias("item_b"))
 
-    def combine(rows: DataFrame, spread: bool) -> DataFrame:
-        foods = rows.select("branch", "drink", F.explode("food").alias("item_a"))
-        if spread:
-            foods = foods.repartition("item_a")
-        return foods.select("branch", "item_a", F.explode("drink").alias("item_b"))
 
-    return combine(split.where(F.col("n") <= narrow), False).unionByName(combine(split.where(F.col("n") > narrow), True))
-
-
-def pair_rules(baskets: DataFrame, target, top_k: int | None = 10, narrow: int = 200) -> DataFrame:
+def pair_rules(baskets: DataFrame, target, top_k: int | None = 10, least: int = 1) -> DataFrame:
     """Rules (other item -> target item) per branch and for all: support, confidence, lift, best ``top_k`` by lift.
 
     Counts are taken once per branch and rolled up with GROUPING SETS; ``is_total`` marks the all-branch rules, so a
-    branch may itself be called ALL. ``baskets``: branch, items_list of normalised names; read several times.
+    branch may itself be called ALL. Pairs in fewer than ``least`` baskets give no rule. ``baskets``: branch, items_list
+    of normalised names; read several times.
     """
     items = baskets.select("branch", F.explode(F.array_distinct("items_list")).alias("item"))
     facts = (baskets.select("branch", F.lit("").alias("item_a"), F.lit("").alias("item_b"), F.lit(0).alias("kind"))
              .unionByName(items.select("branch", F.coalesce("item", F.lit("")).alias("item_a"), F.lit("").alias("item_b"),
                                        F.lit(1).alias("kind")))
-             .unionByName(_target_pairs(baskets, target, narrow).withColumn("kind", F.lit(2))))
+             .unionByName(_target_pairs(baskets, target).withColumn("kind", F.lit(2))))
     fine = facts.groupBy("branch", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
     rolled = (fine.withColumnRenamed("branch", "_branch")
               .groupingSets([["_branch", "item_a", "item_b"], ["item_a", "item_b"]], "_branch", "item_a", "item_b")
@@ -75,7 +71,7 @@ def pair_rules(baskets: DataFrame, target, top_k: int | None = 10, narrow: int =
     counts = rolled.select(F.coalesce("_branch", F.lit("ALL")).alias("branch"), "is_total", "item_a", "item_b", "n", "kind")
     key = ["branch", "is_total"]
     one = counts.where("kind = 1")
-    rows = (counts.where("kind = 2").select(*key, "item_a", "item_b", F.col("n").alias("ab"))
+    rows = (counts.where((F.col("kind") == 2) & (F.col("n") >= least)).select(*key, "item_a", "item_b", F.col("n").alias("ab"))
             .join(counts.where("kind = 0").select(*key, F.col("n").alias("baskets")), key)
             .join(one.select(*key, "item_a", F.col("n").alias("a")), [*key, "item_a"])
             .join(one.select(*key, F.col("item_a").alias("item_b"), F.col("n").alias("b")), [*key, "item_b"]))
@@ -117,9 +113,8 @@ def set_rules(baskets: DataFrame, target, min_support: float = 0.01, min_confide
         span = sized.agg(F.min("baskets").alias("low"), F.sum("baskets").alias("all")).first()
         parts.append(_mine(here, None, sized, False, target, min_support, min_confidence,
                            min_support * span["low"] / span["all"]))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+    empty = "branch string, is_total boolean, antecedents string, consequents string, support double, confidence double, lift double"
+    result = reduce(DataFrame.unionByName, parts) if parts else baskets.sparkSession.createDataFrame([], empty)
     if top_k is None:
         return result
     order = [F.desc("lift"), F.desc("confidence"), F.asc("antecedents"), F.asc("consequents")]

@@ -242,7 +242,7 @@ def _growth_items(spark, d):
 
 
 def assoc_rules_pairs(spark, d):
-    return G.pair_rules(_growth_baskets(spark, d), is_target, None)
+    return G.pair_rules(_growth_baskets(spark, d), is_target, None, least=3)
 
 
 def assoc_rules_top(spark, d):

@@ -424,7 +424,7 @@ BODIES: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY branch ORDER BY abs(gap_base) DESC, dn, hour) AS rn FROM gaps) WHERE rn <= 10""",
     "attach_kpis": "SELECT * FROM kpi",
     "attach_revenue_share": "SELECT * FROM rev",
-    "assoc_rules_pairs": "SELECT * FROM rules",
+    "assoc_rules_pairs": """SELECT r.* FROM rules r JOIN rules0 p USING (branch, is_total, antecedents, consequents) WHERE ab >= 3""",
     "assoc_rules_top": "SELECT branch, is_total, antecedents, consequents, support, confidence, lift FROM top_rules",
     # At this support no set of three items is frequent on these tables, so all rules have one item on each side.
     "assoc_rules_fpgrowth": """SELECT branch, is_total, antecedents, consequents, round(ab::DOUBLE / nb, 6) AS support, round(ab::DOUBLE / na, 6) AS confidence,
