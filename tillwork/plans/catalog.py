@@ -378,10 +378,14 @@ def forecast_backtest(spark, d):
 
 # ---------------------------------------------------------------- reports
 
-def _report(spark: SparkSession, rows: DataFrame, name: str, block: Column, *order: Column) -> DataFrame:
-    """Rows with a ``line`` column as the placed lines of one report file, cut into blocks."""
+REPORT_FILES = 64
+
+
+def _report(rows: DataFrame, name: str, number: Column, block: Column, *order: Column) -> DataFrame:
+    """Rows with a ``line`` column as the placed lines of report files (file ``number`` of a name), each cut into blocks."""
     pos = order[0] if len(order) == 1 else F.struct(*order)
-    return rows.select(F.lit(name).alias("path"), F.lit(name).alias("file"), block.alias("block"), pos.alias("pos"), "line")
+    file = F.concat(F.lit(f"{name}-"), number.cast("string"), F.lit(".csv"))
+    return rows.select(file.alias("path"), file.alias("file"), block.alias("block"), pos.alias("pos"), "line")
 
 
 def _monthly_report(spark, d):
@@ -400,7 +404,7 @@ def _monthly_report(spark, d):
         F.struct(F.lit(2).alias("kind"), F.lit("Month,,Year,Total,").alias("line")))))
     rows = body.unionByName(total).unionByName(page).unionByName(head)
     branch_rank = F.array_position(F.array(*[F.lit(b) for b in sorted(star.ZONES)]), F.col("branch"))
-    return _report(spark, rows, "monthly.csv", branch_rank * 10000 + F.col("year"), F.col("m"), F.col("kind"))
+    return _report(rows, "monthly", branch_rank, F.col("year"), F.col("m"), F.col("kind"))
 
 
 def report_roundtrip(spark, d):
@@ -410,25 +414,25 @@ def report_roundtrip(spark, d):
 def _detail_report(spark, d):
     """Order lines as an order-detail report: one person block per order, a branch header on every order."""
     items = star.table(spark, d, "part").select("p_partkey", "p_name")
-    detail = (star.table(spark, d, "lineitem").join(items, F.expr("l_partkey = p_partkey"))
-              .join(star.orders(spark, d).select("o_orderkey", "branch"), F.expr("l_orderkey = o_orderkey")))
+    detail = star.table(spark, d, "lineitem").join(items, F.expr("l_partkey = p_partkey")).withColumnRenamed("l_orderkey", "o_orderkey")
     price = F.when(F.col("l_linenumber") == 7, F.lit("0.00")).otherwise(F.format_string('"%,.2f"', "l_extendedprice"))
     qty = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
     body = detail.select("o_orderkey", F.lit(3).alias("kind"), F.col("l_linenumber").alias("n"),
                          F.format_string(",%.0f,%s,%s,", qty, "p_name", price).alias("line"))
-    head = detail.select("o_orderkey", "branch").distinct().select("o_orderkey", F.inline(F.array(
+    head = star.orders(spark, d).select("o_orderkey", F.inline(F.array(
         F.struct(F.lit(1).alias("kind"), F.concat(F.lit("Branch :"), F.col("branch"), F.lit(",,,,")).alias("line")),
         F.struct(F.lit(2).alias("kind"), F.format_string("Person_%d,,,,", "o_orderkey").alias("line")),
         F.struct(F.lit(4).alias("kind"), F.lit("Total :,,,,").alias("line"))))).select(
         "o_orderkey", "kind", F.lit(0).alias("n"), "line")
     rows = body.unionByName(head)
-    return _report(spark, rows, "detail.csv", F.floor(F.col("o_orderkey") / 500), F.col("o_orderkey") * 1000 + F.col("kind") * 100 + F.col("n"))
+    key = F.col("o_orderkey")
+    return _report(rows, "detail", key % REPORT_FILES, F.floor(key / (50 * REPORT_FILES)), key * 1000 + F.col("kind") * 100 + F.col("n"))
 
 
 def report_order_detail(spark, d):
     flagged = T.flag_lines(R.transaction_baskets(stage(_detail_report(spark, d), "detail_report")))
     return flagged.groupBy("branch", "is_void", "is_modifier").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_distinct("basket_id").alias("n_baskets"),
+        F.count(F.lit(1)).alias("n_lines"), F.count_distinct("file", "basket_id").alias("n_baskets"),
         F.sum(S.money(F.col("price"))).cast("double").alias("price"), F.sum(S.money(F.col("qty"))).cast("double").alias("qty"))
 
 
@@ -440,19 +444,19 @@ def report_basket_core(spark, d):
 
 def report_items(spark, d):
     """Item rows written under branch, division and group headers and parsed back."""
-    items = stage(star.items_by_group(spark, d), "items")
+    items = stage(star.items_by_group(spark, d).withColumn("number", F.pmod(F.hash("branch", "division"), F.lit(REPORT_FILES))), "items")
     levels = [("branch", ["branch"]), ("division", ["branch", "division"]), ("group", ["branch", "division", "group"])]
-    rows = items.select("branch", "division", "group", F.lit(3).alias("level"), "item",
+    rows = items.select("number", "branch", "division", "group", F.lit(3).alias("level"), "item",
                         F.format_string('%s,,%.0f,"%,.2f"', "item", "qty", "amount").alias("line"))
     for i, (name, keys) in enumerate(levels):
-        header = items.select(*keys).distinct()
+        header = items.select("number", *keys).distinct()
         for c in ("branch", "division", "group"):
             if c not in keys:
                 header = header.withColumn(c, F.lit(""))
-        rows = rows.unionByName(header.select("branch", "division", "group", F.lit(i).alias("level"), F.lit("").alias("item"),
+        rows = rows.unionByName(header.select("number", "branch", "division", "group", F.lit(i).alias("level"), F.lit("").alias("item"),
                                               F.format_string(f"{name.title()}: %s,,,", name).alias("line")))
     rank = F.array_position(F.array(*[F.lit(b) for b in sorted(star.ZONES)]), F.col("branch"))
-    placed = _report(spark, rows, "items.csv", rank, F.col("division"), F.col("group"), F.col("level"), F.col("item"))
+    placed = _report(rows, "items", F.col("number"), rank, F.col("division"), F.col("group"), F.col("level"), F.col("item"))
     return R.items_by_group(stage(placed, "items_report")).select("branch", "division", "group", "item", "qty", "amount")
 
 
@@ -469,7 +473,8 @@ def report_attendance(spark, d):
         F.struct(F.lit(2).alias("kind"), F.format_string(",store_%d,,,,", F.col("user_id") % 5).alias("line")),
         F.struct(F.lit(4).alias("kind"), F.lit(",,,,Total :,99:00:00").alias("line"))))).select(
         "user_id", "kind", F.lit(0).cast("long").alias("n"), "line")
-    placed = _report(spark, body.unionByName(head), "punches.csv", F.floor(F.col("user_id") / 10), F.col("user_id"), F.col("kind"), F.col("n"))
+    user = F.col("user_id")
+    placed = _report(body.unionByName(head), "punches", user % REPORT_FILES, F.floor(user / (4 * REPORT_FILES)), user, F.col("kind"), F.col("n"))
     return R.attendance(stage(placed, "punch_report")).groupBy("emp_id", "branch", "date").agg(
         F.count(F.lit(1)).alias("n"), S.round_to(F.sum(F.col("duration_hours").cast("decimal(18,6)")).cast("double"), 3).alias("hours"))
 
