@@ -73,10 +73,11 @@ def quotas(target: list[float], sizes: list[int], block: int, shards: int) -> li
     return [[b - a for a, b in zip([0, *row], row)] for row in upto]
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block: int = 32, shards: int = 8, seed: int = 17) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block: int = 32, shards: int = 8, seed: int = 17,
+          keep: tuple[str, ...] = ()) -> DataFrame:
     """How much of each row the mix takes.
 
-    Result: doc_id, source, size (words), source_size, target (of its source), taken (words, repeats counted), row_id (long, unique). Sources
+    Result: doc_id, source, size (words), source_size, target (of its source), taken (words, repeats counted), and the columns ``keep``. Sources
     are ordered by code point, null last, and get the weights in turn. A null or empty text has size 0 and gives nothing; null doc_ids do not
     matter; equal rows may differ in ``taken``, but reruns agree on how many of them have which. An empty table gives an empty result. A
     missing column ``source`` is one null source; extra columns are ignored.
@@ -84,7 +85,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block: int =
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"),
                        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                       F.xxhash64(F.lit(seed), "doc_id", F.col("text")).alias("place"), F.monotonically_increasing_id().alias("row_id"))
+                       F.xxhash64(F.lit(seed), "doc_id", F.col("text")).alias("place"), *keep)
     rows = tables.stage(rows, "sizes")
     spark = docs.sparkSession
     found = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
@@ -108,7 +109,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block: int =
     part = lambda i: F.least(end, (i + 1) * block) - F.greatest(F.col("offset"), i * block)
     last = F.aggregate(touched, F.lit(0).cast("long"), lambda s, i: s + F.when(F.pmod(i * F.col("step"), F.col("n")) < F.col("rest"), part(i)).otherwise(0))
     taken = F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + last).otherwise(0)
-    return streams.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "row_id")
+    return streams.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)
 
 
 def mix(docs: DataFrame, block: int = 32, seed: int = 17) -> DataFrame:
@@ -116,15 +117,16 @@ def mix(docs: DataFrame, block: int = 32, seed: int = 17) -> DataFrame:
 
     A row of which the mix takes x times its words appears floor(x) times, and once more where a seeded hash of the row is below the rest of x.
     """
-    rows = docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       (F.col("source") if "source" in docs.columns else F.lit(None)).cast("string").alias("source"))
-    rows = tables.stage(rows, "rows")
+    rows, key = tables.keyed(docs), ("_file", "_index")
+    source = F.col("_row.source") if "source" in docs.columns else F.lit(None)
+    drawn = F.xxhash64(F.lit(seed + 1), "_row.doc_id", "_row.text").alias("_draw")
+    narrow = rows.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), source.cast("string").alias("source"), drawn, *key)
     share = F.col("taken") / F.col("size")
-    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod("_draw", F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = (F.floor(share) + (chance < share - F.floor(share)).cast("long")).cast("int")
-    wanted = mixed(rows.select("doc_id", "text", "source"), block=block, seed=seed).where("taken > 0").select("doc_id", times.alias("times")).where("times > 0")
-    out = rows.select("doc_id", "_row").join(wanted, "doc_id")
-    return out.select("_row", F.explode(F.sequence(F.lit(1), "times")).alias("_n")).select("_row.*")
+    wanted = mixed(narrow, block=block, seed=seed, keep=(*key, "_draw")).where("taken > 0").select(*key, times.alias("_times")).where("_times > 0")
+    out = rows.join(tables.stage(wanted, "wanted"), list(key))
+    return out.select("_row", F.explode(F.sequence(F.lit(1), "_times")).alias("_n")).select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, task_nodes: int = 2000,
     ignored. ``task_nodes`` and ``task_shingles`` only bound the memory of a task.
     """
     texts, _ = tables.blocks(tables.as_documents(docs))
+    named = grouped(texts, percent, task_nodes, task_shingles)
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root").select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(texts: DataFrame, percent: int, task_nodes: int, task_shingles: int) -> DataFrame:
+    """(block, uid, doc_id, n_shingles, root) of the rows of a table of ``tables.blocks``; equal roots make a group."""
     # A text's row of the blocks is found again by block and uid.
     sets = tables.stage(texts.select("block", "uid", "doc_id", "text").mapInArrow(lambda batches: (describe(b) for b in batches if b.num_rows), SETS), "sets")
     node = F.min("uid").alias("node")
@@ -254,11 +261,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, task_nodes: int = 2000,
             right.select("block", uid, task("root", "chunk", "share"), F.lit(1).alias("side"), own))
         links = links.unionByName(near).unionByName(verify(tasks))
     groups = tables.components(links.select("a", "b"))
-    named = sets.where("n_shingles > 0").join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("uid", "doc_id", "n_shingles", "node")
+    named = sets.where("n_shingles > 0").join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("block", "uid", "doc_id", "n_shingles", "node")
     named = named.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.unionByName(sets.where("n_shingles = 0").select("uid", "doc_id", "n_shingles", F.col("uid").alias("node"), F.col("uid").alias("root")))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    alone = sets.where("n_shingles = 0").select("block", "uid", "doc_id", "n_shingles", F.col("uid").alias("root"))
+    return named.select("block", "uid", "doc_id", "n_shingles", "root").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -266,13 +272,11 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     The first has the least doc_id, a null being last; among equal ones any single row stays.
     """
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"),
-                       F.monotonically_increasing_id().alias("doc_id"))
-    rows = tables.stage(rows, "rows")
-    groups = near_duplicates(rows.select("doc_id", "text"), percent).select("doc_id", "component_id")
-    named = groups.join(rows.select("doc_id", "_doc"), "doc_id")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "doc_id")).getField("doc_id").alias("doc_id"))
-    return rows.join(first, "doc_id", "left_semi").select("_row.*")
+    texts, _ = tables.blocks(docs, whole=True)
+    named = grouped(texts.drop("_row"), percent, 2000, 1 << 20)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "block")
+    first = named.groupBy("root").agg(F.min(order).alias("first")).select("first.block", "first.uid")
+    return tables.of_blocks(texts.select("block", "uid", "_row"), first).select("_row.*")
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,13 @@ import math
 import os
 import uuid
 
-import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.session import checkpoint_dir, stage
 
-__all__ = ["as_documents", "blocks", "components", "numbered", "parts", "read_block", "stage"]
+__all__ = ["as_documents", "blocks", "components", "keyed", "numbered", "of_blocks", "parts", "stage"]
 
 
 def as_documents(docs: DataFrame, *more: str) -> DataFrame:
@@ -24,27 +24,45 @@ def parts(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 
 
-def blocks(docs: DataFrame, block_bytes: int = 6 << 20) -> tuple[DataFrame, int]:
-    """Write documents dealt by content into blocks of about ``block_bytes`` of text; the table is bucketed by block.
+def blocks(docs: DataFrame, block_bytes: int = 6 << 20, whole: bool = False) -> tuple[DataFrame, int]:
+    """Write documents dealt by hash into blocks of about ``block_bytes`` of text; the table is bucketed by block.
 
-    Gives the table (block int, uid long, doc_id, text) and the number of blocks. ``uid`` is fixed by the write, so it names a row
-    even where doc_id is null or repeated. Tables keyed by block join to it without moving the texts again. A row longer than a
-    block makes its block longer; rows are dealt by a hash of the whole row and a random-free row number, so copies spread.
+    Gives the table (block int, uid long, doc_id, text) and the number of blocks; with ``whole`` also the row as the struct ``_row``, which
+    then is all that is stored. ``uid`` is fixed by the write, so it names a row even where doc_id is null or repeated. What is keyed by
+    block comes to the texts without moving them again. A row longer than a block makes its block longer; copies spread.
     """
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     n = parts(total, block_bytes)
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("uid", "doc_id"), F.lit(n)).cast("int"))
+    kept = [F.struct("*").alias("_row")] if whole else ["doc_id", "text"]
+    rows = docs.select(*kept, F.monotonically_increasing_id().alias("uid"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int"))
     name = f"blocks_{uuid.uuid4().hex}"
     path = os.path.join(checkpoint_dir(spark), name)
     (rows.repartition(n, "block").write.option("path", path).option("compression", "zstd")
      .bucketBy(n, "block").sortBy("block").saveAsTable(name))
-    return spark.table(name), n
+    table = spark.table(name)
+    if whole:
+        table = table.withColumns({"doc_id": F.col("_row.doc_id").cast("long"), "text": F.col("_row.text").cast("string")})
+    return table, n
 
 
-def read_block(left: pa.Table) -> tuple[pa.Array, list]:
-    return left.column("text").combine_chunks(), left.column("uid").to_pylist()
+def of_blocks(table: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of a table of ``blocks`` whose (block, uid) are in ``chosen``; one list per block meets it, so no text is moved."""
+    lists = chosen.groupBy("block").agg(F.collect_set("uid").alias("_uids"))
+    return table.join(lists, "block").where(F.array_contains("_uids", F.col("uid"))).drop("_uids")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` as the struct ``_row`` with a name that a second reading finds again: (_file, _index).
+
+    That is the place in its Parquet file where ``docs`` is such a table as read; any other table is written first.
+    """
+    row = F.struct("*").alias("_row")
+    try:
+        return docs.select(row, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    except AnalysisException:
+        return stage(docs.select(row, F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_index")), "rows")
 
 
 def numbered(df: DataFrame, key: Column | None, order: list[Column], name: str, weight: Column | None = None, per: int = 50_000) -> DataFrame:
