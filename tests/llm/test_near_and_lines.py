@@ -99,7 +99,7 @@ def lines_expected(rows, percent=80, least=20):
 
     for i in range(len(norms)):
         for j in range(i):
-            if bin(int(h[i] ^ h[j])).count("1") <= 3 and fl.similar(norms[i], norms[j], percent):
+            if np.bitwise_count(h[i] ^ h[j]).sum() <= 3 and fl.similar(norms[i], norms[j], percent):
                 root[find(i)] = find(j)
     at, seen, gone = {s: i for i, s in enumerate(norms)}, set(), defaultdict(set)
     for i, k, s in lines:
@@ -144,15 +144,18 @@ def test_edit_similarity():
         assert fl.similar(a, b, 80) == (distance(a, b) <= max(len(a), len(b)) * 20 // 100)
 
 
-def test_hashes_within_three_bits_share_a_key():
+def test_hashes_within_three_bits_share_a_key_and_have_one_task():
     rng = random.Random(9)
     for _ in range(200):
-        x = rng.getrandbits(64)
-        y = x
-        for bit in rng.sample(range(64), 3):
-            y ^= 1 << bit
-        found = fl.keys(np.array([x, y], np.uint64))
-        assert (found[0] == found[1]).any()
+        x = [rng.getrandbits(64), rng.getrandbits(16)]
+        y = list(x)
+        for bit in rng.sample(range(80), 3):
+            y[bit // 64] ^= 1 << bit % 64
+        both = np.array([x, y], np.uint64)
+        found = fl.keys(both)
+        shared = np.flatnonzero(found[0] == found[1])
+        assert len(shared)
+        assert [k for k in range(10) if fl.near(both, both[0], k)[1]] == [shared[0]]
 
 
 def test_empty_tables(frame):
