@@ -52,6 +52,25 @@ def test_groups_match_brute_force(frame, most):
     same(got, expected(rows))
 
 
+def test_every_link_counts_whatever_group_is_largest_on_the_way():
+    rng, cases = random.Random(8), []
+    for k in range(200):
+        # A chain whose neighbours share 7 of 9, with bursts of near copies in every other case.
+        sets = []
+        for step in range(20):
+            sets.append(np.arange(step, step + 8, dtype=np.uint64))
+            sets += [np.append(sets[-1], np.uint64(10**6 + rng.randrange(10**9))) for _ in range(3 * (k % 2) * (rng.random() < 0.3))]
+        rng.shuffle(sets)
+        cases.append(sets)
+    for sets in cases:
+        found = nd.unite(sets, np.zeros(len(sets), int), np.arange(len(sets)), 75)
+        root = list(range(len(sets)))
+        for i, j, _ in found:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        assert set(root) == {0}
+
+
 def test_signature_of_a_union_is_the_least_of_its_parts():
     rng = np.random.default_rng(0)
     elements = rng.integers(0, 2**63, 900).astype(np.uint64)

@@ -5,7 +5,7 @@
 2. Nodes that share a band are linked to the least of the band's nodes, so a band of n nodes gives n - 1 links. The connected
    groups of these links hold every pair that shares a band; they are only candidates.
 3. Each candidate group is verified on full sets. A task compares leaders with all its nodes through an inverted index and unites
-   what is similar enough, until every node outside the largest united group has been a leader: then any two nodes of
+   what is similar enough, until every node outside the group that is largest at the end has been a leader: then any two nodes of
    different groups have been compared. A tight group needs few leaders, and no pairs are listed.
 4. A candidate group larger than a task is cut into chunks that are verified alone; then its best connected node is compared with
    every node of the group; then the nodes not yet united with it, as a rule few, meet every chunk. This is exact as well.
@@ -137,24 +137,30 @@ def unite(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, percent:
     two = bool((side == 1).any())
     out: list[tuple[int, int, int]] = []
     counts = np.bincount(group)
-    for i in np.argsort(-spread, kind="stable").tolist():
-        if two and side[i] == 0 or not two and counts[group[i]] == counts.max() and out and counts.argmax() == group[i]:
-            continue
-        if counts.max() == n:
-            break
-        mine = number[first[i] : first[i + 1]]
-        met = np.bincount(np.concatenate([holders[at[t] : at[t + 1]] for t in mine.tolist()]), minlength=n)
-        linked = 100 * met >= percent * (sizes + sizes[i] - met)
-        linked[i] = False
-        if two:
-            linked &= side == 0
-        n_links = int(linked.sum())
-        for j in np.flatnonzero(linked & (group != group[i])).tolist():
-            if group[j] != group[i]:
-                out.append((i, j, n_links))
-                counts[group[i]] += counts[group[j]]
-                counts[group[j]] = 0
-                group[group == group[j]] = group[i]
+    led, order = np.zeros(n, bool), np.argsort(-spread, kind="stable")
+    todo = order[side[order] != 0] if two else order
+    while len(todo):
+        for i in todo.tolist():
+            if counts.max() == n:
+                return out
+            if not two and out and counts.argmax() == group[i]:
+                continue
+            led[i] = True
+            mine = number[first[i] : first[i + 1]]
+            met = np.bincount(np.concatenate([holders[at[t] : at[t + 1]] for t in mine.tolist()]), minlength=n)
+            linked = 100 * met >= percent * (sizes + sizes[i] - met)
+            linked[i] = False
+            if two:
+                linked &= side == 0
+            n_links = int(linked.sum())
+            for j in np.flatnonzero(linked & (group != group[i])).tolist():
+                if group[j] != group[i]:
+                    out.append((i, j, n_links))
+                    counts[group[i]] += counts[group[j]]
+                    counts[group[j]] = 0
+                    group[group == group[j]] = group[i]
+        # Another group may be the largest now: those left out for the former one that are not in it lead as well.
+        todo = order[~led[order] & (group[order] != counts.argmax())] if not two else order[:0]
     return out
 
 
