@@ -163,6 +163,36 @@ def test_edit_similarity():
         assert fl.similar(a, b, 80) == (distance(a, b) <= max(len(a), len(b)) * 20 // 100)
 
 
+def test_every_line_link_counts_whatever_group_is_largest_on_the_way():
+    # Links 0-1, 2-3, 2-4, 1-3: 1 is left out while {0, 1} is largest, 3 and 4 while {2, 3, 4} is.
+    rng, same_hash = random.Random(6), lambda n: np.zeros((n, 2), np.uint64)
+    letters = lambda k: "".join(chr(97 + (i * k) % 26) for i in range(20))
+    def walk(steps, start):
+        out = [start]
+        for k in range(steps):
+            now = list(out[-1])
+            for i in range(4):
+                now[(4 * k + i) % 20] = chr(ord("A") + (k + i) % 26)
+            out.append("".join(now))
+        return out
+
+    chain = walk(4, letters(7))
+    cases = [[chain[0], chain[1], chain[3], chain[2], chain[4]]]
+    for _ in range(300):
+        lines = [line for k in rng.sample((3, 5, 7, 9, 11), 3) for line in walk(rng.randrange(1, 7), letters(k))]
+        rng.shuffle(lines)
+        cases.append(lines)
+    for lines in cases:
+        n = len(lines)
+        want, got = list(range(n)), list(range(n))
+        links = [(i, j) for i in range(n) for j in range(i) if fl.similar(lines[i], lines[j], 80)]
+        for root, pairs in ((want, links), (got, fl.unite(list(range(n)), same_hash(n), lines, np.zeros(n, int), 0, 80))):
+            for i, j in pairs:
+                a, b = root[i], root[j]
+                root[:] = [min(a, b) if r in (a, b) else r for r in root]
+        assert got == want
+
+
 def test_hashes_within_three_bits_share_a_key_and_have_one_task():
     rng = random.Random(9)
     for _ in range(200):
