@@ -141,6 +141,23 @@ def test_fuzzy_lines_match_brute_force(frame, most):
     same(fl.fuzzy_lines(frame(rows, more=True), most=most).collect(), lines_expected(rows))
 
 
+def test_lines_near_by_edit_similarity_alone_are_found(frame):
+    rng, pairs = random.Random(12), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    for n in (12, 20, 40):
+        for changed in range(1, n // 8 + 1):
+            for _ in range(60):
+                a = [word() for _ in range(n)]
+                b = list(a)
+                for i in rng.sample(range(n), changed):
+                    b[i] = word()
+                pairs.append((" ".join(a), " ".join(b)))
+    pairs = [p for p in pairs if fl.similar(*p, 80)]
+    rows = [(i, x, "en", "s", 0) for i, x in enumerate(x for p in pairs for x in p)]
+    found = sum(r.n_removed for r in fl.fuzzy_lines(frame(rows)).collect())
+    assert len(pairs) > 400 and found >= 0.97 * len(pairs)
+
+
 def test_repeated_rows_keep_one_line(frame):
     row = (1, brute.prose(5, 30), "en", "s", 0)
     assert sorted(r.n_removed for r in fl.fuzzy_lines(frame([row, row, row])).collect()) == [0, 1, 1]
