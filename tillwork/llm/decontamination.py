@@ -4,7 +4,8 @@ Words are lower-cased, without marks, and taken as 64-bit hashes. A seed is the
 between them may differ. Seeds of benchmark items and documents are joined; a hit fixes how the two texts lie against each other. Each
 such alignment is verified whole: a document is contaminated if some WINDOW aligned words of an item differ in at most ``differing``
 places. Any such window holds a seed of MASKS that misses all of two differing words (all placements were enumerated), so none is lost.
-An item shorter than the window must agree as a whole in all but that share of its words.
+An item shorter than the window must agree as a whole in all but that share of its words: of up to 6 words in all, of 7 to 12 in all but
+one. Where MASKS leave such an item without a seed (up to 5 words, and some places of 7 and 8), a mask of SHORT holds its first word.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from tillwork.llm import tables
 
 # Fixed masks: places of the words that count, from the first one.
 MASKS = ((0, 1, 3, 4, 5), (0, 1, 4, 8, 9))
+# By the length of an item: a mask from its first word, for the differences that leave it no seed of MASKS.
+SHORT = {1: (0,), 2: (0, 1), 3: (0, 1, 2), 4: (0, 1, 2, 3), 5: (0, 1, 2, 3, 4), 7: (0, 2, 3, 6), 8: (0, 1, 2, 3, 4)}
 WINDOW, DIFFERING = 13, 2
 MARKS = ".,;:!?\"'()[]"
 BROADCAST_SEEDS = 2_000_000  # about 60 MB as a hash table; more seeds are joined by shuffling
@@ -27,11 +30,11 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.coalesce(plain, F.lit("")), " +"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep, pos, seed) of every word position and mask of a table with ``hashes``; a mask that runs over the end gives none."""
+def seeds(rows: DataFrame, *keep: str, masks: dict[int, tuple[int, ...]] = dict(enumerate(MASKS))) -> DataFrame:
+    """(keep, pos, seed) of every word position and mask (by number) of a table with ``hashes``; a mask that runs over the end gives none."""
     placed = rows.select(*keep, "hashes", F.posexplode("hashes").alias("pos", "_word"))
     at = lambda k: F.get("hashes", F.col("pos") + k)
-    each = F.array(*(F.when(F.col("pos") + mask[-1] < F.size("hashes"), F.xxhash64(F.lit(i), *(at(k) for k in mask))) for i, mask in enumerate(MASKS)))
+    each = F.array(*(F.when(F.col("pos") + mask[-1] < F.size("hashes"), F.xxhash64(F.lit(i), *(at(k) for k in mask))) for i, mask in masks.items()))
     return placed.select(*keep, "pos", F.explode(each).alias("seed")).where("seed is not null")
 
 
@@ -45,8 +48,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("hashes"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text").cast("string")).alias("hashes")).where(F.size("hashes") > 0)
     items = tables.stage(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    known = seeds(items, "item").select("item", F.col("pos").alias("item_pos"), "seed")
-    found = seeds(texts, "doc_id", "text_hash")
+    known = seeds(items, "item")
+    # Masks for short items only where the benchmark has such items; at most one length each reaches the driver.
+    lengths = sorted(r[0] for r in items.select(F.size("hashes").alias("n")).distinct().where(F.col("n").isin(*SHORT)).collect())
+    short = {len(MASKS) + n: SHORT[n] for n in lengths}
+    for n in lengths:
+        known = known.unionByName(seeds(items.where(F.size("hashes") == n), "item", masks={len(MASKS) + n: SHORT[n]}).where("pos = 0"))
+    known = known.select("item", F.col("pos").alias("item_pos"), "seed")
+    found = seeds(texts, "doc_id", "text_hash", masks={**dict(enumerate(MASKS)), **short})
     size = items.agg(F.sum(F.size("hashes"))).first()[0] or 0
     known = F.broadcast(known) if size * len(MASKS) <= BROADCAST_SEEDS else known
     hits = found.join(known, "seed").select("doc_id", "text_hash", "item", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
