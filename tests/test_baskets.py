@@ -119,3 +119,31 @@ def test_growth_potential_ranks_ties_alike(spark):
     got = {r.branch: (r.potential_score, r.potential_rank, r.assoc_lift_score, r.top_bundle_rule) for r in G.growth_potential(kpis, rules).collect()}
     assert got["p"] == got["q"] == (0.85, 1, 0.5, "") and got["r"] == (0.15, 3, 0.5, "")
     assert G.growth_recommendation(G.growth_potential(kpis, rules)).first().branch_actions[0].branch == "p"
+
+
+def test_frequent_sets_against_all_subsets(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["x", "y", "y", "z"]), [i for i in "abcdefg" if rng.random() < 0.55] + ["a"] * (rng.random() < 0.2)) for _ in range(90)]
+    rows += [("tiny", ["a", "b"])] * 3 + [("y", [])] * 4 + [("y", None)]
+    baskets = spark.createDataFrame(rows, "branch string, items_list array<string>")
+    want = {}
+    for branch, total in [(b, False) for b in {r[0] for r in rows}] + [("ALL", True)]:
+        own = [frozenset(items or ()) for b, items in rows if total or b == branch]
+        if len(own) < 5:
+            continue
+        for k in range(1, 8):
+            for items in itertools.combinations("abcdefg", k):
+                n = sum(s >= set(items) for s in own)
+                if n and n / len(own) >= 0.15:
+                    want[branch, total, items] = (n, len(own))
+    got = {(r.branch, r.is_total, tuple(r["items"])): (r.n, r.baskets) for r in G.frequent_sets(baskets, 0.15).collect()}
+    assert got == want and max(len(k[2]) for k in want) >= 3
+    rules = G.set_rules(baskets, lambda i: i.isin("f", "g"), 0.15, 0.2, None).collect()
+    for r in rules:
+        ante, cons = tuple(r.antecedents.split(", ")), tuple(r.consequents.split(", "))
+        n, size = want[r.branch, r.is_total, tuple(sorted(ante + cons))]
+        assert abs(r.confidence - n / want[r.branch, r.is_total, ante][0]) < 1e-12 and abs(r.support - n / size) < 1e-12
+        assert abs(r.lift - r.confidence / (want[r.branch, r.is_total, cons][0] / size)) < 1e-9
+    split = {(b, t, items, c) for b, t, items in want for k in (1, 2) for c in itertools.combinations([i for i in items if i in "fg"], k) if len(c) < len(items)}
+    enough = {(b, t, i, c) for b, t, i, c in split if want[b, t, i][0] / want[b, t, tuple(x for x in i if x not in c)][0] >= 0.2}
+    assert len(rules) == len(enough)

@@ -106,6 +106,12 @@ def test_missing_sources_give_nulls_and_scores_lie_in_range(spark):
 
 
 def test_unique_key_check(spark):
-    df = spark.createDataFrame([("a",), ("a",)], "branch string")
-    with pytest.raises(ValueError):
-        ST.require_unique(df, "branch")
+    once = spark.createDataFrame([("a", 1), ("b", 2)], "branch string, n int")
+    assert ST.require_unique(once, "branch").count() == 2
+    assert ST.require_unique(once.limit(0), "branch").count() == 0
+    twice = ST.require_unique(once.unionByName(once.where("n = 2")), "branch")  # no job runs, so nothing fails yet
+    with pytest.raises(Exception, match="not unique"):
+        twice.collect()
+    with pytest.raises(Exception, match="not unique"):
+        once.withColumnRenamed("n", "m").join(twice, "branch").collect()
+    assert ST.require_unique(once.unionByName(once.selectExpr("branch", "n + 5 AS n")), "branch", "n").count() == 4

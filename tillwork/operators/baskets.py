@@ -81,15 +81,23 @@ def frequent_pairs(baskets: DataFrame, min_count: int, chunk: int = CHUNK_ITEMS)
     frequent = (baskets.select(F.explode("items_set").alias("item")).groupBy("item").count()
                 .where(F.col("count") >= min_count).select("item"))
     presence = baskets.select("order_id", "branch", "channel", "n_items", F.explode("items_set").alias("item")).join(frequent, "item", "left_semi")
+    return pairs_of_baskets(presence, ["order_id"], ["branch", "channel"], chunk).drop("order_id")
+
+
+def pairs_of_baskets(presence: DataFrame, basket: Sequence[str], keep: Sequence[str] = (), chunk: int = CHUNK_ITEMS) -> DataFrame:
+    """Every pair item_a < item_b of each basket once: basket key, ``keep`` columns, item_a, item_b.
+
+    ``presence`` has a row (basket key, ``keep``, n_items, item) per basket and distinct item; n_items is at least their number.
+    """
     chunks = F.ceil(F.col("n_items") / chunk).cast("int")
     placed = presence.withColumn("_k", chunks).withColumn("_c", F.pmod(F.xxhash64("item"), F.col("_k")).cast("int"))
-    left = placed.select("order_id", "branch", "channel", F.col("item").alias("_x"), F.col("_c").alias("_p"),
+    left = placed.select(*basket, *keep, F.col("item").alias("_x"), F.col("_c").alias("_p"),
                          F.explode(F.sequence("_c", F.col("_k") - 1)).alias("_q"))
-    right = placed.select("order_id", F.col("item").alias("_y"), F.col("_c").alias("_q"),
+    right = placed.select(*basket, F.col("item").alias("_y"), F.col("_c").alias("_q"),
                           F.explode(F.sequence(F.lit(0), "_c")).alias("_p"))
     once = (F.col("_p") < F.col("_q")) | (F.col("_x") < F.col("_y"))
-    return (left.join(right, ["order_id", "_p", "_q"]).where(once)
-            .select("branch", "channel", F.least("_x", "_y").alias("item_a"), F.greatest("_x", "_y").alias("item_b")))
+    return (left.join(right, [*basket, "_p", "_q"]).where(once)
+            .select(*basket, *keep, F.least("_x", "_y").alias("item_a"), F.greatest("_x", "_y").alias("item_b")))
 
 
 def combo_pairs(baskets: DataFrame, min_support: float = 0.01, min_count_ab: int = 10, scopes: str = "all",

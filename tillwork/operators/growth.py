@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules, scalar as S
-from .grouped import top_per_group
+from ..session import stage
+from .baskets import pairs_of_baskets
+from .grouped import top_per_group, with_global_rank_desc
 from .scoring import min_max
 
 
@@ -89,73 +91,84 @@ def _rule_metrics(rows: DataFrame, top_k: int | None) -> DataFrame:
     return top_per_group(result, ["branch", "is_total"], order, top_k, out=None)
 
 
-def set_rules(baskets: DataFrame, target, min_support: float = 0.01, min_confidence: float = 0.05,
-              top_k: int | None = 10) -> DataFrame:
-    """Rules from frequent item sets with one or more target items as consequent, per branch and for all.
+def frequent_sets(baskets: DataFrame, min_support: float, least_baskets: int = 5) -> DataFrame:
+    """Item sets in at least ``min_support`` of the baskets, per branch and for all: branch, is_total, items (sorted), n, baskets.
 
-    Spark's FPGrowth has no group key. The branch is made part of each item's name, so that one run mines many branches;
-    branches are mined together when their basket counts lie within a factor of two, which makes at most about forty runs
-    whatever the number of branches, and each branch's own support threshold is applied to the result.
-    Branches with fewer than five baskets or two items give no rules.
+    Levels of growing size: a set of k items joins two frequent sets that share its first k - 1 and k - 2 items, is pruned unless all its
+    parts of k - 1 items are frequent, and is counted over the baskets that hold both. Occurrences are rows keyed by (branch, basket,
+    prefix), so neither item lists nor candidates sit on the driver and the pairs of one basket are spread (see ``pairs_of_baskets``);
+    every level is written. Branches with fewer than ``least_baskets`` baskets have none. ``baskets``: branch, items_list.
     """
-    base = baskets.select("branch", F.array_distinct("items_list").alias("items")).where(F.size("items") > 0)
-    every = baskets.groupBy("branch").agg(F.count(F.lit(1)).alias("baskets"))
-    total = baskets.count()
-    rows = [r.level for r in every.where("baskets >= 5").select(F.floor(F.log2("baskets")).alias("level")).distinct()
-            .orderBy("level").collect()]
-    parts = []
-    if total >= 5:
-        parts.append(_mine(base.withColumn("branch", F.lit("ALL")), F.lit(total).cast("long"), None, True, target,
-                           min_support, min_confidence, min_support))
-    for level in rows:
-        sized = every.where((F.col("baskets") >= 5) & (F.floor(F.log2("baskets")) == level))
-        here = base.join(sized.select("branch"), "branch", "left_semi")
-        span = sized.agg(F.min("baskets").alias("low"), F.sum("baskets").alias("all")).first()
-        parts.append(_mine(here, None, sized, False, target, min_support, min_confidence,
-                           min_support * span["low"] / span["all"]))
-    empty = "branch string, is_total boolean, antecedents string, consequents string, support double, confidence double, lift double"
-    result = reduce(DataFrame.unionByName, parts) if parts else baskets.sparkSession.createDataFrame([], empty)
-    if top_k is None:
-        return result
-    order = [F.desc("lift"), F.desc("confidence"), F.asc("antecedents"), F.asc("consequents")]
-    return top_per_group(result, ["branch", "is_total"], order, top_k, out=None)
-
-
-_SEP = "\u0001"
+    group = F.explode(F.array(F.struct("branch", F.lit(False).alias("is_total")), F.struct(F.lit("ALL").alias("branch"), F.lit(True).alias("is_total")))).alias("g")
+    sized = (baskets.select(group).groupBy("g.branch", "g.is_total").agg(F.count(F.lit(1)).alias("baskets"))
+             .where(F.col("baskets") >= least_baskets))
+    key = ["branch", "is_total"]
+    numbered = stage(baskets.select("branch", F.array_compact(F.array_distinct("items_list")).alias("items"))
+                     .withColumn("basket", F.monotonically_increasing_id()), "set_baskets")
+    every = numbered.select(group, "basket", F.size("items").alias("n_items"), F.explode("items").alias("item")).select("g.*", "basket", "n_items", "item")
+
+    def frequent(occurrences: DataFrame) -> DataFrame:
+        counts = occurrences.groupBy(*key, "items").agg(F.count(F.lit(1)).alias("n")).join(sized, key)
+        return stage(counts.where(F.col("n").cast("double") / F.col("baskets") >= min_support), "frequent_sets")
+
+    found = frequent(every.withColumn("items", F.array("item")))
+    single = found.select(*key, F.get("items", F.lit(0)).alias("item"))
+    present = every.join(single, [*key, "item"], "left_semi")
+    pairs = pairs_of_baskets(present, [*key, "basket"]).select(*key, "basket", F.array("item_a", "item_b").alias("items"))
+    levels, held, k = [found], stage(pairs, "set_occurrences"), 2
+    while True:
+        found = frequent(held)
+        if found.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(found)
+        kept = held.join(found.select(*key, "items"), [*key, "items"], "left_semi")
+        k += 1
+        candidates = _candidates(found.select(*key, "items"), key, k)
+        split = kept.select(*key, "basket", F.slice("items", 1, k - 2).alias("prefix"), F.get("items", F.lit(k - 2)).alias("item"))
+        longer = (split.join(split.withColumnRenamed("item", "_next"), [*key, "basket", "prefix"]).where(F.col("item") < F.col("_next"))
+                  .select(*key, "basket", F.concat("prefix", F.array("item", "_next")).alias("items")))
+        held = stage(longer.join(candidates, [*key, "items"], "left_semi"), "set_occurrences")
+
+
+def _candidates(found: DataFrame, key: Sequence[str], k: int) -> DataFrame:
+    """Sets of k items all of whose parts of k - 1 items are in ``found``; two parts that share their first k - 2 items make one."""
+    split = found.select(*key, F.slice("items", 1, k - 2).alias("prefix"), F.get("items", F.lit(k - 2)).alias("item"))
+    made = (split.join(split.withColumnRenamed("item", "_next"), [*key, "prefix"]).where(F.col("item") < F.col("_next"))
+            .select(*key, F.concat("prefix", F.array("item", "_next")).alias("items")))
+    without = F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.filter("items", lambda x, j: j != i)))
+    parts = made.select(*key, F.col("items").alias("whole"), without.alias("items")).join(found, [*key, "items"], "left_semi")
+    return parts.groupBy(*key, "whole").count().where(F.col("count") == k).select(*key, F.col("whole").alias("items"))
 
 
-def _mine(base: DataFrame, total: Column | None, sized: DataFrame | None, is_total: bool, target, min_support: float,
-          min_confidence: float, run_support: float) -> DataFrame:
-    from pyspark.ml.fpm import FPGrowth
+def set_rules(baskets: DataFrame, target, min_support: float = 0.01, min_confidence: float = 0.05,
+              top_k: int | None = 10) -> DataFrame:
+    """Rules from frequent item sets with one or more target items as consequent, per branch and for all.
 
-    tagged = base.select(F.transform("items", lambda i: F.concat(F.col("branch"), F.lit(_SEP), i)).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=run_support, minConfidence=1.0).fit(tagged).freqItemsets
-    first = F.split(F.get("items", F.lit(0)), _SEP)
-    sets = found.select(F.get(first, F.lit(0)).alias("branch"),
-                        F.array_sort(F.transform("items", lambda i: F.get(F.split(i, _SEP), F.lit(1)))).alias("items"),
-                        F.col("freq").alias("n"))
-    sets = sets.withColumn("baskets", total) if sized is None else sets.join(sized, "branch")
-    sets = sets.where(F.col("n").cast("double") / F.col("baskets") >= min_support)
+    Branches with fewer than five baskets or two items give no rules. ``target`` maps an item column to a boolean column.
+    """
+    key = ["branch", "is_total"]
+    sets = stage(frequent_sets(baskets, min_support), "rule_sets")
     # Consequents are the non-empty subsets of an item set's target members that leave an antecedent. Each of these
     # subsets is a frequent set itself, so their number never exceeds the number of sets found.
     drinks = F.filter("items", lambda i: target(i))
-    picks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(drinks)) - 1).cast("int"))
+    picks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("_drinks")) - 1).cast("int"))
     split = (sets.where(F.size("items") >= 2).withColumn("_drinks", drinks).where(F.size("_drinks") > 0)
              .withColumn("_mask", F.explode(picks))
              .withColumn("_cons", F.filter("_drinks", lambda i, k: F.getbit(F.col("_mask"), k) == 1))
              .withColumn("_ante", F.array_except("items", "_cons")).where(F.size("_ante") > 0))
-    known = sets.select("branch", F.array_join("items", _SEP).alias("_set"), F.col("n").alias("_n"))
 
     def support_of(column: str, out: str) -> DataFrame:
-        return known.withColumnsRenamed({"_set": column, "_n": out})
+        return sets.select(*key, F.col("items").alias(column), F.col("n").alias(out))
 
-    rows = (split.withColumn("_ka", F.array_join("_ante", _SEP)).withColumn("_kc", F.array_join("_cons", _SEP))
-            .join(support_of("_ka", "a"), ["branch", "_ka"]).join(support_of("_kc", "b"), ["branch", "_kc"]))
+    rows = split.join(support_of("_ante", "a"), [*key, "_ante"]).join(support_of("_cons", "b"), [*key, "_cons"])
     n = {c: F.col(c).cast("double") for c in ("n", "a", "b", "baskets")}
-    return (rows.withColumn("confidence", n["n"] / n["a"]).where(F.col("confidence") >= min_confidence)
-            .select("branch", F.lit(is_total).alias("is_total"), F.array_join("_ante", ", ").alias("antecedents"),
-                    F.array_join("_cons", ", ").alias("consequents"), (n["n"] / n["baskets"]).alias("support"), "confidence",
-                    (F.col("confidence") / (n["b"] / n["baskets"])).alias("lift")))
+    result = (rows.withColumn("confidence", n["n"] / n["a"]).where(F.col("confidence") >= min_confidence)
+              .select(*key, F.array_join("_ante", ", ").alias("antecedents"), F.array_join("_cons", ", ").alias("consequents"),
+                      (n["n"] / n["baskets"]).alias("support"), "confidence", (F.col("confidence") / (n["b"] / n["baskets"])).alias("lift")))
+    if top_k is None:
+        return result
+    order = [F.desc("lift"), F.desc("confidence"), F.asc("antecedents"), F.asc("consequents")]
+    return top_per_group(result, key, order, top_k, out=None)
 
 
 def association_rules(baskets: DataFrame, target, method: str = "pairs", min_support: float = 0.005,
@@ -191,9 +204,7 @@ def growth_potential(kpis: DataFrame, rule_table: DataFrame, weights: Mapping[st
     score = (w["low_attachment"] * F.col("low_attachment_score") + w["order_volume"] * F.col("order_volume_score")
              + w["assoc_lift"] * F.col("assoc_lift_score"))
     df = df.withColumn("potential_score", S.round_to(score, 4)).drop("_low", "_volume")
-    # One row per branch, so one task ranks them all.
-    position = F.rank().over(W.orderBy(F.desc("potential_score"))).cast("int")
-    return df.withColumn("potential_rank", position).select(
+    return with_global_rank_desc(df, "potential_score", "potential_rank").select(
         *kpis.columns, "low_attachment_score", "order_volume_score", "avg_lift", "assoc_lift_score", "potential_score",
         "potential_rank", "top_bundle_rule")
 

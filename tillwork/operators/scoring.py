@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import arrays, rules, scalar as S
+from ..session import stage
+from .grouped import group_percentiles, with_global_rank_desc
 
 
 def _literal_struct(df: DataFrame, columns: Mapping[str, Column]) -> Column:
@@ -26,10 +28,11 @@ def min_max(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace NULL by the column's median, or by 0.5 if the whole column is NULL."""
-    middle = _literal_struct(df, {c: F.median(c) for c in columns})
+    rows = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])))
+    middle = group_percentiles(rows, ["c"], "v", {"m": 0.5}).agg(F.map_from_entries(F.collect_list(F.struct("c", "m")))).scalar()
     df = df.withColumn("_middle", middle)
     for c in columns:
-        df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_middle.{c}"), F.lit(0.5)))
+        df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.try_element_at("_middle", F.lit(c)), F.lit(0.5)))
     return df.drop("_middle")
 
 
@@ -202,9 +205,10 @@ def region_decision(scores: DataFrame, kpis: DataFrame, zones: Mapping[str, str]
 # ---------------------------------------------------------------- views on the scores
 
 def branch_ranking(scores: DataFrame, zones: Mapping[str, str]) -> DataFrame:
-    """Branches in order of score, position as a column. One row per branch, so one task sorts them."""
-    position = F.row_number().over(W.orderBy(F.desc("feasibility_score"), F.asc("branch")))
-    return with_region(scores, zones).select(position.alias("rank"), "branch", "region", "feasibility_score", "score_tier", "top_drivers")
+    """Branches in order of score, position as a column; equal scores by name. The scores are written, as ranking reads them twice."""
+    kept = stage(with_region(scores, zones).select("branch", "region", "feasibility_score", "score_tier", "top_drivers"), "scores")
+    return with_global_rank_desc(kept, "feasibility_score", "rank", [F.asc("branch")]).orderBy("rank").select(
+        "rank", "branch", "region", "feasibility_score", "score_tier", "top_drivers")
 
 
 def growth_summary(kpis: DataFrame, zones: Mapping[str, str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules, scalar as S
-from .grouped import top_per_group
+from .grouped import group_percentiles, top_per_group
 
 SLOT = ["branch", "day_of_week", "hour"]
 
@@ -114,11 +114,10 @@ def demand_multipliers(menu: DataFrame, orders: DataFrame, monthly: DataFrame, b
                     "delivery_customer_profiles": 0, "delivery_num_orders": 0.0, "overlap_num_orders": 0.0, "recent_revenue": 0.0}))
     df = df.withColumn("observed_profile_share", S.clamp_share(
         S.ratio(F.col("delivery_customer_profiles"), F.col("avg_sales_total_customers"))))
-    totals = df.agg(F.struct(
-        F.sum(S.money(F.col("recent_revenue"))).cast("double").alias("revenue"), F.sum("overlap_num_orders").alias("orders"),
-        F.median(F.when(F.col("avg_sales_delivery_share") > 0, F.col("avg_sales_delivery_share"))).alias("share")).alias("v")).scalar()
+    totals = df.agg(F.struct(F.sum(S.money(F.col("recent_revenue"))).cast("double").alias("revenue"), F.sum("overlap_num_orders").alias("orders")).alias("v")).scalar()
+    usual = group_percentiles(df.where("avg_sales_delivery_share > 0"), [], "avg_sales_delivery_share", {"share": 0.5}).scalar()
     df = df.withColumn("_t", totals)
-    fallback = S.clamp_share(F.coalesce("_t.share", F.lit(rules.SHARE_MIN)))
+    fallback = S.clamp_share(F.coalesce(usual, F.lit(rules.SHARE_MIN)))
 
     menu_share, seen = F.col("avg_sales_delivery_share"), F.col("observed_profile_share")
     clamped = S.clamp_share(menu_share)
@@ -157,16 +156,19 @@ def demand_multipliers(menu: DataFrame, orders: DataFrame, monthly: DataFrame, b
 
 
 def require_unique(df: DataFrame, *keys: str) -> DataFrame:
-    """Raise if a key occurs more than once; else return the table unchanged."""
-    if not df.groupBy(*keys).count().where("count > 1").isEmpty():
-        raise ValueError(f"key {keys} is not unique")
-    return df
+    """The table unchanged; a query that reads it fails if a key occurs more than once.
+
+    The check is part of the plan: a scalar subquery counts repeated keys, and a row only passes if there are none.
+    """
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1))).scalar()
+    fail = F.raise_error(F.lit(f"key ({', '.join(keys)}) is not unique")).cast("boolean")
+    return df.where(F.when(repeated == 0, F.lit(True)).otherwise(fail))
 
 
-def total_demand(shape: DataFrame, multipliers: DataFrame, check: bool = False) -> DataFrame:
-    """Estimated delivery and total orders of each slot in the low, base and high case."""
+def total_demand(shape: DataFrame, multipliers: DataFrame, check: bool = True) -> DataFrame:
+    """Estimated delivery and total orders of each slot in the low, base and high case; ``check`` asks for one multiplier row per branch."""
     if check:
-        require_unique(multipliers, "branch")
+        multipliers = require_unique(multipliers, "branch")
     df = shape.join(multipliers, "branch", "left")
     delivered = F.col("branch_total_num_orders_in_overlap") * F.col("shape_weight_rows")
     df = df.withColumn("_d", delivered).withColumn("delivery_orders_est", S.round_to("_d", 4))
@@ -184,7 +186,7 @@ def productivity_targets(profile: DataFrame, demand: DataFrame) -> DataFrame:
 
     The target of a level is the median of its positive slots inside the 1.5 IQR fence, at least the floor. Levels of a
     branch without positive slots, or with few at low confidence, have none; low confidence caps the target by the
-    overall one. A level holds at most 168 slots per branch, so the exact percentile aggregates stay small.
+    overall one. Percentiles of all levels come from counts of values in buckets, so no task holds the slots of all branches.
     """
     joined = profile.select(*SLOT, "avg_active_employees").join(demand.select(*SLOT, "total_orders_est_base", "confidence"), SLOT, "left")
     per_head = F.when(F.col("avg_active_employees") > 0,
@@ -195,14 +197,12 @@ def productivity_targets(profile: DataFrame, demand: DataFrame) -> DataFrame:
         F.struct(F.lit(GLOBAL).alias("b"), F.lit(ALL_DAY).alias("s"), F.lit("global").alias("l")))
     slots = joined.withColumn("v", per_head).select("v", F.inline(levels))
     key = ["b", "s", "l"]
-    positive = F.when(F.col("v") > 0, F.col("v"))
-    fence = (slots.groupBy(*key).agg(F.count(positive).alias("slot_count"), F.median("v").alias("med"),
-                                     F.percentile(positive, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-             .withColumn("_iqr", F.get("q", F.lit(1)) - F.get("q", F.lit(0)))
-             .withColumn("_from", F.greatest(F.lit(0.0), F.get("q", F.lit(0)) - 1.5 * F.col("_iqr")))
-             .withColumn("_to", F.get("q", F.lit(1)) + 1.5 * F.col("_iqr")))
-    middle = (slots.where("v > 0").join(fence.select(*key, "_from", "_to"), key).where(F.col("v").between(F.col("_from"), F.col("_to")))
-              .groupBy(*key).agg(F.median("v").alias("m")))
+    fence = (group_percentiles(slots, key, "v", {"med": 0.5, "_q1": 0.25, "_q3": 0.75}, {"_q1": 0.0, "_q3": 0.0}, "slot_count")
+             .withColumn("_iqr", F.col("_q3") - F.col("_q1"))
+             .withColumn("_from", F.greatest(F.lit(0.0), F.col("_q1") - 1.5 * F.col("_iqr")))
+             .withColumn("_to", F.col("_q3") + 1.5 * F.col("_iqr")))
+    inside = slots.where("v > 0").join(fence.select(*key, "_from", "_to"), key).where(F.col("v").between(F.col("_from"), F.col("_to")))
+    middle = group_percentiles(inside, key, "v", {"m": 0.5})
     confidence = demand.groupBy("branch").agg(F.max("confidence").alias("confidence"))
     df = (fence.join(middle, key, "left").withColumn("target", F.greatest(F.coalesce("m", F.lit(rules.TARGET_FLOOR)), F.lit(rules.TARGET_FLOOR)))
           .join(confidence.withColumnRenamed("branch", "b"), "b", "left"))

@@ -253,6 +253,26 @@ def assoc_rules_fpgrowth(spark, d):
     return _rounded(G.set_rules(_growth_baskets(spark, d), is_target, 0.003, 0.03, None), 6, "support", "confidence", "lift")
 
 
+def _word_baskets(spark, d, by_customer: bool = False):
+    """Baskets of the first words of part names, so that sets of several items are frequent; customers may stand in for branches."""
+    lines = star.lines(spark, d).withColumn("item", F.substring_index("item", " ", 1))
+    if by_customer:
+        names = star.orders(spark, d).select(F.col("o_orderkey").cast("string").alias("order_id"), F.col("c_name").alias("branch"))
+        lines = lines.drop("branch").join(names, "order_id")
+    return stage(B.order_baskets(lines).select("branch", F.col("items_set").alias("items_list")), "word_baskets")
+
+
+def assoc_rules_sets(spark, d):
+    """Rules from sets of up to as many words as are frequent together, both target words as a consequent too."""
+    return _rounded(G.set_rules(_word_baskets(spark, d), is_target, 0.02, 0.05, None), 6, "support", "confidence", "lift")
+
+
+def assoc_rules_choice(spark, d):
+    """Set rules of the customers whose baskets give some, pair rules of the others (few baskets, or no frequent set with a target)."""
+    rules_ = G.association_rules(_word_baskets(spark, d, True), is_target, "sets", 0.3, 0.5, 3)
+    return _rounded(rules_, 6, "support", "confidence", "lift")
+
+
 def _potential(spark, d):
     baskets = _growth_baskets(spark, d)
     kpis = G.merge_kpis(G.attach_kpis(baskets, is_target), G.revenue_share(_growth_items(spark, d)))
@@ -509,7 +529,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     dim_branch, dim_item, reconcile_sources, branch_month_features, partial_history, item_features, customer_rfm, customer_segments,
     segment_limits, shift_flags, shift_features, forward_fill, supply_hourly, supply_profile, demand_shape, demand_multipliers,
     demand_total, productivity_targets, staffing_gap, staffing_findings, staffing_summary, top_gap_slots, attach_kpis,
-    attach_revenue_share, assoc_rules_pairs, assoc_rules_top, assoc_rules_fpgrowth, growth_potential, growth_actions, item_classes,
+    attach_revenue_share, assoc_rules_pairs, assoc_rules_top, assoc_rules_fpgrowth, assoc_rules_sets, assoc_rules_choice, growth_potential, growth_actions, item_classes,
     revenue_kpis, order_kpis, branch_kpis, feasibility_scores, region_scores, region_decision, branch_ranking, growth_summary,
     risk_summary, forecast_anomalies, forecast_scenarios, forecast_estimators, forecast_ensemble, forecast_short_series,
     forecast_backtest, report_roundtrip, report_order_detail, report_basket_core, report_items, report_attendance, line_explode,

@@ -286,6 +286,33 @@ PARTS: dict[str, str] = {
         CASE WHEN v[2] > 0 THEN (v[3] - v[1]) / v[2] ELSE 0 END AS dis FROM en1""",
     "en3": """SELECT *, least(25, greatest(0, trunc((n - 2) * 25 / 3.0)))::INTEGER AS sq, greatest(0, trunc(25 * (1 - vol / 1.5::DOUBLE)))::INTEGER AS sv,
         greatest(0, trunc(25 * (1 - least(dis, 1.0::DOUBLE))))::INTEGER AS sa, CASE WHEN nf > 0 THEN 10 ELSE 25 END AS sn FROM en2""",
+    # First words of part names as items, by branch (w) and by customer (c); sets of any size by recursion over each basket.
+    "wi": """SELECT DISTINCT branch, order_id, split_part(item, ' ', 1) AS item, split_part(item, ' ', 1) IN ('hot', 'cold') AS target FROM line""",
+    "ci": """SELECT DISTINCT c_name AS branch, CAST(l_orderkey AS VARCHAR) AS order_id, split_part(p_name, ' ', 1) AS item, split_part(p_name, ' ', 1) IN ('hot', 'cold') AS target
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN ord ON l_orderkey = o_orderkey""",
+    **{name: sql for x, support, confidence in (("w", 0.02, 0.05), ("c", 0.3, 0.5)) for name, sql in {
+        f"{x}g": f"SELECT branch, false AS is_total, order_id, item, target FROM {x}i UNION ALL SELECT 'ALL', true, order_id, item, target FROM {x}i",
+        f"{x}nb": f"SELECT branch, is_total, count(DISTINCT order_id) AS nb FROM {x}g GROUP BY ALL",
+        f"{x}sub": f"""WITH RECURSIVE rec AS (SELECT branch, is_total, order_id, [item] AS items, item AS last FROM {x}g
+            UNION ALL SELECT r.branch, r.is_total, r.order_id, list_append(r.items, g.item), g.item FROM rec r
+            JOIN {x}g g ON g.branch = r.branch AND g.is_total = r.is_total AND g.order_id = r.order_id AND g.item > r.last)
+            SELECT branch, is_total, items, count(*) AS n FROM rec GROUP BY ALL""",
+        f"{x}freq": f"SELECT s.*, nb FROM {x}sub s JOIN {x}nb USING (branch, is_total) WHERE nb >= 5 AND n::DOUBLE / nb >= {support}::DOUBLE",
+        f"{x}rules": f"""SELECT s.branch, s.is_total, array_to_string(a.items, ', ') AS antecedents, array_to_string(c.items, ', ') AS consequents, s.n::DOUBLE / s.nb AS support,
+            s.n::DOUBLE / a.n AS confidence, (s.n::DOUBLE / a.n) / (c.n::DOUBLE / c.nb) AS lift FROM {x}freq s
+            JOIN {x}freq c ON c.branch = s.branch AND c.is_total = s.is_total AND len(c.items) < len(s.items) AND list_has_all(s.items, c.items)
+                AND list_has_all(['hot', 'cold'], c.items)
+            JOIN {x}freq a ON a.branch = s.branch AND a.is_total = s.is_total AND a.items = list_filter(s.items, lambda i: NOT list_contains(c.items, i))
+            WHERE s.n::DOUBLE / a.n >= {confidence}::DOUBLE""",
+    }.items()},
+    "cc": "SELECT branch, is_total, item, count(*) AS n FROM cg GROUP BY ALL",
+    "cpairs": """SELECT p.branch, p.is_total, p.antecedents, p.consequents, round(ab::DOUBLE / nb, 5) AS support, round(ab::DOUBLE / a.n, 4) AS confidence,
+        round((ab::DOUBLE / a.n) / (b.n::DOUBLE / nb), 4) AS lift FROM (
+            SELECT x.branch, x.is_total, x.item AS antecedents, y.item AS consequents, count(*) AS ab
+            FROM cg x JOIN cg y ON x.branch = y.branch AND x.is_total = y.is_total AND x.order_id = y.order_id AND NOT x.target AND y.target GROUP BY ALL) p
+        JOIN cnb ON cnb.branch = p.branch AND cnb.is_total = p.is_total
+        JOIN cc a ON a.branch = p.branch AND a.is_total = p.is_total AND a.item = p.antecedents
+        JOIN cc b ON b.branch = p.branch AND b.is_total = p.is_total AND b.item = p.consequents""",
     "doc_lines": "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents",
 }
 
@@ -429,6 +456,10 @@ BODIES: dict[str, str] = {
     # At this support no set of three items is frequent on these tables, so all rules have one item on each side.
     "assoc_rules_fpgrowth": """SELECT branch, is_total, antecedents, consequents, round(ab::DOUBLE / nb, 6) AS support, round(ab::DOUBLE / na, 6) AS confidence,
         round((ab::DOUBLE / na) / (nc::DOUBLE / nb), 6) AS lift FROM rules1 WHERE ab::DOUBLE / nb >= 0.003 AND ab::DOUBLE / na >= 0.03""",
+    "assoc_rules_sets": """SELECT branch, is_total, antecedents, consequents, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM wrules""",
+    "assoc_rules_choice": """SELECT branch, is_total, antecedents, consequents, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM (
+        SELECT *, row_number() OVER (PARTITION BY branch, is_total ORDER BY lift DESC, confidence DESC, antecedents, consequents) AS rn FROM (
+            SELECT * FROM crules UNION ALL SELECT p.* FROM cpairs p WHERE NOT EXISTS (SELECT 1 FROM crules r WHERE r.branch = p.branch AND r.is_total = p.is_total))) WHERE rn <= 3""",
     "growth_potential": """SELECT branch, total_orders, beverage_orders, beverage_attachment_rate, best_branch_rate, beverage_gap_to_best, total_amount, bev_amount, bev_revenue_share,
         round(s1, 6) AS low_attachment_score, round(s2, 6) AS order_volume_score, round(avg_lift0, 6) AS avg_lift, round(s3, 6) AS assoc_lift_score, potential_score,
         CAST(rank() OVER (ORDER BY potential_score DESC) AS INTEGER) AS potential_rank, top_bundle_rule FROM pot""",
