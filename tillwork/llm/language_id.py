@@ -168,11 +168,15 @@ def sample(learn: DataFrame, per_lang: int) -> list[tuple]:
     """(lang, share, features, counts) of at most ``per_lang`` rows of each language, those with the least hash of doc_id and text.
 
     ``share`` is another hash in [0, 1), which sets rows aside for calibration. The threshold comes from the number of rows of each
-    language, so about as many rows as wanted reach the window that cuts at the bound.
+    language (a row per language on the driver, like the model) and is applied where the rows lie, so about as many rows as wanted
+    reach the window that cuts at the bound.
     """
     spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    sizes = learn.groupBy("lang").count().withColumn("below", 1.5 * per_lang / F.col("count")).select("lang", "below")
-    thin = learn.withColumn("spread", spread).join(sizes, "lang").where("spread < below")
+    sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
+    if not sizes:
+        return []
+    below = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, 1.5 * per_lang / n)))
+    thin = learn.withColumn("spread", spread).where(F.col("spread") < F.element_at(below, F.col("lang")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("spread", "doc_id"))
     few = thin.select("lang", "doc_id", "text", "spread").withColumn("rank", rank).where(F.col("rank") <= per_lang)
 

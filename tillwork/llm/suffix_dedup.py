@@ -16,12 +16,12 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwork.llm import tables, words as wd
 from tillwork.llm.suffix_sort import common, deep_shallow
-from tillwork.llm.window_dedup import HASHES, _hash_batch, is_in
+from tillwork.llm.window_dedup import HASHES, _hash_batch, in_blocks, is_in, repeated
 
 GRAM = 32
 SEGMENT = "hash long, block int, uid long, at long, before int, bytes binary"
@@ -138,18 +138,16 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, most: int = 1 << 1
     Result: doc_id, n_bytes, removed (byte intervals [start, end), maximal), kept (the other bytes; a cut may fall inside a character);
     one row per row of ``docs``. Texts are UTF-8 bytes, a null text is empty; a text shorter than ``length`` loses nothing; repeated rows are
     documents of their own, so long copies lose everything; rows with a null doc_id count like others. An empty table gives an empty
-    result; other columns are ignored. ``most`` only chooses where the equality of strings is decided, not what is found.
+    result; other columns are ignored. ``most`` only chooses where the equality of strings is decided; neither it nor the number of blocks
+    changes what is found.
     """
     texts, _ = tables.blocks(tables.as_documents(docs))
 
     def emit_anchors(batches):
         for batch in batches:
-            block = np.asarray(batch.column(0))
-            if not len(block):
-                continue
-            for first, past in wd.pieces(batch.column(1)):
-                _, _, grams, _, picks = anchors(batch.column(1).slice(first, past - first), length)
-                yield _hash_batch(int(block[0]), *wd.counted(grams[np.unique(picks)]))
+            for block, part in in_blocks(batch):
+                _, _, grams, _, picks = anchors(part, length)
+                yield _hash_batch(block, *wd.counted(grams[np.unique(picks)]))
 
     def emit_segments(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: dict[str, list] = {c.split()[0]: [] for c in SEGMENT.split(", ")}
@@ -234,15 +232,14 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, most: int = 1 << 1
         return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(n_bytes, pa.int64()), "removed": pa.array(removed, kind),
                          "kept": pa.array(kept, pa.binary())})
 
-    marks = texts.select("block", "text").mapInArrow(emit_anchors, HASHES)
-    marks = marks.withColumn("total", F.sum("n").over(Window.partitionBy("hash"))).where("total >= 2")
-    marks = tables.stage(marks.select("block", "hash", (F.col("total") > most).alias("hot")), "anchors")
+    marks = repeated(texts.select("block", "text").mapInArrow(emit_anchors, HASHES), "anchors")
+    marks = tables.stage(marks.select("block", "hash", (F.col("total") > most).alias("hot")), "marks")
     usual, hot = marks.where("not hot"), marks.where("hot")
     by_block = lambda df: df.groupBy("block")
     segments = by_block(texts).cogroup(by_block(usual)).applyInArrow(emit_segments, SEGMENT)
     found = segments.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_segments, FOUND)
     strings = by_block(texts).cogroup(by_block(hot)).applyInArrow(emit_hot, HASHES)
-    counts = strings.withColumn("total", F.sum("n").over(Window.partitionBy("hash"))).where("total >= 2")
+    counts = repeated(strings, "strings")
     none = lambda kind: F.lit(None).cast(kind)
     flags = found.withColumn("hash", none("long")).unionByName(
         counts.select("block", "hash", none("long").alias("uid"), none("long").alias("first"), none("long").alias("last")))

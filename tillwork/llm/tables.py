@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tillwork.session import checkpoint_dir, stage
 
-__all__ = ["as_documents", "blocks", "components", "keyed", "numbered", "of_blocks", "parts", "stage"]
+__all__ = ["BLOCK_BYTES", "as_documents", "blocks", "components", "keyed", "numbered", "of_blocks", "parts", "stage"]
 
+BLOCK_BYTES = 6 << 20
 
 def as_documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (and ``more``) of a table that may have other columns or lack rows; other columns are left out."""
@@ -24,8 +25,8 @@ def parts(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 
 
-def blocks(docs: DataFrame, block_bytes: int = 6 << 20, whole: bool = False) -> tuple[DataFrame, int]:
-    """Write documents dealt by hash into blocks of about ``block_bytes`` of text; the table is bucketed by block.
+def blocks(docs: DataFrame, block_bytes: int | None = None, whole: bool = False) -> tuple[DataFrame, int]:
+    """Write documents dealt by hash into blocks of about ``block_bytes`` (BLOCK_BYTES) of text; the table is bucketed by block.
 
     Gives the table (block int, uid long, doc_id, text) and the number of blocks; with ``whole`` also the row as the struct ``_row``, which
     then is all that is stored. ``uid`` is fixed by the write, so it names a row even where doc_id is null or repeated. What is keyed by
@@ -33,7 +34,7 @@ def blocks(docs: DataFrame, block_bytes: int = 6 << 20, whole: bool = False) ->
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
-    n = parts(total, block_bytes)
+    n = parts(total, block_bytes or BLOCK_BYTES)
     kept = [F.struct("*").alias("_row")] if whole else ["doc_id", "text"]
     rows = docs.select(*kept, F.monotonically_increasing_id().alias("uid"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int"))

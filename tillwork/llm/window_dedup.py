@@ -2,16 +2,16 @@
 
 Every window of k words has an anchor: the least hash among its grams of ``gram`` words, leftmost among equals. Equal windows have
 equal anchors, so a window whose anchor occurs once is unique and needs no count; this is exact. The windows left are hashed with
-the rolling polynomial and counted. Counts are first summed inside blocks of documents, so a passage that very many documents share
-is a row per block, not per document, and only blocks receive the answer. Words are compared by 64-bit hashes: two different windows
-meet with a chance of about 2**-64 for each pair of windows that also share an anchor.
+the rolling polynomial and counted. Counts are first summed inside runs of documents of one block, so a passage that very many
+documents share is a row per block and task, not per document, then by partial sums over all; the answer goes back by a join. Words are
+compared by 64-bit hashes: two different windows meet with a chance of about 2**-64 for each pair of windows that also share an anchor.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwork.llm import tables, words as wd
@@ -32,9 +32,23 @@ def anchors(part: wd.Words, k: int, gram: int) -> tuple[np.ndarray, np.ndarray,
     return grams, starts, wd.chosen(grams, k - gram + 1)[starts]
 
 
-def repeated(counts: DataFrame) -> DataFrame:
-    """(block, hash) of the hashes whose sum of n over all blocks is at least two."""
-    return counts.withColumn("total", F.sum("n").over(Window.partitionBy("hash"))).where("total >= 2").select("block", "hash")
+def in_blocks(batch: pa.RecordBatch):
+    """(block, texts) of the runs of rows of one block in a batch (block, text), in slices of bounded size.
+
+    A bucket holds the blocks whose number hashes to it, one after the other, so a batch may hold rows of several.
+    """
+    edge = wd.runs(np.asarray(batch.column(0)))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        texts = batch.column(1).slice(a, b - a)
+        for first, past in wd.pieces(texts):
+            yield batch.column(0)[a].as_py(), texts.slice(first, past - first)
+
+
+def repeated(counts: DataFrame, name: str) -> DataFrame:
+    """(block, hash, total) of the hashes whose sum of n over all rows is at least two; ``counts`` is written, as it is read twice."""
+    counts = tables.stage(counts, name)
+    totals = counts.groupBy("hash").agg(F.sum("n").alias("total")).where("total >= 2")
+    return counts.select("block", "hash").join(totals, "hash")
 
 
 def flagged(flags: pa.Table) -> np.ndarray:
@@ -55,19 +69,16 @@ def remove_repeated_windows(docs: DataFrame, k: int = 35, gram: int = 8) -> Data
     Result: doc_id, n_words, removed (word intervals [start, end), maximal), kept (the other words joined by one space); one row per
     row of ``docs``. Windows are judged on the input, overlapping ones too. A null or empty text has no words and is kept as an
     empty text; a text of fewer than k words has no window; repeated rows are documents of their own, so copies of k or more words
-    lose every word; rows with a null doc_id count like others. An empty table gives an empty result; other columns are ignored.
+    lose every word; rows with a null doc_id count like others. An empty table gives an empty result; other columns are ignored. A text of any
+    length is cut in one task. How many blocks the texts are dealt into does not change the result.
     """
     texts, _ = tables.blocks(tables.as_documents(docs))
 
     def emit_anchors(batches):
         for batch in batches:
-            block = np.asarray(batch.column(0))
-            if not len(block):
-                continue
-            for first, past in wd.pieces(batch.column(1)):
-                part = wd.words(batch.column(1).slice(first, past - first))
-                grams, _, picks = anchors(part, k, gram)
-                yield _hash_batch(int(block[0]), *wd.counted(grams[np.unique(picks)]))
+            for block, texts_ in in_blocks(batch):
+                grams, _, picks = anchors(wd.words(texts_), k, gram)
+                yield _hash_batch(block, *wd.counted(grams[np.unique(picks)]))
 
     def emit_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         found, out = flagged(right), []
@@ -101,9 +112,10 @@ def remove_repeated_windows(docs: DataFrame, k: int = 35, gram: int = 8) -> Data
                          "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     by_block = texts.groupBy("block")
-    marks = repeated(texts.select("block", "text").mapInArrow(emit_anchors, HASHES))
+    marks = repeated(texts.select("block", "text").mapInArrow(emit_anchors, HASHES), "anchors").select("block", "hash")
     windows = by_block.cogroup(marks.groupBy("block")).applyInArrow(emit_windows, HASHES)
-    return texts.groupBy("block").cogroup(repeated(windows).groupBy("block")).applyInArrow(cut, RESULT)
+    found = repeated(windows, "windows").select("block", "hash")
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, RESULT)
 
 
 def op5_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
