@@ -160,7 +160,7 @@ def require_unique(df: DataFrame, *keys: str) -> DataFrame:
 
     The check is part of the plan: a scalar subquery counts repeated keys, and a row only passes if there are none.
     """
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1))).scalar()
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").agg(F.count(F.lit(1))).scalar()
     fail = F.raise_error(F.lit(f"key ({', '.join(keys)}) is not unique")).cast("boolean")
     return df.where(F.when(repeated == 0, F.lit(True)).otherwise(fail))
 
