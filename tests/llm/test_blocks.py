@@ -50,6 +50,7 @@ def test_bytes_at_any_number_of_blocks(frame, rows, block_bytes):
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("block_bytes", [40_000, 6 << 20], indirect=True)
 def test_near_duplicates_at_any_number_of_blocks(frame, rows, block_bytes):
     found = brute.groups([brute.shingles(r[1]) for r in rows], 85)
     got = near_dup.near_duplicates(frame(rows))
@@ -65,6 +66,7 @@ def test_near_duplicates_at_any_number_of_blocks(frame, rows, block_bytes):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(least[g] for g in set(found) if g in least)
 
 
+@pytest.mark.parametrize("block_bytes", [40_000], indirect=True)
 def test_lines_at_any_number_of_blocks(frame, rows, block_bytes, monkeypatch):
     got = told(fuzzy_lines.fuzzy_lines(frame(rows)))
     monkeypatch.setattr(tables, "BLOCK_BYTES", 1 << 30)
