@@ -69,6 +69,37 @@ def feasibility_sentence(currency: str = CURRENCY) -> Column:
         F.col("recent_growth_rate"), F.col("top_drivers"))
 
 
+def region_reason(title: str, highest: Column, score: Column, warning: str | None) -> Column:
+    """Why the region of a rule was chosen: by its score, or by the growth of its own branch."""
+    return F.concat_ws(" ", F.format_string("%s has the %s regional score (%s).", F.lit(title), F.when(highest, "highest").otherwise("strongest-growing"),
+                                            F.coalesce(F.format_string("%.4f", score), F.lit("N/A"))), F.lit(warning))
+
+
+def growth_reason(title: str, branch: Column, rate: Column, own_branch: bool) -> Column:
+    """That sales of the region's branch rise; NULL where they do not. ``own_branch``: the rule names the branch to replicate."""
+    supports = (F.format_string("Positive growth trend strongly supports opening a new branch in %s — replicating the %s branch profile.", F.lit(title), F.initcap(branch))
+                if own_branch else F.format_string("Increasing demand in %s supports expansion.", F.lit(title)))
+    sales = F.format_string("Sales in %s are INCREASING (growth rate: %+.4f).", F.initcap(branch), rate)
+    return F.when(rate > 0, F.concat_ws(" ", sales, supports))
+
+
+def best_reason(branch: Column, score: Column, tier: Column) -> Column:
+    return F.format_string("Best-scored branch overall: %s (score=%.4f, tier=%s).", F.initcap(branch), score, tier)
+
+
+def strongest_reason(branch: Column, rate: Column) -> Column:
+    return F.format_string("Strongest growth branch: %s (growth_rate=%+.4f).", F.initcap(branch), rate)
+
+
+def sales_statement(rate: Column, change: Column) -> Column:
+    return F.format_string("Sales in %s are %s (growth rate: %+.4f, %+.1f%% first-to-last).", F.initcap("branch"),
+                           F.when(rate > 0, "INCREASING").otherwise("DECLINING or FLAT"), rate, change * 100)
+
+
+def risk_statement(level: Column, stability: Column) -> Column:
+    return F.format_string("%s has %s revenue risk (volatility CV: %.4f, stability: %.4f).", F.initcap("branch"), F.lower(level), "revenue_volatility", stability)
+
+
 def findings_explanation() -> Column:
     under, over = F.col("understaffed_slots"), F.col("overstaffed_slots")
     state = (F.when(under > over * 2, "significantly understaffed overall").when(under > over, "somewhat understaffed overall")

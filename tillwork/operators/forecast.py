@@ -139,7 +139,7 @@ def ensemble(monthly: DataFrame, anomaly_rules: Sequence[rules.AnomalyRule] = ru
 
     last_y = F.col("last_clean.y")
     start = F.col("last_t") if align_horizon else F.col("series_t")
-    line = F.greatest(F.lit(0.0), F.col("slope") * (start + F.col("p")) + F.col("intercept"))
+    line = F.when(F.col("slope").isNotNull(), F.greatest(F.lit(0.0), F.col("slope") * (start + F.col("p")) + F.col("intercept")))
     growing = F.when(F.col("ref_growth").isNull(), last_y).otherwise(last_y * F.pow(1 + F.greatest(F.col("ref_growth"), F.lit(-1.0)), F.col("p")))
     active = (F.col("n") < rules.SIMILARITY_BELOW) & F.col("reference").isNotNull() & (last_y > 0)
     df = df.withColumn("linear", F.coalesce(line, F.col("naive"))).withColumn("similar", F.when(active, growing))
@@ -218,6 +218,36 @@ def backtest(monthly: DataFrame, holdout: int = 1, similar: Mapping[str, str] |
         S.round_to(F.avg(F.col("actual").between(F.col("relative_band_low"), F.col("relative_band_high")).cast("double")), 6).alias("band_coverage"))
 
 
+_AT = "\u0001"
+
+
+def rolling_backtest(monthly: DataFrame, horizon: int = rules.HORIZON, origins: int = 6, similar: Mapping[str, str] | None = None) -> DataFrame:
+    """Errors by branch and months ahead, over forecasts made at each of the last ``origins`` months of every branch.
+
+    A month's rank from the newest decides for which origins it is known; each (branch, origin) is a series of its own, so one plan
+    runs every estimator anew for all origins. Months after the last one have no actual value and are not counted.
+    """
+    placed = monthly.withColumn("_age", F.row_number().over(W.partitionBy("branch").orderBy(F.desc("date"))))
+    series = lambda name: F.concat(name, F.lit(_AT), F.col("_o").cast("string"))
+    known = placed.withColumn("_o", F.explode(F.sequence(F.lit(1), F.lit(origins)))).where(F.col("_age") > F.col("_o"))
+    linked = None
+    if similar:
+        other = S.lookup(F.col("branch"), similar)
+        linked = known.select("branch", "_o").distinct().where(other.isNotNull()).select(series(F.col("branch")).alias("branch"), series(other).alias("reference"))
+    made = ensemble(known.withColumn("branch", series(F.col("branch"))).drop("_age", "_o"), (), linked, horizon, explain=False).where(F.col("scenario") == BASE)
+    made = made.withColumn("origin", F.substring_index("branch", _AT, -1).cast("int")).withColumn("branch", F.substring_index("branch", _AT, 1))
+    made = made.withColumn("_age", F.col("origin") - F.col("forecast_period") + 1)
+    joined = made.join(placed.select("branch", "_age", F.col("revenue").alias("actual")), ["branch", "_age"])
+
+    def error(column: str) -> Column:
+        return S.round_to(F.avg(F.try_divide(F.abs(F.col(column) - F.col("actual")), F.col("actual"))), 6)
+
+    return joined.groupBy("branch", "forecast_period").agg(
+        F.count(F.lit(1)).alias("n_origins"), error("demand_index_forecast").alias("mape_ensemble"),
+        error("naive_estimate").alias("mape_naive"), error("wma3_estimate").alias("mape_wma3"), error("linear_estimate").alias("mape_linear"),
+        S.round_to(F.avg(F.col("actual").between(F.col("relative_band_low"), F.col("relative_band_high")).cast("double")), 6).alias("band_coverage"))
+
+
 def run_metadata(forecast: DataFrame) -> DataFrame:
     """One row describing a forecast run: rows, branches, scenarios and parameters."""
     return forecast.agg(

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import arrays, rules, scalar as S
+from ..functions import arrays, rules, scalar as S, text
 from ..session import stage
 from .grouped import group_percentiles, with_global_rank_desc
 
@@ -157,13 +157,16 @@ def region_decision(scores: DataFrame, kpis: DataFrame, zones: Mapping[str, str]
     """One row: where to expand, which branch to replicate, and why.
 
     The first rule whose region has the best mean score, or whose own branch grows fastest, decides; the last rule is the
-    fallback and carries its warning. Ties go to the smaller name.
+    fallback and carries its warning. Ties go to the smaller name. ``growth_summary`` maps every branch of ``kpis`` to its growth, as wide as
+    the table of branches; the reasons end with the growth of the chosen region's branch where it rises.
     """
     def best(df: DataFrame, name: str, metric: str, *more: str) -> DataFrame:
         return df.agg(F.min_by(F.struct(name, metric, *more), F.struct(-F.col(metric), F.col(name))).alias("v"))
 
     regions = region_scores(scores, zones)
-    growth = kpis.select("branch", S.round_to(F.col("recent_growth_rate"), 6).alias("growth_rate"))
+    growth = kpis.select("branch", S.round_to(F.col("recent_growth_rate"), 6).alias("growth_rate"), (F.col("recent_growth_rate") > 0).alias("is_growing"),
+                         S.round_to("pct_change_first_last", 4).alias("pct_change"))
+    grown = F.struct("branch", F.struct("growth_rate", "is_growing", "pct_change"))
     zoned = with_region(scores, zones).select("branch", "region", "feasibility_score", "score_tier")
     top_region = best(regions, "region", "region_score")
     in_region = zoned.where(F.col("region") == top_region.select("v.region").scalar())
@@ -172,6 +175,8 @@ def region_decision(scores: DataFrame, kpis: DataFrame, zones: Mapping[str, str]
         "area": top_region.scalar(),
         "fast": best(growth, "branch", "growth_rate").scalar(),
         "replicate": best(in_region, "branch", "feasibility_score").scalar(),
+        "home": best(zoned.where(F.col("region") == region_rules[-1].region), "branch", "feasibility_score").scalar(),
+        "growth": growth.agg(F.map_from_entries(F.array_sort(F.collect_list(grown)))).scalar(),
         "scores": regions.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("region", "region_score"))))).scalar(),
     }
     spark = scores.sparkSession
@@ -186,19 +191,22 @@ def region_decision(scores: DataFrame, kpis: DataFrame, zones: Mapping[str, str]
             chosen = F.when(F.col("_rule") == i, v).otherwise(chosen)
         return chosen
 
-    reasons = [F.concat_ws(" ", F.format_string(
-        "%s has the %s regional score (%.4f).", F.lit(rule.title),
-        F.when(F.col("area.region") == rule.region, "highest").otherwise("strongest-growing"),
-        F.try_element_at("scores", F.lit(rule.region))), F.lit(rule.warning)) for rule in region_rules]
+    def reasons(rule: rules.RegionRule) -> Column:
+        branch = F.lit(rule.entity) if rule.entity else F.col("home.branch")
+        rate = F.try_element_at("growth", branch)["growth_rate"]
+        score = F.try_element_at("scores", F.lit(rule.region))
+        return F.array_compact(F.array(text.region_reason(rule.title, F.col("area.region") == rule.region, score, rule.warning),
+                                       text.growth_reason(rule.title, branch, rate, bool(rule.entity))))
+
     return (row.withColumn("_rule", pick).select(
         choose([F.lit(r.title) for r in region_rules]).alias("recommended_region"),
         choose([F.array(*[F.lit(c) for c in r.candidates]) for r in region_rules]).alias("candidate_locations"),
         F.col("replicate.branch").alias("best_branch_to_replicate"), F.col("top.score_tier").alias("feasibility_tier"),
         F.col("top.feasibility_score").alias("overall_feasibility"), F.col("scores").alias("region_scores"),
         F.col("fast.branch").alias("strongest_growth_branch"),
-        F.array(choose(reasons), F.format_string("Best-scored branch overall: %s (score=%.4f, tier=%s).", "top.branch",
-                                                 "top.feasibility_score", "top.score_tier"),
-                F.format_string("Strongest growth branch: %s (growth_rate=%+.4f).", "fast.branch", "fast.growth_rate")).alias("reasoning"),
+        F.col("growth").alias("growth_summary"),
+        F.concat(choose([reasons(r) for r in region_rules]), F.array(text.best_reason(F.col("top.branch"), F.col("top.feasibility_score"), F.col("top.score_tier")),
+                                                                     text.strongest_reason(F.col("fast.branch"), F.col("fast.growth_rate")))).alias("reasoning"),
         choose([F.lit(r.warning).cast("string") for r in region_rules]).alias("warning")))
 
 
@@ -213,22 +221,17 @@ def branch_ranking(scores: DataFrame, zones: Mapping[str, str]) -> DataFrame:
 
 def growth_summary(kpis: DataFrame, zones: Mapping[str, str]) -> DataFrame:
     rate, change = S.round_to("recent_growth_rate", 6), S.round_to("pct_change_first_last", 4)
-    rising = F.col("recent_growth_rate") > 0
-    text = F.format_string("Sales in %s are %s (growth rate: %+.4f, %+.1f%% first-to-last).", F.initcap("branch"),
-                           F.when(rising, "INCREASING").otherwise("DECLINING or FLAT"), rate, change * 100)
     return with_region(kpis, zones).select("branch", "region", rate.alias("growth_rate"), change.alias("pct_change"),
-                                           rising.alias("is_growing"), text.alias("statement"))
+                                           (F.col("recent_growth_rate") > 0).alias("is_growing"), text.sales_statement(rate, change).alias("statement"))
 
 
 def risk_summary(scores: DataFrame, zones: Mapping[str, str]) -> DataFrame:
     """Risk tier of each branch from its normalised volatility (0.65 / 0.35)."""
     v = F.col("norm_volatility")
     level = S.tier(v, 0.65, 0.35)
-    text = F.format_string("%s has %s revenue risk (volatility CV: %.4f, stability: %.4f).", F.initcap("branch"), F.lower(level),
-                           "revenue_volatility", 1 - v)
     return with_region(scores, zones).select(
         "branch", "region", S.round_to("revenue_volatility", 4).alias("revenue_volatility"), S.round_to(v, 4).alias("norm_volatility"),
-        level.alias("risk_tier"), S.round_to(1 - v, 4).alias("stability_score"), text.alias("statement"))
+        level.alias("risk_tier"), S.round_to(1 - v, 4).alias("stability_score"), text.risk_statement(level, 1 - v).alias("statement"))
 
 
 def feasibility_explanation(scores: DataFrame, weights: Mapping[str, float] = rules.FEASIBILITY_WEIGHTS) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import rules, scalar as S, text
 from ..operators import baskets as B, dims, features, forecast as FC, growth as G, grouped, scoring as SC, staffing as ST, tables as T
 from ..session import stage
 from ..sources import lines as L, reports as R
-from . import star
+from . import flows, star
 
 Query = Callable[[SparkSession, str], DataFrame]
 MIN_SUPPORT, MIN_COUNT = 0.001, 10
@@ -386,16 +386,45 @@ def forecast_ensemble(spark, d):
 
 
 def forecast_short_series(spark, d):
-    """The first three months of each branch: too few for a trend of its own, so the reference branch joins in."""
-    months = star.monthly_sales(spark, d).where(F.col("date") < F.lit("1995-04-01").cast("date"))
-    return FC.ensemble(stage(months, "monthly"), (), star.REFERENCES).select(
-        "branch", "scenario", "forecast_period", "demand_index_forecast", "similarity_estimate", "relative_band_low", "relative_band_high")
+    """Each quarter of a branch as a series of its own: at most three months, too few for a trend, so the reference branch's quarter joins in."""
+    quarter = lambda name: F.format_string("%s %dQ%d", name, F.year("date"), F.quarter("date"))
+    months = stage(star.monthly_sales(spark, d).withColumn("region", F.col("branch")).withColumn("branch", quarter("region")), "monthly")
+    other = S.lookup(F.col("region"), star.REFERENCES)
+    linked = months.where(other.isNotNull()).select("branch", quarter(other).alias("reference")).distinct()
+    return FC.ensemble(months.drop("region"), (), linked).select(
+        "branch", "scenario", "forecast_period", "demand_index_forecast", "similarity_estimate", "relative_band_low", "relative_band_high", "n_months_used")
 
 
 def forecast_backtest(spark, d):
     return FC.backtest(stage(star.monthly_sales(spark, d), "monthly"), 3)
 
 
+def forecast_rolling_backtest(spark, d):
+    return FC.rolling_backtest(stage(star.monthly_sales(spark, d), "monthly"), 3, 12, star.REFERENCES)
+
+
+def forecast_metadata(spark, d):
+    """Description of a forecast run without its time."""
+    row = FC.run_metadata(_ensemble(spark, d))
+    return row.select("total_rows", F.array_join("branches", "|").alias("branches"), F.array_join("scenarios", "|").alias("scenarios"),
+                      "periods_per_scenario", F.explode("parameters").alias("parameter", "value"))
+
+
+def pair_metadata(spark, d):
+    """Description of a run of pair statistics."""
+    row = flows.combo_metadata(_pairs(spark, d), MIN_SUPPORT, MIN_COUNT)
+    return row.withColumns({c: F.array_join(c, "|") for c in ("scope_types", "branches")})
+
+
+def item_lists(spark, d):
+    """Items of orders written as JSON, as a Python list, as plain text with commas, or as nothing, and read back as arrays."""
+    found = _baskets(spark, d).withColumn("kind", F.col("order_id").cast("long") % 5)
+    loud = F.transform("items_set", lambda i: F.upper(F.replace(i, F.lit(" "), F.lit("  "))))
+    text_ = (F.when(F.col("kind") == 0, F.to_json(loud)).when(F.col("kind") == 1, F.concat(F.lit("['"), F.array_join(loud, "', '"), F.lit("']")))
+             .when(F.col("kind") == 2, F.array_join(loud, ",")).when(F.col("kind") == 3, F.lit(" NaN ")))
+    return found.select("order_id", F.array_join(S.parse_items(text_), "|").alias("items"))
+
+
 # ---------------------------------------------------------------- reports
 
 REPORT_FILES = 64
@@ -532,5 +561,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     attach_revenue_share, assoc_rules_pairs, assoc_rules_top, assoc_rules_fpgrowth, assoc_rules_sets, assoc_rules_choice, growth_potential, growth_actions, item_classes,
     revenue_kpis, order_kpis, branch_kpis, feasibility_scores, region_scores, region_decision, branch_ranking, growth_summary,
     risk_summary, forecast_anomalies, forecast_scenarios, forecast_estimators, forecast_ensemble, forecast_short_series,
-    forecast_backtest, report_roundtrip, report_order_detail, report_basket_core, report_items, report_attendance, line_explode,
+    forecast_backtest, forecast_rolling_backtest, forecast_metadata, pair_metadata, item_lists, report_roundtrip, report_order_detail, report_basket_core, report_items, report_attendance, line_explode,
     line_classes, number_parse)}

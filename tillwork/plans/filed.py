@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -76,28 +77,39 @@ def report_customer_orders(spark, d):
     return got.select("branch", "customer", "phone", F.to_date("first_order").alias("first_order"), F.to_date("last_order").alias("last_order"), "total", "num_orders")
 
 
-def report_tax(spark, d):
-    """Order value of each branch and month as the tax lines of a report: 20 numbers to a line, the total in the last."""
+def tax_rows(spark, d):
+    """Order value of each branch and month as the tax lines of a report: 20 numbers to a line, the total in the last; a file per year."""
     months = star.monthly_sales(spark, d)
     value = F.format_string('"%,.2f"', "revenue")
     line = F.concat_ws(",", F.lit("Total By Branch"), F.lit("1.00"), F.lit(",".join(["0.00"] * 18)), value)
     at = lambda k: _at(F.col("month_num"), F.hash("branch"), k)
-    rows = months.select(F.col("year").alias("file"), _lines((at(0), F.concat(F.lit("Branch Name:  "), F.col("branch"), F.lit(",,,"))), (at(1), line)))
-    return R.tax_summary(_written(spark, rows, "tax_report"))
+    return months.select(F.col("year").alias("file"), _lines((at(0), F.concat(F.lit("Branch Name:  "), F.col("branch"), F.lit(",,,"))), (at(1), line)))
 
 
-def report_menu(spark, d):
+def report_tax(spark, d):
+    """The tax lines of all years and branches, read back."""
+    return R.tax_summary(_written(spark, tax_rows(spark, d), "tax_report"))
+
+
+def menu_rows(spark, d):
     """Channel figures as an average-sales report, a file per branch."""
     menu = star.channel_sales(spark, d)
     channel = F.when(F.col("channel") == "AUTOMOBILE", "take away").when(F.col("channel") == "FURNITURE", "DELIVERY ").when(F.col("channel") == "MACHINERY", "unknown").otherwise(F.col("channel"))
-    body = menu.select(F.hash("branch").alias("file"), _at(2, F.hash("channel")).alias("at"), F.format_string('%s,%.2f,"%,.2f",,', channel, "customers", "sales").alias("line"))
-    head = menu.select("branch").distinct().select(F.hash("branch").alias("file"), _lines(
+    file = F.array_position(F.array(*[F.lit(b) for b in ("AFRICA", "EUROPE", "AMERICA", "MIDDLE EAST", "ASIA")]), F.col("branch")).cast("int")
+    file = (file - 1).alias("file")
+    body = menu.select(file, _at(2, F.hash("channel")).alias("at"), F.format_string('%s,%.2f,"%,.2f",,', channel, "customers", "sales").alias("line"))
+    head = menu.select("branch").distinct().select(file, _lines(
         (_at(0, 0), F.lit("Average Sales By Menu,,,,")), (_at(0, 1), F.lit("Menu Name,# Cust,Sales,Avg Customer,")), (_at(1, 0), F.concat(F.initcap("branch"), F.lit(",,,,")))))
-    got = R.avg_sales_menu(_written(spark, body.unionByName(head), "menu_report"))
+    return body.unionByName(head)
+
+
+def report_menu(spark, d):
+    """The menu report of every branch, read back."""
+    got = R.avg_sales_menu(_written(spark, menu_rows(spark, d), "menu_report"))
     return got.withColumn("avg_per_customer", S.round_to("avg_per_customer", 2))
 
 
-def report_delivery_detail(spark, d):
+def delivery_rows(spark, d):
     """Order lines as a delivery-detail report, one file per 64th of the orders; returns are written as negative quantities."""
     items = star.table(spark, d, "part").select("p_partkey", "p_name")
     heads = star.orders(spark, d).select("o_orderkey", "branch")
@@ -108,11 +120,16 @@ def report_delivery_detail(spark, d):
     body = body.select(file, _at(key, 2, F.col("l_linenumber")).alias("at"), F.format_string(',%.0f,%s,"%,.2f",', "q", "p_name", "l_extendedprice").alias("line"))
     head = heads.select(file, _lines((_at(key, 0, 0), F.concat(F.lit("Branch :"), F.col("branch"), F.lit(",,,"))), (_at(key, 1, 0), F.format_string("Person_%d,,,", key)),
                                      (_at(key, 3, 0), F.lit("Total :,,,"))))
-    rows = R.delivery_detail(_written(spark, body.unionByName(head), "delivery_report", 64))
+    return body.unionByName(head)
+
+
+def report_delivery_detail(spark, d):
+    """Delivered lines of the report, per customer."""
+    rows = R.delivery_detail(_written(spark, delivery_rows(spark, d), "delivery_report", 64))
     return rows.groupBy("branch", "customer").agg(F.count(F.lit(1)).alias("n"), F.sum(S.money(F.col("price"))).cast("double").alias("price"), F.sum("qty").alias("qty"))
 
 
-def report_hours(spark, d):
+def hours_rows(spark, d):
     """Punches as an attendance report read by its other variant: branch named on the line after the employee, hours at the end of a line."""
     events = star.table(spark, d, "events").where("event_type <> 'purchase'")
     hours = F.col("value") / 10
@@ -121,19 +138,38 @@ def report_hours(spark, d):
     body = events.select(file, _at(user, 2, F.col("event_id")).alias("at"), F.concat_ws(",", day, F.lit(""), F.date_format("ts", "HH.mm.ss"), day, F.date_format("ts", "HH.mm.ss"), clock).alias("line"))
     head = events.select("user_id").distinct().select(file, _lines(
         (_at(user, 0, 0), F.format_string(",EMP ID :%d.0,NAME :Person_%d,,,", user, user)), (_at(user, 1, 0), F.format_string(",Store %d,,,,", user % 5))))
+    return body.unionByName(head)
+
+
+def report_hours(spark, d):
+    """Hours of each employee from the attendance report."""
     names = [(f"store {i}", f"store_{i}") for i in range(5)]
-    got = R.attendance_hours(_written(spark, body.unionByName(head), "hours_report"), names, 0.5)
+    got = R.attendance_hours(_written(spark, hours_rows(spark, d), "hours_report"), names, 0.5)
     return got.groupBy("branch", "emp_id").agg(F.count(F.lit(1)).alias("n"), S.round_to(F.sum(F.col("duration_hours").cast("decimal(18,6)")).cast("double"), 3).alias("hours"))
 
 
 def file_lines(spark, d):
-    """Documents as Latin-1 and UTF-8 text files, read back line by line with the encoding of each file."""
+    """Documents as text files, odd ones in Latin-1 and even ones in UTF-8, each read in several blocks and with the encoding of the whole file.
+
+    What Latin-1 lacks is written as a question mark. A Latin-1 file is no valid UTF-8, as its first line ends in one high byte.
+    """
     docs = star.table(spark, d, "documents").where("text IS NOT NULL")
-    rows = docs.select((F.col("doc_id") % 32).cast("int").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "line"), "doc_id").select(
-        "file", _at(F.col("doc_id"), F.col("pos")).alias("at"), "line")
-    got = L.number_lines(_written(spark, rows, "document_files", 32))
+    file = (F.col("doc_id") % 32).cast("int").alias("file")
+    rows = docs.select(file, F.posexplode(F.split("text", "\n")).alias("pos", "line"), "doc_id").select("file", _at(F.col("doc_id"), F.col("pos")).alias("at"), "line")
+    first = docs.select(file).distinct().select("file", _at(-1, 0).alias("at"), F.lit("Café").alias("line"))
+    rows = rows.unionByName(first)
+    latin = F.encode(F.regexp_replace("line", "[^\\x00-\\xFF]", "?"), "ISO-8859-1").cast("string")
+    rows = rows.withColumn("line", F.when(F.col("file") % 2 == 1, latin).otherwise(F.col("line")))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        placed = _written(spark, rows, "document_files", 32)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = L.number_lines(placed)
     return got.groupBy(F.regexp_extract("path", r"file=(\d+)", 1).cast("int").alias("file")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.max("line_no").alias("last_line"))
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.max("line_no").alias("last_line"),
+        F.sum(F.length(F.regexp_replace("line", "[\\x00-\\x7F]", ""))).alias("n_not_ascii"), (F.count_distinct("block") > 1).alias("several_blocks"))
 
 
 # ---------------------------------------------------------------- typed sources
@@ -152,15 +188,23 @@ def csv_coercion(spark, d):
 
 
 def line_items_layouts(spark, d):
-    """Order lines written in CSV and Parquet and read through the reader of both; counted per branch and layout."""
-    lines, out = star.lines(spark, d).withColumn("timestamp", F.col("timestamp").cast("timestamp")), []
-    for fmt in ("csv", "parquet"):
-        path = _folder(spark, "items") + f".{fmt}"
-        (lines.write.option("header", True).option("escape", '"') if fmt == "csv" else lines.write).format(fmt).save(path)
-        got = tables.read_line_items(spark, path)
-        out.append(got.groupBy("branch", "channel").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("order_id").alias("n_orders"),
-                                                         F.count_distinct("item").alias("n_items")).withColumn("layout", F.lit(fmt)))
-    return out[0].unionByName(out[1])
+    """Order lines in all accepted layouts (lines, lines with ``basket_id``, baskets with a list of items), each as CSV and as Parquet."""
+    lines = stage(star.lines(spark, d).withColumn("timestamp", F.col("timestamp").cast("timestamp")), "lines")
+    lists = lines.groupBy("order_id", "branch", "channel", F.col("timestamp").alias("date")).agg(F.collect_list("item").alias("items_list"))
+    layouts = {"lines": lines, "baskets": lines.withColumnRenamed("order_id", " Basket_ID "), "lists": lists}
+    out = []
+    for layout, df in layouts.items():
+        for fmt in ("csv", "parquet"):
+            path = _folder(spark, "items") + f".{fmt}"
+            if fmt == "csv":
+                df.withColumns({c: F.to_json(c) for c, t in df.dtypes if t.startswith("array")}).write.option("header", True).option("escape", '"').csv(path)
+            else:
+                df.write.parquet(path)
+            got = tables.read_line_items(spark, path)
+            out.append(got.groupBy("branch", "channel").agg(
+                F.count(F.lit(1)).alias("n_lines"), F.count_distinct("order_id").alias("n_orders"), F.count_distinct("item").alias("n_items"),
+                F.count("timestamp").alias("n_times")).withColumn("layout", F.lit(f"{layout} {fmt}")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def pair_artifact(spark, d):
@@ -271,6 +315,15 @@ def store_arrays(spark, d):
     return store.read_table(spark, root, "order_baskets").select("order_id", "branch", F.explode("items_set").alias("item"))
 
 
+def store_csv(spark, d):
+    """A table with an array and numbers written as CSV by the store, a folder per branch, and read back typed."""
+    root = _folder(spark, "results")
+    store.write_table(catalog._baskets(spark, d), root, "1", "order_baskets", "csv", partition_by=["branch"], sort_by=["order_id"])
+    schema = T._parse_datatype_string("order_id string, items_set array<string>, n_items int, branch string, channel string, hour int")
+    got = tables.read_csv_table(spark, store.table_path(root, "1", "order_baskets"), schema)
+    return got.withColumn("items_set", F.array_join("items_set", "|"))
+
+
 def store_documents(spark, d):
     """The growth recommendation as a JSON document, read back and unfolded."""
     root = _run(spark, {"growth_recommendation": G.growth_recommendation(catalog._potential(spark, d))})
@@ -286,7 +339,7 @@ def store_items(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     report_audit, report_customer_orders, report_tax, report_menu, report_delivery_detail, report_hours, file_lines, csv_coercion, line_items_layouts, pair_artifact,
     lookup_forecast, lookup_pairs, lookup_scopes, lookup_feasibility, lookup_growth_summary, lookup_risk_summary, lookup_feasibility_parts, lookup_staffing_gaps,
-    lookup_staffing_summary, lookup_growth_rules, lookup_growth_gap, lookup_overview, lookup_page, store_newest_run, store_branch_folders, store_arrays,
+    lookup_staffing_summary, lookup_growth_rules, lookup_growth_gap, lookup_overview, lookup_page, store_newest_run, store_branch_folders, store_arrays, store_csv,
     store_documents, store_items)}
 
 _B = oracle.BODIES
@@ -312,12 +365,15 @@ BODIES: dict[str, str] = {
         FROM lineitem JOIN ord ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' GROUP BY branch, l_orderkey""",
     "report_hours": f"""SELECT branch, emp_id || '.0' AS emp_id, count(*) AS n, round(CAST(sum(CAST(x AS DECIMAL(18,6))) AS DOUBLE), 3) AS hours FROM (SELECT branch, emp_id, {_H} AS x FROM shift0)
         WHERE x > 0.5 GROUP BY ALL""",
-    "file_lines": """SELECT CAST(doc_id % 32 AS INTEGER) AS file, count(*) AS n_lines, CAST(sum(length(regexp_replace(line, '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g'))) AS BIGINT) AS n_chars, count(*) - 1 AS last_line
-        FROM doc_lines GROUP BY ALL""",
+    "file_lines": """SELECT file, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars, count(*) - 1 AS last_line,
+        CAST(sum(length(regexp_replace(line, '[\\x00-\\x7F]', '', 'g'))) AS BIGINT) AS n_not_ascii, sum(strlen(raw) + 1) > 20000 AS several_blocks FROM (
+        SELECT file, raw, regexp_replace(CASE WHEN file % 2 = 1 THEN regexp_replace(raw, '[^\\x00-\\x{FF}]', '?', 'g') ELSE raw END, '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g') AS line
+        FROM (SELECT CAST(doc_id % 32 AS INTEGER) AS file, line AS raw FROM doc_lines WHERE line IS NOT NULL
+            UNION ALL SELECT DISTINCT CAST(doc_id % 32 AS INTEGER), 'Café' FROM documents WHERE text IS NOT NULL)) GROUP BY ALL""",
     "csv_coercion": """SELECT p_partkey, p_name, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS INTEGER) END AS p_size, p_partkey % 7 = 0 AS flag, p_retailprice AS price,
         DATE '2025-12-01' AS day, CAST(NULL AS VARCHAR) AS absent FROM part""",
-    "line_items_layouts": """SELECT branch, channel, count(*) AS n_lines, count(DISTINCT order_id) AS n_orders, count(DISTINCT upper(trim(item))) AS n_items, layout
-        FROM line, (VALUES ('csv'), ('parquet')) AS v(layout) GROUP BY ALL""",
+    "line_items_layouts": """SELECT branch, channel, count(*) AS n_lines, count(DISTINCT order_id) AS n_orders, count(DISTINCT upper(trim(item))) AS n_items, count(*) AS n_times,
+        layout || ' ' || fmt AS layout FROM line, (VALUES ('lines'), ('baskets'), ('lists')) AS v(layout), (VALUES ('csv'), ('parquet')) AS f(fmt) GROUP BY ALL""",
     "pair_artifact": _B["pairs_overall"],
     "lookup_forecast": f"""SELECT * FROM ({_B['forecast_ensemble']}) WHERE scenario = 'base' AND forecast_period = 1
         UNION ALL SELECT * FROM ({_B['forecast_ensemble']}) WHERE branch = 'ASIA' AND scenario = 'base' AND forecast_period = 2""",
@@ -345,6 +401,7 @@ BODIES: dict[str, str] = {
     "store_newest_run": "SELECT * FROM profile",
     "store_branch_folders": "SELECT * EXCLUDE (branch) FROM profile WHERE branch = 'store_2'",
     "store_arrays": "SELECT order_id, branch, unnest(items) AS item FROM bask",
+    "store_csv": """SELECT order_id, array_to_string(items, '|') AS items_set, CAST(len(items) AS INTEGER) AS n_items, branch, channel, CAST(hour(ts) AS INTEGER) AS hour FROM bask""",
     "store_documents": f"SELECT 'Coffee & Milkshake Combo Uplift' AS strategy, * FROM ({_B['growth_actions']})",
     "store_items": "SELECT branch || '#' || day_of_week AS pk, CAST(hour AS VARCHAR) AS sk, avg_active_employees FROM profile",
 }

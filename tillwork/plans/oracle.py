@@ -313,6 +313,25 @@ PARTS: dict[str, str] = {
         JOIN cnb ON cnb.branch = p.branch AND cnb.is_total = p.is_total
         JOIN cc a ON a.branch = p.branch AND a.is_total = p.is_total AND a.item = p.antecedents
         JOIN cc b ON b.branch = p.branch AND b.is_total = p.is_total AND b.item = p.consequents""",
+    # Quarters as series of their own.
+    "qs0": """SELECT branch AS b, year(date) || 'Q' || quarter(date) AS q, 12 * year(date) + month(date) - 1 AS t, revenue AS y FROM months""",
+    "qs1": """SELECT *, row_number() OVER (PARTITION BY b, q ORDER BY t DESC) AS age, (y - lag(y) OVER s) / lag(y) OVER s AS g, t - min(t) OVER (PARTITION BY b, q) AS x
+        FROM qs0 WINDOW s AS (PARTITION BY b, q ORDER BY t)""",
+    "qs2": """SELECT b, q, count(*) AS n, max(t) AS st, max(t - x) AS t0, max(CASE WHEN age = 1 THEN y END) AS y1, max(CASE WHEN age = 2 THEN y END) AS y2,
+        max(CASE WHEN age = 3 THEN y END) AS y3, coalesce(stddev_samp(g), 0) AS vs, avg(x) AS mx, avg(y) AS my, sum(x * y) AS sxy, sum(x * x) AS sxx FROM qs1 GROUP BY b, q""",
+    "qs": """SELECT *, b || ' ' || q AS k, y1 AS naive, CASE WHEN n >= 3 THEN 0.5::DOUBLE * y3 + 0.3::DOUBLE * y2 + 0.2::DOUBLE * y1 WHEN n = 2 THEN (0.5::DOUBLE * y2 + 0.3::DOUBLE * y1) / 0.8::DOUBLE
+        ELSE y1 END AS wma3, CASE WHEN n >= 3 THEN (sxy - n * mx * my) / (sxx - n * mx * mx) END AS slope FROM qs2""",
+    # Forecasts of all months from each of the last twelve origins, with the actual value.
+    "bt0": """SELECT branch, 12 * year(date) + month(date) - 1 AS t, revenue AS y, row_number() OVER (PARTITION BY branch ORDER BY date DESC) AS age FROM months""",
+    "bt1": """SELECT branch, o, t, y, row_number() OVER (PARTITION BY branch, o ORDER BY t DESC) AS i, (y - lag(y) OVER s) / lag(y) OVER s AS g, t - min(t) OVER (PARTITION BY branch, o) AS x
+        FROM bt0, (SELECT unnest(range(1, 13)) AS o) WHERE age > o WINDOW s AS (PARTITION BY branch, o ORDER BY t)""",
+    "bt2": """SELECT branch, o, count(*) AS n, max(t) AS st, max(t - x) AS t0, max(CASE WHEN i = 1 THEN y END) AS y1, max(CASE WHEN i = 2 THEN y END) AS y2, max(CASE WHEN i = 3 THEN y END) AS y3,
+        coalesce(stddev_samp(g), 0) AS vs, avg(x) AS mx, avg(y) AS my, sum(x * y) AS sxy, sum(x * x) AS sxx FROM bt1 GROUP BY branch, o""",
+    "bt3": """SELECT *, y1 AS naive, 0.5::DOUBLE * y3 + 0.3::DOUBLE * y2 + 0.2::DOUBLE * y1 AS wma3, (sxy - n * mx * my) / (sxx - n * mx * mx) AS slope, least(vs, 0.75::DOUBLE) AS cap FROM bt2""",
+    "bt4": """SELECT *, greatest(0.0::DOUBLE, slope * (st + p) + (my - slope * (mx + t0))) AS linear FROM bt3, (VALUES (1), (2), (3)) AS h(p)""",
+    "bt5": "SELECT *, list_sort([naive, wma3, linear]) AS v FROM bt4",
+    "bt": """SELECT bt5.branch, o, p, naive, wma3, linear, v[2] AS val, greatest(0.0::DOUBLE, (v[1] + 0.5::DOUBLE * (v[2] - v[1])) * (1 - cap)) AS lo,
+        (v[2] + 0.5::DOUBLE * (v[3] - v[2])) * (1 + cap) AS hi, bt0.y FROM bt5 JOIN bt0 ON bt0.branch = bt5.branch AND bt0.age = o - p + 1""",
     "doc_lines": "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents",
 }
 
@@ -501,23 +520,30 @@ BODIES: dict[str, str] = {
         least(100, sq + sv + sa + sn) AS forecast_stability_score, CASE WHEN sq + sv + sa + sn >= 60 THEN 'stable' WHEN sq + sv + sa + sn >= 30 THEN 'cautious' ELSE 'unstable' END AS forecast_stability_label,
         sq AS stability_data_qty, sv AS stability_volatility, sa AS stability_agreement, sn AS stability_anomaly, n AS n_months_used,
         monthname(make_date(CAST(ct // 12 AS INTEGER), CAST(ct % 12 + 1 AS INTEGER), 1)) AS last_clean_month, dec AS december_anomaly_flag FROM en3""",
-    "forecast_short_series": """SELECT branch, scenario, p AS forecast_period, round(val, 2) AS demand_index_forecast, round(sim, 2) AS similarity_estimate,
-        round(greatest(0.0::DOUBLE, lo * (1 - cap)), 2) AS relative_band_low, round(hi * (1 + cap), 2) AS relative_band_high FROM (
+    "forecast_short_series": """SELECT k AS branch, scenario, p AS forecast_period, round(val, 2) AS demand_index_forecast, round(sim, 2) AS similarity_estimate,
+        round(greatest(0.0::DOUBLE, lo * (1 - cap)), 2) AS relative_band_low, round(hi * (1 + cap), 2) AS relative_band_high, n AS n_months_used FROM (
         SELECT *, CASE WHEN sim IS NULL THEN s[1] + 0.5::DOUBLE * (s[2] - s[1]) ELSE s[1] + 0.75::DOUBLE * (s[2] - s[1]) END AS lo,
         CASE WHEN sim IS NULL THEN s[2] + 0.5::DOUBLE * (s[3] - s[2]) ELSE s[3] + 0.25::DOUBLE * (s[4] - s[3]) END AS hi,
-        CASE WHEN sim IS NULL THEN s[2] WHEN sim <= s[2] THEN (CASE WHEN s[1] = sim THEN s[3] ELSE s[3] END) ELSE s[2] END AS val0,
         (SELECT v FROM (SELECT v, sum(w) OVER (ORDER BY v, w ROWS UNBOUNDED PRECEDING) AS c FROM (
-            SELECT naive AS v, 1.0::DOUBLE AS w UNION ALL SELECT wma, 1.0 UNION ALL SELECT linear, 1.0 UNION ALL SELECT sim, 0.5 WHERE sim IS NOT NULL))
+            SELECT naive AS v, 1.0::DOUBLE AS w UNION ALL SELECT wma3, 1.0 UNION ALL SELECT linear, 1.0 UNION ALL SELECT sim, 0.5 WHERE sim IS NOT NULL))
             WHERE c >= (CASE WHEN sim IS NULL THEN 1.5 ELSE 1.75 END) ORDER BY c LIMIT 1) AS val FROM (
-        SELECT *, list_sort(CASE WHEN sim IS NULL THEN [naive, wma, linear] ELSE [naive, wma, linear, sim] END) AS s, least(vol, 0.75::DOUBLE) AS cap FROM (
-        SELECT branch, scenario, p, y3 AS naive, 0.5::DOUBLE * y1 + 0.3::DOUBLE * y2 + 0.2::DOUBLE * y3 AS wma,
-            greatest(0.0::DOUBLE, (y1 + y2 + y3) / 3 + (y3 - y1) / 2 * (1 + p)) AS linear,
-            CASE WHEN branch = 'EUROPE' THEN y3 * pow(1 + (SELECT greatest((z3 - z2) / z2, -1.0) FROM (SELECT max(CASE WHEN i = 2 THEN revenue END) AS z2, max(CASE WHEN i = 3 THEN revenue END) AS z3
-                FROM (SELECT revenue, row_number() OVER (ORDER BY date) AS i FROM months WHERE branch = 'ASIA' AND date < DATE '1995-04-01'))), p) END AS sim,
-            CASE WHEN scenario = 'base' OR round(sd, 4) = 0 THEN sd ELSE round(sd, 4) END AS vol
-        FROM (SELECT branch, max(CASE WHEN i = 1 THEN revenue END) AS y1, max(CASE WHEN i = 2 THEN revenue END) AS y2, max(CASE WHEN i = 3 THEN revenue END) AS y3, stddev_samp(g) AS sd
-            FROM (SELECT branch, y AS revenue, g, row_number() OVER (PARTITION BY branch ORDER BY date) AS i FROM an0 WHERE date < DATE '1995-04-01') GROUP BY branch),
-            (VALUES ('base'), ('surge_sensitive')) AS c(scenario), (VALUES (1), (2), (3)) AS h(p))))""",
+        SELECT *, list_sort(CASE WHEN sim IS NULL THEN [naive, wma3, linear] ELSE [naive, wma3, linear, sim] END) AS s, least(vol, 0.75::DOUBLE) AS cap FROM (
+        SELECT qs.k, scenario, p, qs.n, qs.naive, qs.wma3, CASE WHEN qs.slope IS NULL THEN qs.naive ELSE greatest(0.0::DOUBLE, qs.slope * (qs.st + p) + (qs.my - qs.slope * (qs.mx + qs.t0))) END AS linear,
+            CASE WHEN qs.b = 'EUROPE' AND r.k IS NOT NULL THEN qs.naive * CASE WHEN r.y2 IS NULL THEN 1 ELSE pow(1 + greatest((r.y1 - r.y2) / r.y2, -1.0::DOUBLE), p) END END AS sim,
+            CASE WHEN scenario = 'base' OR coalesce(round(qs.vs, 4), 0) = 0 THEN qs.vs ELSE round(qs.vs, 4) END AS vol
+        FROM qs LEFT JOIN qs r ON r.b = 'ASIA' AND r.q = qs.q, (VALUES ('base'), ('surge_sensitive')) AS c(scenario), (VALUES (1), (2), (3)) AS h(p))))""",
+    "forecast_backtest": """SELECT branch, count(*) AS n_holdout, round(avg(abs(round(val, 2) - y) / y), 6) AS mape_ensemble, round(avg(abs(round(naive, 2) - y) / y), 6) AS mape_naive,
+        round(avg(abs(round(wma3, 2) - y) / y), 6) AS mape_wma3, round(avg(abs(round(linear, 2) - y) / y), 6) AS mape_linear,
+        round(avg(CASE WHEN y BETWEEN round(lo, 2) AND round(hi, 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS band_coverage FROM bt WHERE o = 3 GROUP BY branch""",
+    "forecast_rolling_backtest": """SELECT branch, p AS forecast_period, count(*) AS n_origins, round(avg(abs(round(val, 2) - y) / y), 6) AS mape_ensemble,
+        round(avg(abs(round(naive, 2) - y) / y), 6) AS mape_naive, round(avg(abs(round(wma3, 2) - y) / y), 6) AS mape_wma3, round(avg(abs(round(linear, 2) - y) / y), 6) AS mape_linear,
+        round(avg(CASE WHEN y BETWEEN round(lo, 2) AND round(hi, 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS band_coverage FROM bt GROUP BY branch, p""",
+    "forecast_metadata": """SELECT CAST(2 * 3 * n AS BIGINT) AS total_rows, branches, 'base|surge_sensitive' AS scenarios, 3 AS periods_per_scenario, parameter, value FROM
+        (SELECT count(DISTINCT branch) AS n, string_agg(DISTINCT branch, '|' ORDER BY branch) AS branches FROM months),
+        (VALUES ('WMA_WEIGHTS', '[0.5, 0.3, 0.2]'), ('VOLATILITY_CAP', '0.75'), ('SIMILARITY_BELOW', '4'), ('SIMILARITY_WEIGHT', '0.5')) AS v(parameter, value)""",
+    "pair_metadata": """SELECT count(*) AS total_pairs, string_agg(DISTINCT scope_type, '|' ORDER BY scope_type) AS scope_types, string_agg(DISTINCT branch, '|' ORDER BY branch) AS branches,
+        0.001::DOUBLE AS min_support, 10 AS min_count_ab FROM pairs""",
+    "item_lists": """SELECT order_id, CASE WHEN CAST(order_id AS BIGINT) % 5 < 3 THEN array_to_string(items, '|') ELSE '' END AS items FROM bask""",
     "report_roundtrip": """SELECT branch, monthname(date) AS month, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month_num, revenue, date FROM months""",
     "report_order_detail": """SELECT branch, is_void, is_modifier, count(*) AS n_lines, count(DISTINCT l_orderkey) AS n_baskets, CAST(sum(price) AS DOUBLE) AS price, CAST(sum(qty) AS DOUBLE) AS qty FROM (
         SELECT *, qty < 0 AS is_void, price = 0 AND NOT qty < 0 AS is_modifier FROM (

@@ -46,7 +46,7 @@ def write_table(df: DataFrame, root: str, run_id: str, table: str, fmt: str = "p
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         arrays = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
-        writer = df.withColumns({c: F.to_json(c) for c in arrays}).write.mode("overwrite").format(fmt).option("header", True)
+        writer = df.withColumns({c: F.to_json(c) for c in arrays}).write.mode("overwrite").format(fmt).option("header", True).option("escape", '"')
     if parts:
         writer = writer.partitionBy(*parts)
     writer.save(table_path(root, run_id, table))
