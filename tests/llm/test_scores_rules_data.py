@@ -3,13 +3,13 @@
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import brute
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from tillwork.llm import lstm_crf, personal_data as pd_, quality_rules as qr, suffix_tree_lm as lm
+from tillwork.llm import lstm_crf, personal_data as pd_, quality_rules as qr, suffix_tree_lm as lm, tables
 
 from conftest import SF
 
@@ -32,32 +32,82 @@ def check_scores(got, rows):
     assert all(abs(g[5] - w[5]) <= 1e-9 * abs(w[5]) + 1e-12 and g[6] < 0 for g, w in zip(got, want))
 
 
-def test_base_scores_on_awkward_rows(frame):
-    rows = brute.edge_rows()
-    out = lm.score(frame(rows, more=True), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, p_word=1e-3)
-    check_scores(out.collect(), rows)
+def tree_scores(rows, depth=3, divergence=0.02, price=3.0, discount=0.75):
+    """Score of each row by the same tree in plain Python: contexts and runs are tuples of words."""
+    lists = [[0] + brute.words(r[1], True) + [None] for r in rows]
+    learn = [w for r, w in zip(rows, lists) if not held(r[0])]
+    runs = Counter(tuple(w[i : i + k]) for w in learn for k in range(1, depth + 2) for i in range(len(w) - k + 1))
+    c = {k: n for k, n in runs.items() if len(k) == 1 and k != (0,)}
+    n, v = sum(c.values()), len(c)
+    root = lambda x: (c.get((x,), 0) + 1) / (n + v + 1)
+    after = defaultdict(dict)
+    for run, m in runs.items():
+        if len(run) > 1 and m > 1:
+            after[run[:-1]][run[-1]] = m
+    rest = {ctx: 1 - (sum(s.values()) - discount * len(s)) / runs[ctx] for ctx, s in after.items()}
+
+    def full(ctx, x):  # over all contexts, kept or not
+        if not ctx:
+            return root(x)
+        own = (after[ctx][x] - discount) / runs[ctx] if x in after.get(ctx, {}) else 0.0
+        return own + (rest[ctx] if ctx in after else 1.0) * full(ctx[1:], x)
+
+    kept = set()
+    for ctx, s in after.items():
+        loose = runs[ctx] - sum(s.values())
+        gain = sum(m * (math.log(full(ctx, x)) - math.log(full(ctx[1:], x))) for x, m in s.items()) + (loose * math.log(rest[ctx]) if loose else 0.0)
+        if gain >= divergence * runs[ctx] and gain > price * len(s):
+            kept |= {ctx[i:] for i in range(len(ctx))}
+
+    def log_chance(ctx, x):
+        while ctx and ctx not in kept:
+            ctx = ctx[1:]
+        out = 0.0
+        while ctx and x not in after[ctx]:
+            out, ctx = out + math.log(rest[ctx]), ctx[1:]
+        return out + math.log(full(ctx, x))
+
+    return [sum(log_chance(tuple(w[max(0, i - depth) : i]), w[i]) for i in range(1, len(w))) / math.log(10) for w in lists], kept, full, c
+
+
+def test_scores_are_those_of_the_plain_tree(frame, spark, table, monkeypatch):
+    rows = brute.edge_rows() + [(100 + i, brute.prose(20 + i % 7, 50), "en", "s", 1) for i in range(40)] + [(200 + i, brute.prose(20 + i, 30), "en", "s", 1) for i in range(9)]
+    want, kept, _, _ = tree_scores(rows)
+    assert {len(k) for k in kept} == {1, 2, 3}
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    for block_bytes in (6 << 20, 5000):
+        monkeypatch.setattr(tables, "BLOCK_BYTES", block_bytes)
+        got = lm.score(frame(rows, more=True), crc).collect()
+        check_scores(got, rows)
+        assert np.allclose(sorted(r.score for r in got), sorted(want), rtol=1e-9)
+    shallow = lm.score(frame(rows), crc, depth=1).collect()
+    assert np.allclose(sorted(r.score for r in shallow), sorted(tree_scores(rows, depth=1)[0]), rtol=1e-9)
+    monkeypatch.setattr(tables, "BLOCK_BYTES", 40_000)
+    got = {r.doc_id: r.score for r in lm.op1_suffix_tree_lm(spark, SF).collect()}
+    assert np.allclose([got[r[0]] for r in table], tree_scores(table)[0], rtol=1e-9)
+
+
+def test_every_context_is_a_distribution():
+    rows = [(i, brute.prose(i % 9, 60), "en", "s", 0) for i in range(60)]
+    _, kept, full, c = tree_scores(rows)
+    unknown = 1 / (sum(c.values()) + len(c) + 1)
+    for ctx in sorted(kept, key=str)[:40]:
+        weight = full(ctx, "never seen") / unknown  # what is left for unknown words, over the root's share
+        assert abs(sum(full(ctx, x[0]) for x in c) + unknown * weight - 1) < 1e-9
 
 
-def test_contexts_help_on_held_out_texts(spark, table):
+def test_contexts_help_and_grow_with_the_corpus(spark, table):
     got = lm.op1_suffix_tree_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
-    assert got[1] > got[0]
+    assert got[1] > 0.95 * got[0] and got[1] > got[0]
     check_scores(lm.op1_suffix_tree_lm(spark, SF).collect(), table)
 
+    def states(sf):
+        docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.lit(False).alias("held_out"))
+        blocks, ranges = tables.blocks(docs, more=("held_out",))
+        pairs, *_ = lm.learn_pairs(blocks, ranges, 3)
+        return lm.grow(pairs, 3, 0.02, 3.0, 0.75)[1].count()
 
-def test_every_state_is_a_distribution(spark, frame):
-    rows = [(i, brute.prose(i % 9, 60), "en", "s", 0) for i in range(60)]
-    learn = frame(rows).select("text")
-    words = lm.word_counts(learn).cache()
-    tree, total, kinds = lm.learn_tree(learn, words, p_word=1e-3, p_context=1e-3, p_next=1e-4)
-    assert len(tree.levels) == 2 and all(len(level.keys) for level in tree.levels)
-    states = 1 + sum(len(level.keys) for level in tree.levels)
-    symbols = np.arange(len(tree.names))
-    rest = 1 - np.exp(tree.log_root).sum()  # of all words without an id and of unknown ones
-    for s in range(states):
-        logs, _ = lm.log_chances(tree, np.full(len(symbols), s), symbols)
-        open_, more = lm.log_chances(tree, np.array([s]), np.array([-1]))
-        assert more[0]
-        assert abs(np.exp(logs).sum() + np.exp(open_[0]) * rest - 1) < 1e-9
+    assert states("/root/testdata/sf0.01") > 3 * states(SF)
 
 
 def test_score_of_empty_tables(frame):

@@ -1,63 +1,37 @@
 """A probabilistic suffix tree over words: contexts of varying length, kept by a divergence test, score texts.
 
-A state is a context of up to ``depth`` words (the start of a text counts as one). Candidates are contexts whose share of all training tokens
-is at least ``p_context``; a longer context is looked at only if its last words are frequent too. A state holds the next symbols whose
-share together with the context is at least ``p_next`` and that followed it at least ``least`` times. Their counts are discounted, and what that
-frees is dealt by the parent's distribution, the parent being the longest kept suffix; symbols not held get the parent's probability
-times the one factor that makes the sum 1. A state is kept if its smoothed distribution fits its visits better than its parent's by at
-least ``divergence`` nats per visit (over the held symbols and the rest as one) and by more than ``price`` nats for each held symbol.
-The root is the add-one distribution over all words, with one share for unknown ones.
-
-These shares bound the tree whatever the corpus: at most 1 / p_context contexts and 1 / p_next held symbols for each length, and
-1 / p_word words that the tree names. That much is collected and broadcast. The root's table of all words grows with the corpus and stays
-a Spark table: words below ``p_word`` are looked up there by a join. They are rare by definition, so no key of it is hot.
+A state is a context of up to ``depth`` words (the start of a text counts as one) that learning texts hold at least twice; its next
+symbols are those that followed it at least twice. Their counts are discounted, and what that and the rarer symbols free is dealt by
+the distribution of the context's suffix; the root is the add-one distribution over all words, with one share for unknown ones. A state
+is kept if its smoothed distribution fits its visits better than its suffix's by at least ``divergence`` nats per visit (held symbols,
+and the rest as one) and by more than ``price`` nats for each held symbol; suffixes of kept states are kept too. A word is scored by the
+longest kept context before it. Nothing else prunes, so the tree grows with the corpus, and none of it is collected or broadcast.
+
+A context, a context with its next symbol, and the suffixes of both are runs of one to ``depth + 1`` symbols, so all counts are counts of
+runs, by 64-bit hashes. The texts lie in blocks. A block sends the hashes of its runs as sorted arrays, one per range of hashes; the task
+of a range adds them up and sends back to each block the totals of those of its own that are repeated; a run is only sent if all
+its pairs of words are repeated, as else it cannot be. A hash is in each array once, so a passage that all documents share costs
+a range one entry per block. The distributions are Spark tables keyed by run, joined with those of their suffixes level by level.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwork.llm import tables, words as wd
+from tillwork.llm.window_dedup import in_blocks
 
 END = np.uint64(0x454E44)  # the hash that stands for the end of a text
-SCORED = ("uid long, doc_id long, held_out boolean, n_tokens long, n_named long, base double, tree double, rare array<long>")
-
-
-@dataclass
-class Level:
-    """Kept states of one length: keys, parents, log factor of symbols not held; and their held symbols by (state, symbol)."""
-
-    keys: np.ndarray
-    parent: np.ndarray
-    log_rest: np.ndarray
-    held: np.ndarray
-    log_held: np.ndarray
-
-
-@dataclass
-class Tree:
-    """``names``: sorted hashes of the words with an id; ids above them: the start. State 0 is the root; the rest follow by level."""
-
-    names: np.ndarray
-    log_root: np.ndarray
-    levels: list[Level] = field(default_factory=list)
-
-    @property
-    def width(self) -> int:
-        return len(self.names) + 2
-
-    def plain(self) -> tuple:
-        """Arrays only, for a broadcast that executors read without this package."""
-        return self.names, self.log_root, [tuple(vars(level).values()) for level in self.levels]
-
-    @staticmethod
-    def of(plain: tuple) -> Tree:
-        return Tree(plain[0], plain[1], [Level(*level) for level in plain[2]])
+START = np.uint64(0x535441)  # and the one before its first word
+COUNTED = "range int, level int, block int, keys binary, counts binary"
+FOUND = "range int, level int, block int, keys binary, totals binary, first binary"
+PAIRS = "level int, key long, context long, suffix long, context_suffix long, n long, visits long, log_root double"
+REPLY = "block int, level int, keys binary, log_chance binary, log_rest binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, tree double"
+SUMS = -1  # the block of a row that holds a range's number of tokens and of distinct ones
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,193 +46,281 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def find(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Index in a sorted array, -1 where absent."""
-    if not len(sorted_):
-        return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
-    return np.where(sorted_[at] == values, at, -1)
+def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``tokens``, with a start in front of each text."""
+    hashes, first = tokens(texts)
+    offsets = first + np.arange(len(first))
+    out = np.full(offsets[-1], START, np.uint64)
+    mask = np.ones(offsets[-1], bool)
+    mask[offsets[:-1]] = False
+    out[mask] = hashes
+    return out, offsets
+
+
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
-def numbered(tree: Tree, hashes: np.ndarray) -> np.ndarray:
-    """Ids of words, -1 for those without."""
-    return find(tree.names, hashes)
+def _range_column(key: str, ranges: int) -> Column:
+    return F.shiftrightunsigned(F.shiftrightunsigned(key, 32) * ranges, 32).cast("int")
 
 
-def contexts(tree: Tree, ids: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
-    """Key of the ``length`` symbols before each token, -1 where one of them has no id or lies before the start."""
-    start = len(tree.names)
-    n = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
-    key = np.zeros(len(ids), np.int64)
-    for back in range(length, 0, -1):
-        at = np.maximum(np.arange(len(ids)) - back, 0)
-        symbol = np.where(n >= back, ids[at], np.where(n == back - 1, start, -1))
-        key = np.where((symbol >= 0) & (key >= 0), key * tree.width + symbol, -1)
-    return key
+def _counted(level: int, block: int, keys: np.ndarray, weight: np.ndarray, ranges: int) -> list[tuple]:
+    """COUNTED rows: distinct keys and the sums of their weights, cut into ranges."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    edge = wd.runs(keys)
+    sums = np.add.reduceat(weight[order], edge[:-1]) if len(keys) else np.zeros(0, np.int64)
+    keys = keys[edge[:-1]]
+    at = wd.runs(range_of(keys, ranges))
+    return [(int(range_of(keys[a : a + 1], ranges)[0]), level, block, keys[a:b].tobytes(), sums[a:b].astype(np.int64).tobytes())
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def states(tree: Tree, ids: np.ndarray, first: np.ndarray, upto: int) -> np.ndarray:
-    """Number of the longest kept state of at most ``upto`` symbols before each token."""
-    out, base = np.zeros(len(ids), np.int64), 1
-    for length, level in enumerate(tree.levels[:upto], 1):
-        at = find(level.keys, contexts(tree, ids, first, length))
-        out = np.where(at >= 0, base + at, out)
-        base += len(level.keys)
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    return pa.table({name: pa.array(list(c), kinds[kind]) for (name, kind), c in zip(fields, columns)})
+
+
+class Lookup:
+    """Values by key and level, from the rows that a block was sent."""
+
+    def __init__(self, sent: pa.Table, names: tuple[str, ...], kind=np.int64):
+        self.levels: dict[int, tuple] = {}
+        for level in set(sent.column("level").to_pylist()):
+            own = sent.filter(pa.compute.equal(sent.column("level"), level))
+            join = lambda c, t: np.concatenate([np.frombuffer(b, t) for b in own.column(c).to_pylist()])
+            keys = join("keys", np.uint64)
+            order = np.argsort(keys, kind="stable")
+            self.levels[level] = keys[order], [join(c, kind)[order] for c in names]
+
+    def at(self, level: int, keys: np.ndarray, value: int = 0, absent=0) -> np.ndarray:
+        if level not in self.levels or not len(keys):
+            return np.full(len(keys), absent)
+        known, values = self.levels[level]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, values[value][at], absent)
+
+
+def _repeated(lookup: Lookup, pairs: np.ndarray) -> np.ndarray:
+    return lookup.at(2, pairs) >= 2
+
+
+def _candidates(pairs: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Of the n - k + 1 runs of k symbols those whose pairs are all marked in ``pairs``."""
+    out = np.ones(max(0, n - k + 1), bool)
+    for i in range(k - 1):
+        out &= pairs[i : i + len(out)]
     return out
 
 
-def log_chances(tree: Tree, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural logarithm of each symbol's chance in its state, and whether the root's share of the symbol is still to be added."""
-    parent = np.concatenate([[0], *(lv.parent for lv in tree.levels)])
-    rest = np.concatenate([[0.0], *(lv.log_rest for lv in tree.levels)])
-    out, live = np.zeros(len(state)), np.flatnonzero((state > 0))
-    now = state.copy()
-    done = np.zeros(len(state), bool)
-    held = np.concatenate([np.zeros(0, np.int64), *(lv.held for lv in tree.levels)])
-    logs = np.concatenate([np.zeros(0), *(lv.log_held for lv in tree.levels)])
-    while len(live):
-        at = find(held, np.where(symbol[live] >= 0, now[live] * tree.width + symbol[live], -1))
-        hit = at >= 0
-        out[live[hit]] += logs[at[hit]]
-        done[live[hit]] = True
-        live = live[~hit]
-        out[live] += rest[now[live]]
-        now[live] = parent[now[live]]
-        live = live[now[live] > 0]
-    named = ~done & (symbol >= 0)
-    out[named] += tree.log_root[symbol[named]]
-    return out, ~done & (symbol < 0)
-
-
-def _pairs(counts: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(counts[0].astype(np.int64)), pa.array(counts[1].astype(np.int64))], names=["key", "n"])
-
-
-def word_counts(learn: DataFrame) -> DataFrame:
-    """(key: hash as long, c) of every token of a table with ``text``."""
-    def emit(batches):
+def sum_up(sent: pa.Table) -> pa.Table:
+    """For one range and level: the totals of each block's keys, of those with at least two (level 1: any) in all, and which block has it first."""
+    level, where = sent.column("level")[0].as_py(), sent.column("range")[0].as_py()
+    keys = [np.frombuffer(b, np.uint64) for b in sent.column("keys").to_pylist()]
+    size = np.cumsum([0, *map(len, keys)])
+    all_keys, counts = np.concatenate(keys), np.concatenate([np.frombuffer(b, np.int64) for b in sent.column("counts").to_pylist()])
+    order = np.argsort(all_keys, kind="stable")
+    edge = wd.runs(all_keys[order])
+    sums = np.add.reduceat(counts[order], edge[:-1])
+    totals, first = np.empty(len(all_keys), np.int64), np.zeros(len(all_keys), np.int8)
+    totals[order] = np.repeat(sums, np.diff(edge))
+    first[order[edge[:-1]]] = 1
+    rows = []
+    for i, block in enumerate(sent.column("block").to_pylist()):
+        own = slice(size[i], size[i + 1])
+        keep = totals[own] >= (1 if level == 1 else 2)
+        if keep.any():
+            rows.append((where, level, block, keys[i][keep].tobytes(), totals[own][keep].tobytes(), first[own][keep].tobytes()))
+    if level == 1:
+        start = all_keys[order[edge[:-1]]] == wd.rolling(np.array([START]), 1)[0]
+        rows.append((where, level, SUMS, b"", np.array([sums[~start].sum(), (sums[~start] > 0).sum()], np.int64).tobytes(), b""))
+    return _table(rows, FOUND)
+
+
+def learn_pairs(blocks: DataFrame, ranges: int, depth: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """PAIRS rows of all repeated runs of 2 to depth + 1 symbols, the FOUND rows of all blocks, tokens and distinct tokens.
+
+    ``blocks``: a table of ``tables.blocks`` with the column held_out. Runs of held-out texts are looked up but count as nothing.
+    """
+    def weights(held: pa.Array, offsets: np.ndarray) -> np.ndarray:
+        return np.repeat((~np.asarray(held)).astype(np.int64), np.diff(offsets))
+
+    def emit_words_and_pairs(batches):
         for batch in batches:
-            for a, b in wd.pieces(batch.column(0)):
-                hashes, n = wd.counted(tokens(batch.column(0).slice(a, b - a))[0])
-                yield _pairs((hashes.view(np.int64), n))
-
-    return learn.select("text").mapInArrow(emit, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
-
-
-def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = df.toArrow()
-    return tuple(np.asarray(table.column(i).combine_chunks()) for i in (0, 1))
-
-
-def learn_tree(learn: DataFrame, vocabulary: DataFrame, depth: int = 2, p_word: float = 1e-6, p_context: float = 1e-4, p_next: float = 1e-6,
-               divergence: float = 0.02, price: float = 3.0, discount: float = 0.75, least: int = 2) -> tuple[Tree, int, int]:
-    """The tree, the number of training tokens and of distinct ones; ``vocabulary`` is ``word_counts(learn)`` as a written table."""
-    spark = learn.sparkSession
-    total, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    hashes, counts = _collected(vocabulary.where(F.col("c") >= F.lit(p_word) * total).select("key", "c"))
-    order = np.argsort(hashes.view(np.uint64))
-    tree = Tree(hashes.view(np.uint64)[order], np.log((counts[order] + 1.0) / (total + kinds + 1.0)))
-    end = int(find(tree.names, np.array([END]))[0])
-    visits = {i: int(c) for i, c in enumerate(counts[order]) if i != end and c >= p_context * total}
-    n_texts = int(counts[order][end]) if end >= 0 else 0
-    if n_texts and n_texts >= p_context * total:
-        visits[len(tree.names)] = n_texts
-    base = 1
+            at = 0
+            for block, texts in in_blocks(batch):
+                held = batch.column(2).slice(at, len(texts))
+                at += len(texts)
+                s, offsets = symbols(texts)
+                train, rows = weights(held, offsets), []
+                for k in (1, 2):
+                    inside = np.flatnonzero(wd.within(offsets, k))
+                    rows += _counted(k, block, wd.rolling(s, k)[inside], train[inside], ranges)
+                yield from _table(rows, COUNTED).to_batches()
+
+    def emit_longer(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows and right.num_rows:
+            known, text, block = Lookup(right, ("totals",)), left.column("text").combine_chunks(), left.column("block")[0].as_py()
+            held = left.column("held_out").combine_chunks()
+            for a, b in wd.pieces(text):
+                s, offsets = symbols(text.slice(a, b - a))
+                train, pairs = weights(held.slice(a, b - a), offsets), _repeated(known, wd.rolling(s, 2))
+                for k in range(3, depth + 2):
+                    mask = _candidates(pairs, len(s), k)
+                    at = np.flatnonzero(mask & wd.within(offsets, k)) if len(mask) else np.zeros(0, np.int64)
+                    rows += _counted(k, block, wd.rolling(s, k)[at], train[at], ranges)
+        return _table(rows, COUNTED)
+
+    summed = lambda df: df.groupBy("range", "level").applyInArrow(sum_up, FOUND)
+    by_block = lambda df: df.groupBy("block")
+    short = tables.stage(summed(blocks.select("block", "text", "held_out").mapInArrow(emit_words_and_pairs, COUNTED)), "runs")
+    total, kinds = (int(x) for x in np.sum([np.frombuffer(r["totals"], np.int64) for r in short.where(F.col("block") == SUMS).select("totals").collect()]
+                                           or [[0, 0]], axis=0))
+    found = short.where("block >= 0")
+    if depth > 1:
+        pairs = found.where("level = 2").select("block", "level", "keys", "totals")
+        found = found.unionByName(tables.stage(summed(by_block(blocks).cogroup(by_block(pairs)).applyInArrow(emit_longer, COUNTED)), "longer_runs"))
+
+    def emit_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[tuple, list] = {}
+        if left.num_rows and right.num_rows:
+            known = Lookup(right, ("totals",))
+            firsts = {k: np.sort(np.concatenate([np.frombuffer(keys, np.uint64)[np.frombuffer(first, np.int8) == 1]
+                                                 for level, keys, first in zip(*(right.column(c).to_pylist() for c in ("level", "keys", "first"))) if level == k] or [np.zeros(0, np.uint64)]))
+                      for k in range(2, depth + 2)}
+            text = left.column("text").combine_chunks()
+            for a, b in wd.pieces(text):
+                s, offsets = symbols(text.slice(a, b - a))
+                runs = {k: wd.rolling(s, k) for k in range(1, depth + 2)}
+                for k, own in firsts.items():
+                    if not len(own) or not len(runs[k]):
+                        continue
+                    at = np.flatnonzero(wd.within(offsets, k))
+                    keys, first = np.unique(runs[k][at], return_index=True)
+                    hit = own[np.minimum(np.searchsorted(own, keys), len(own) - 1)] == keys
+                    keys, j = keys[hit], at[first[hit]]
+                    firsts[k] = own[~np.isin(own, keys)]
+                    columns = [np.full(len(j), k, np.int32), keys, runs[k - 1][j], runs[k - 1][j + 1], runs[k - 2][j + 1] if k > 2 else np.zeros(len(j), np.uint64),
+                               known.at(k, keys), known.at(k - 1, runs[k - 1][j]),
+                               np.log((known.at(1, runs[1][j + 1]) + 1.0) / (total + kinds + 1.0)) if k == 2 else np.zeros(len(j))]
+                    for i, c in enumerate(columns):
+                        out.setdefault(i, []).append(c.view(np.int64) if c.dtype == np.uint64 else c)
+        names = [c.split()[0] for c in PAIRS.split(", ")]
+        kinds_ = [pa.int32()] + [pa.int64()] * 6 + [pa.float64()]
+        return pa.table({name: pa.array(np.concatenate(out[i]) if i in out else [], kind) for i, (name, kind) in enumerate(zip(names, kinds_))})
+
+    return tables.stage(by_block(blocks).cogroup(by_block(found)).applyInArrow(emit_pairs, PAIRS), "pairs"), found, total, kinds
+
+
+def grow(pairs: DataFrame, depth: int, divergence: float, price: float, discount: float) -> tuple[DataFrame, DataFrame]:
+    """The kept part of the tree: (level, key, log_chance) of runs whose last symbol the state before it holds, and (level, key, log_rest) of the
+    states, whose level is their length."""
+    n, visits = F.col("n").cast("double"), F.col("visits").cast("double")
+    chances, states, above = {}, {}, None
+    for k in range(2, depth + 2):
+        own = pairs.where(F.col("level") == k)
+        if above is None:
+            own = own.withColumn("log_above", F.col("log_root"))
+        else:
+            own = own.join(above.select(F.col("key").alias("suffix"), F.col("log_chance").alias("log_above")), "suffix")
+        held = own.groupBy("context").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("kinds"))
+        own = own.join(held, "context").withColumn("rest", 1 - (F.col("held") - discount * F.col("kinds")) / visits)
+        own = own.withColumn("log_chance", F.log((n - discount) / visits + F.col("rest") * F.exp("log_above")))
+        above = tables.stage(own.select("key", "context", "context_suffix", "n", "visits", "held", "kinds", "rest", "log_chance", "log_above"), "chances")
+        loose = F.max(F.col("visits") - F.col("held"))
+        gain = F.sum(n * (F.col("log_chance") - F.col("log_above"))) + F.when(loose > 0, loose * F.log(F.max("rest"))).otherwise(0.0)
+        tested = above.groupBy("context").agg(F.max("context_suffix").alias("suffix"), F.max("visits").alias("visits"), F.max("kinds").alias("kinds"),
+                                              F.log(F.max("rest")).alias("log_rest"), gain.alias("gain"))
+        fits = (F.col("gain") >= divergence * F.col("visits")) & (F.col("gain") > price * F.col("kinds"))
+        chances[k], states[k - 1] = above, tables.stage(tested.withColumn("fits", fits), "states")
+    kept, needed, every = {}, None, None
+    for length in range(depth, 0, -1):
+        wanted = states[length].where("fits").select("context")
+        if needed is not None:
+            wanted = wanted.unionByName(needed)
+        kept[length] = tables.stage(states[length].join(wanted.distinct(), "context", "left_semi"), "kept")
+        needed = kept[length].select(F.col("suffix").alias("context"))
+    rows = lambda df, level, value: df.select(F.lit(level).alias("level"), "key", value)
     for length in range(1, depth + 1):
-        wanted = np.array(sorted(visits), np.int64)
-        if not len(wanted):
-            break
-        shared = spark.sparkContext.broadcast((tree.plain(), wanted))
-
-        def emit(batches, length=length, shared=shared):
-            tree, wanted = Tree.of(shared.value[0]), shared.value[1]
-            for batch in batches:
-                for a, b in wd.pieces(batch.column(0)):
-                    hashes, first = tokens(batch.column(0).slice(a, b - a))
-                    ids = numbered(tree, hashes)
-                    at = find(wanted, contexts(tree, ids, first, length))
-                    keep = (at >= 0) & (ids >= 0)
-                    yield _pairs(wd.counted(at[keep] * tree.width + ids[keep]))
-
-        pairs = learn.select("text").mapInArrow(emit, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
-        keys, c = _collected(pairs.where((F.col("c") >= F.lit(p_next) * total) & (F.col("c") >= least)))
-        order = np.argsort(keys)
-        keys, c = keys[order], c[order].astype(float)
-        context, symbol = keys // tree.width, keys % tree.width
-        edge = np.searchsorted(context, np.arange(len(wanted) + 1))
-        parents = _longest(tree, wanted, length)
-        logs, _ = log_chances(tree, parents[context], symbol)
-        kept, log_rest, held, log_held = [], [], [], []
-        for k in range(len(wanted)):
-            a, b = edge[k], edge[k + 1]
-            n, above = visits[int(wanted[k])], np.exp(logs[a:b])
-            rest, rest_above = max(n - c[a:b].sum(), 0.0), max(1 - above.sum(), 1e-12)
-            chance = (c[a:b] - discount + discount * (b - a) * above) / n
-            rest_now = max(1 - chance.sum(), 1e-12)
-            gain = float((c[a:b] * (np.log(chance) - logs[a:b])).sum() + rest * np.log(rest_now / rest_above))
-            if b > a and gain >= divergence * n and gain > price * (b - a):
-                held.append((base + len(kept)) * tree.width + symbol[a:b])
-                log_held.append(np.log(chance))
-                log_rest.append(np.log(rest_now / rest_above))
-                kept.append(k)
-        none = np.zeros(0)
-        tree.levels.append(Level(wanted[kept], parents[kept], np.array(log_rest), np.concatenate([none.astype(np.int64), *held]), np.concatenate([none, *log_held])))
-        base += len(kept)
-        visits = {int(wanted[k] * tree.width + s): int(m) for k, s, m in zip(context, symbol, c) if m >= p_context * total and s != end}
-    return tree, int(total), int(kinds)
-
-
-def _longest(tree: Tree, keys: np.ndarray, length: int) -> np.ndarray:
-    """State of the longest kept proper suffix of contexts of ``length`` symbols."""
-    out, base = np.zeros(len(keys), np.int64), 1
-    for shorter, level in enumerate(tree.levels[: length - 1], 1):
-        at = find(level.keys, keys % tree.width**shorter)
-        out = np.where(at >= 0, base + at, out)
-        base += len(level.keys)
-    return out
+        made = (rows(chances[length + 1].join(kept[length].select("context"), "context", "left_semi"), length + 1, "log_chance"),
+                rows(kept[length].withColumnRenamed("context", "key"), length, "log_rest"))
+        every = made if every is None else tuple(a.unionByName(b) for a, b in zip(every, made))
+    return every
 
 
-def score(docs: DataFrame, held_out: Column, **params) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, depth: int = 3, divergence: float = 0.02, price: float = 3.0, discount: float = 0.75) -> DataFrame:
     """Learns from the rows that are not ``held_out`` and scores all rows of ``docs``.
 
     Result: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row. A null or empty text is its end alone;
     where ``held_out`` is null (a null doc_id) the row is learned from; repeated rows count as often as they stand there. Without any training
-    token every symbol is unknown and both scores are 0. An empty table gives an empty result; extra columns are ignored.
+    token every symbol is unknown and both scores are 0. A text of any length is scored whole, in the task of its block. An empty table gives
+    an empty result; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = tables.as_documents(docs).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    learn = rows.where("not held_out")
-    vocabulary = tables.stage(word_counts(learn), "vocabulary")
-    tree, total, kinds = learn_tree(learn, vocabulary, **params)
-    shared = spark.sparkContext.broadcast(tree.plain())
-
-    def emit(batches):
-        tree = Tree.of(shared.value)
-        for batch in batches:
-            for a, b in wd.pieces(batch.column(3)):
-                part = batch.slice(a, b - a)
-                hashes, first = tokens(part.column(3))
-                ids = numbered(tree, hashes)
-                logs, open_ = log_chances(tree, states(tree, ids, first, len(tree.levels)), ids)
-                named = ids >= 0
-                base = np.zeros(len(ids))
-                base[named] = tree.log_root[ids[named]]
-                sums = lambda x: np.add.reduceat(x, first[:-1]) / np.log(10) if len(x) else x
-                rare = np.flatnonzero(~named)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), pa.array(hashes[rare].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array(np.diff(first).astype(np.int64)), pa.array(np.add.reduceat(named.astype(np.int64), first[:-1])),
-                     pa.array(sums(base)), pa.array(sums(logs)), lists], names=[c.split()[0] for c in SCORED.split(", ")])
-
-    scored = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(emit, SCORED)
-    scored = tables.stage(scored, "scored")
-    unit = F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(total + kinds + 1.0))
-    rare = (scored.select("uid", F.explode("rare").alias("key")).join(vocabulary, "key", "left")
-            .groupBy("uid").agg(F.count("c").alias("n_rare"), F.sum(unit).alias("root")))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.drop("rare").join(rare, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_named") + zero("n_rare")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("root", F.lit(0.0))).alias("base_score"), (F.col("tree") + F.coalesce("root", F.lit(0.0))).alias("score"))
+    rows = tables.as_documents(docs.withColumn("_held", F.coalesce(held_out, F.lit(False))), F.col("_held").alias("held_out"))
+    blocks, ranges = tables.blocks(rows, more=("held_out",))
+    pairs, found, total, kinds = learn_pairs(blocks, ranges, depth)
+    chances, states = grow(pairs, depth, divergence, price, discount)
+    none = F.lit(None).cast("double")
+    tree = chances.withColumn("log_rest", none).unionByName(states.withColumn("log_chance", none)).withColumn("range", _range_column("key", ranges))
+
+    def reply(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            keys = np.asarray(right.column("key")).view(np.uint64)
+            order = np.argsort(keys, kind="stable")
+            edge = wd.runs(keys[order])
+            known = keys[order][edge[:-1]]
+            values = [np.fmax.reduceat(right.column(c).to_numpy()[order], edge[:-1]) for c in ("log_chance", "log_rest")]
+            for level, block, sent in zip(*(left.column(c).to_pylist() for c in ("level", "block", "keys"))):
+                mine = np.frombuffer(sent, np.uint64)
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                hit = known[at] == mine
+                if hit.any():
+                    out.append((block, level, mine[hit].tobytes(), values[0][at[hit]].tobytes(), values[1][at[hit]].tobytes()))
+        return _table(out, REPLY)
+
+    key = ["range", "level"]
+    replies = found.select(*key, "block", "keys").groupBy(*key).cogroup(tree.groupBy(*key)).applyInArrow(reply, REPLY)
+    nothing = F.lit(None).cast("binary")
+    words = found.where("level = 1").select("block", F.lit(0).alias("level"), "keys", "totals", nothing.alias("log_chance"), nothing.alias("log_rest"))
+    sent = replies.withColumn("totals", nothing).unionByName(words)
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        is_word = pa.compute.equal(right.column("level"), 0)
+        counts = Lookup(right.filter(is_word), ("totals",))
+        tree = Lookup(right.filter(pa.compute.invert(is_word)), ("log_chance", "log_rest"), np.float64)
+        out, text = [], left.column("text").combine_chunks()
+        ids, held = left.column("doc_id").to_pylist(), left.column("held_out").to_pylist()
+        for a, b in wd.pieces(text):
+            s, offsets = symbols(text.slice(a, b - a))
+            runs = {k: wd.rolling(s, k) for k in range(1, depth + 2)}
+            place = np.arange(len(s)) - np.repeat(offsets[:-1], np.diff(offsets))  # 0 is the start of a text
+            c = counts.at(0, runs[1])
+            base = np.log((c + 1.0) / (total + kinds + 1.0))
+            logs, open_, inside = np.zeros(len(s)), place > 0, np.zeros(len(s), bool)
+            for length in range(depth, 0, -1):
+                p = np.flatnonzero(open_ & (place >= length))
+                rest = tree.at(length, runs[length][p - length], 1, np.nan)
+                inside[p] |= ~np.isnan(rest)  # a longer or this context is kept
+                p, rest = p[inside[p]], rest[inside[p]]
+                chance = tree.at(length + 1, runs[length + 1][p - length], 0, np.nan)
+                hit = ~np.isnan(chance)
+                logs[p] += np.where(hit, chance, rest)
+                open_[p[hit]] = False
+            logs[open_] += base[open_]
+            base[place == 0] = 0
+            sums = lambda x: np.add.reduceat(x, offsets[:-1])
+            known, n = sums(((c > 0) & (place > 0)).astype(np.int64)), np.diff(offsets) - 1
+            out += zip(ids[a:b], held[a:b], n.tolist(), known.tolist(), (sums(base) / np.log(10)).tolist(), (sums(logs) / np.log(10)).tolist())
+        return _table(out, SCORED)
+
+    scored = blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(judge, SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+                         F.col("base").alias("base_score"), F.col("tree").alias("score"))
 
 
 def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

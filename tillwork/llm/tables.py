@@ -16,7 +16,7 @@ __all__ = ["BLOCK_BYTES", "as_documents", "blocks", "components", "keyed", "numb
 
 BLOCK_BYTES = 6 << 20
 
-def as_documents(docs: DataFrame, *more: str) -> DataFrame:
+def as_documents(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id and text (and ``more``) of a table that may have other columns or lack rows; other columns are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
@@ -25,17 +25,17 @@ def parts(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 
 
-def blocks(docs: DataFrame, block_bytes: int | None = None, whole: bool = False) -> tuple[DataFrame, int]:
+def blocks(docs: DataFrame, block_bytes: int | None = None, whole: bool = False, more: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """Write documents dealt by hash into blocks of about ``block_bytes`` (BLOCK_BYTES) of text; the table is bucketed by block.
 
-    Gives the table (block int, uid long, doc_id, text) and the number of blocks; with ``whole`` also the row as the struct ``_row``, which
-    then is all that is stored. ``uid`` is fixed by the write, so it names a row even where doc_id is null or repeated. What is keyed by
+    Gives the table (block int, uid long, doc_id, text and the columns ``more``) and the number of blocks; with ``whole`` also the row as the
+    struct ``_row``, which then is all that is stored. ``uid`` is fixed by the write, so it names a row even where doc_id is null or repeated. What is keyed by
     block comes to the texts without moving them again. A row longer than a block makes its block longer; copies spread.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     n = parts(total, block_bytes or BLOCK_BYTES)
-    kept = [F.struct("*").alias("_row")] if whole else ["doc_id", "text"]
+    kept = [F.struct("*").alias("_row")] if whole else ["doc_id", "text", *more]
     rows = docs.select(*kept, F.monotonically_increasing_id().alias("uid"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int"))
     name = f"blocks_{uuid.uuid4().hex}"
