@@ -100,6 +100,50 @@ def test_mix_of_awkward_rows_and_whole_table(spark, frame, table):
     assert mixing.mixed(frame([])).count() == 0
 
 
+def test_words_of_each_shard_are_its_quota_of_blocks(frame, table):
+    got = mixing.mixed(frame(table), block=16, shards=5).collect()
+    sizes, target, words = {}, {}, defaultdict(lambda: [0] * 5)
+    for r in got:
+        assert sum(r.shards) == r.taken and min(r.shards) >= 0
+        sizes[r.source], target[r.source] = r.source_size, r.target
+        words[r.source] = [a + b for a, b in zip(words[r.source], r.shards)]
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    plan = mixing.quotas([target[s] for s in names], [sizes[s] for s in names], 16, 5)
+    for s, quota in zip(names, plan):
+        short = 16 - (sizes[s] % 16 or 16)  # the last block of a stream, which may come up once in each round
+        assert all(16 * q - 3 * short <= w <= 16 * q for q, w in zip(quota, words[s]))
+
+
+def test_written_copies_stay_near_the_words_taken(spark, frame, table):
+    rows = [(i, brute.prose(i, 4000 if i % 50 == 0 else 20 + i % 90), "en", f"s{i % 3}", 1) for i in range(300)] + table
+    docs = frame(rows, more=True)
+    taken, longest = defaultdict(int), defaultdict(int)
+    for r in mixing.mixed(docs.drop("size")).collect():
+        taken[r.source] += r.taken
+        longest[r.source] = max(longest[r.source], r["size"])
+    written = defaultdict(int)
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        written[r.source] += len(brute.words(r.text))
+    assert all(abs(written[s] - taken[s]) <= 1.2 * longest[s] for s in taken)
+    assert mixing.mix(frame([])).count() == 0
+    assert {r.text for r in mixing.mix(frame([(1, None, "en", None, 0), (2, " ", "en", "a", 0), (None, "one word", None, None, None)]), block=1).collect()} == {"one word"}
+
+
+def test_scopes_are_emptied(spark, frame):
+    with tables.scope("test"):
+        held = tables.stage(frame([(1, "a", "en", "s", 1)]), "scoped")
+        texts, _ = tables.blocks(tables.as_documents(held))
+        assert held.count() == texts.count() == 1
+    kept = tables.stage(frame([(1, "a", "en", "s", 1)]), "kept")
+    tables.release(spark, "test")
+    tables.release(spark, "test")
+    assert kept.count() == 1
+    with pytest.raises(Exception):
+        held.collect()
+
+
 def test_quotas_by_shard_add_up():
     target, sizes = [100.0, 900.0, 500.0], [800, 400, 300]
     plan = mixing.quotas(target, sizes, 10, 4)
@@ -195,6 +239,6 @@ def test_stages_and_run(spark):
     assert corpus_pipeline.run(spark, SF).count() == mixed.count()
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_every_operator_is_registered(n):
     assert sum(name.startswith(f"op{n}_") for name in catalog.QUERIES) == 1

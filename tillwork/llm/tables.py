@@ -5,16 +5,53 @@ from __future__ import annotations
 import math
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.session import checkpoint_dir, stage
+from tillwork.session import checkpoint_dir
 
-__all__ = ["BLOCK_BYTES", "as_documents", "blocks", "components", "keyed", "numbered", "of_blocks", "parts", "stage"]
+__all__ = ["BLOCK_BYTES", "as_documents", "blocks", "components", "keyed", "numbered", "of_blocks", "parts", "release", "scope", "stage"]
 
 BLOCK_BYTES = 6 << 20
+_made: dict[str, list[tuple[str, str | None]]] = {}  # of each scope the folders written in it, and the table on each
+_open: list[str] = []
+
+
+@contextmanager
+def scope(name: str):
+    """Tables written inside belong to ``name`` until ``release(name)``."""
+    _open.append(name)
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
+def _written(path: str, table: str | None = None) -> None:
+    if _open:
+        _made.setdefault(_open[-1], []).append((path, table))
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete what was written in the scope ``name``; to be called once the result that was made of it has been written elsewhere."""
+    for path, table in _made.pop(name, []):
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a table that is read several times to the shared folder and read it back; the folder belongs to the open scope."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    _written(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
 def as_documents(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id and text (and ``more``) of a table that may have other columns or lack rows; other columns are left out."""
@@ -42,6 +79,7 @@ def blocks(docs: DataFrame, block_bytes: int | None = None, whole: bool = False,
     path = os.path.join(checkpoint_dir(spark), name)
     (rows.repartition(n, "block").write.option("path", path).option("compression", "zstd")
      .bucketBy(n, "block").sortBy("block").saveAsTable(name))
+    _written(path, name)
     table = spark.table(name)
     if whole:
         table = table.withColumns({"doc_id": F.col("_row.doc_id").cast("long"), "text": F.col("_row.text").cast("string")})
