@@ -152,7 +152,7 @@ def mix(docs: DataFrame, block: int = 32, seed: int = 17) -> DataFrame:
     narrow = rows.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), source.cast("string").alias("source"), drawn, *key)
     taken = tables.stage(mixed(narrow, block=block, seed=seed, keep=(*key, "_draw")).where("taken > 0").drop("shards"), "taken")
     wanted = _copies(taken, seed).select(*key, "_times").where("_times > 0")
-    out = rows.join(tables.stage(wanted, "wanted"), list(key))
+    out = rows.join(tables.stage(wanted, "wanted").hint("merge"), list(key))  # the same plan at every size
     return out.select("_row", F.explode(F.sequence(F.lit(1), "_times")).alias("_n")).select("_row.*")
 
 
