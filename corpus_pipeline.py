@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwork.llm import decontamination, kd_shards, mixing, near_dup, quality_rules, tables
@@ -10,21 +13,36 @@ SHARDS = 40
 ORACLE_SQL = None  # expectation-maximisation and signatures are beyond SQL; tests hold the stages against brute force
 
 
+def _stage(work: Callable) -> Callable:
+    """A stage begins once its predecessor's result is written, so what the predecessor wrote on the way goes first."""
+    @wraps(work)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tables.release(spark, "pipeline")
+        with tables.scope("pipeline"):
+            return work(spark, docs, sf_dir)
+
+    return begin
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.filter_quality(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the least doc_id."""
     return near_dup.keep_one(docs)
 
 
+@_stage
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the table ``benchmark``."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mix(docs)
@@ -32,6 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, law, shard and slot of every document that is left."""
+    tables.release(spark, "pipeline")  # what this stage itself writes stays, as its result is not written yet
     return kd_shards.shard(docs, SHARDS)
 
 
