@@ -106,7 +106,7 @@ def test_one_row_of_each_group_stays_with_all_its_columns(frame):
 def lines_expected(rows, percent=80, least=20):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     lines = [(i, k, fl.normalised(x)) for i in order for k, x in enumerate(rows[i][1].split("\n") if rows[i][1] is not None else ())]
-    lines = [x for x in lines if len(x[2]) >= least]
+    lines = [x for x in lines if x[2]]
     norms = sorted({x[2] for x in lines})
     h = fl.simhash(pa.array(norms, pa.string()))
     root = list(range(len(norms)))
@@ -118,7 +118,7 @@ def lines_expected(rows, percent=80, least=20):
 
     for i in range(len(norms)):
         for j in range(i):
-            if np.bitwise_count(h[i] ^ h[j]).sum() <= 3 and fl.similar(norms[i], norms[j], percent):
+            if min(len(norms[i]), len(norms[j])) >= least and np.bitwise_count(h[i] ^ h[j]).sum() <= 3 and fl.similar(norms[i], norms[j], percent):
                 root[find(i)] = find(j)
     at, seen, gone = {s: i for i, s in enumerate(norms)}, set(), defaultdict(set)
     for i, k, s in lines:
@@ -138,6 +138,7 @@ def test_fuzzy_lines_match_brute_force(frame, most):
     base = brute.prose(21, 40)
     rows = [(i, "\n".join([base.replace("stone", f"stone{i}", 1), brute.prose(30 + i, 15), f"page {i} of the long report on rivers"]), "en", "s", 0) for i in range(12)]
     rows += [(50, None, None, None, None), (51, "", None, None, None), (None, brute.prose(99, 12) + "\nshort", None, None, None), (52, brute.prose(98, 9000), "en", "s", 0)]
+    rows += [(60 + i, "SHORT\n \n\n}\nitem %d\nand of" % i, "en", "s", 0) for i in range(4)]
     same(fl.fuzzy_lines(frame(rows, more=True), most=most).collect(), lines_expected(rows))
 
 
