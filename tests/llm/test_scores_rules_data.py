@@ -147,6 +147,32 @@ def test_verdicts_agree_with_labels(spark):
     assert wrong <= 0.02 * labels.count()
 
 
+def test_expectation_maximisation_recovers_known_accuracies(spark):
+    """Synthetic votes: three good rules, a lenient and a random one; the posterior beats every rule and all-must-pass."""
+    rng, names = np.random.default_rng(4), ["a", "b", "c", "lenient", "random"]
+    right = {"a": (0.9, 0.92), "b": (0.85, 0.95), "c": (0.8, 0.9), "lenient": (0.35, 0.98), "random": (0.5, 0.5)}  # of poor and of good documents
+    silent = dict(zip(names, (0.1, 0.2, 0.3, 0.1, 0.1)))
+    truth = rng.random(8000) < 0.7
+    rows = []
+    for good in truth:
+        votes = []
+        for r in names:
+            vote = good if rng.random() < right[r][int(good)] else not good
+            votes.append(None if rng.random() < silent[r] else int(vote))
+        rows.append(votes)
+    voted = spark.createDataFrame([(i, *v) for i, v in enumerate(rows)], "id int, " + ", ".join(f"{r} int" for r in names))
+    rules = {r: F.col(r) for r in names}
+    model = qr.fit(voted, rules, alarm=1.0)
+    assert abs(model.prior - truth.mean()) < 0.03
+    for r in names:
+        told = model.chances[r][:, :2] / model.chances[r][:, :2].sum(axis=1, keepdims=True)
+        assert abs(told[0, 0] - right[r][0]) < 0.05 and abs(told[1, 1] - right[r][1]) < 0.03
+    kept = np.array([x[0] for x in voted.orderBy("id").select(model.posterior(rules) >= 0.5).collect()])
+    every = np.array([all(v != 0 for v in votes) for votes in rows])
+    best = max(np.mean([(v[k] if v[k] is not None else 1) == t for v, t in zip(rows, truth)]) for k in range(5))
+    assert (kept == truth).mean() > max(best, (every == truth).mean()) + 0.02
+
+
 def test_quality_filter_keeps_columns_and_handles_empty(frame):
     df = frame(brute.edge_rows(), more=True)
     out = qr.filter_quality(df)

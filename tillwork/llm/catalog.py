@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillwork.llm import conversation_sql, repeats_sql
 from tillwork.llm.conversation_repair import op13_conversation_repair
 from tillwork.llm.decontamination import op8_decontamination
 from tillwork.llm.fuzzy_lines import op9_fuzzy_lines
@@ -32,4 +33,9 @@ QUERIES = {
     "op13_conversation_repair": op13_conversation_repair,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_suffix_dedup": repeats_sql.BYTES,
+    "op5_window_dedup": repeats_sql.WINDOWS,
+    "op7_near_dup": repeats_sql.NEAR,
+    "op13_conversation_repair": conversation_sql.SQL,
+}

@@ -89,7 +89,11 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns as they are."""
+    """The rows of ``docs`` that are not contaminated, all columns as they are, whatever their names.
+
+    Null and empty texts are clean and stay; equal rows stay or go together; a null doc_id does not matter; texts of any length are judged whole;
+    without benchmark items everything stays; an empty table stays empty.
+    """
     found = tables.stage(overlaps(docs, benchmark).select(F.col("doc_id").alias("_found_doc"), F.col("text_hash").alias("_found_text")).distinct(), "verdicts")
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
     return rows.join(found, F.col("_hash").eqNullSafe(F.col("_found_text")) & F.col("_id").eqNullSafe(F.col("_found_doc")), "left_anti").select("_row.*")

@@ -276,7 +276,8 @@ def grouped(texts: DataFrame, percent: int, task_nodes: int, task_shingles: int)
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` without those that are not the first of their near-duplicate group, all columns as they are.
 
-    The first has the least doc_id, a null being last; among equal ones any single row stays.
+    The first has the least doc_id, a null being last; among equal ones any single row stays. Texts without words (null, empty) are groups of their
+    own and all stay; a very long text is one row of its block; an empty table stays empty; columns of any name are kept as they are.
     """
     texts, _ = tables.blocks(docs, whole=True)
     named = grouped(texts.drop("_row"), percent, 2000, 1 << 20)
