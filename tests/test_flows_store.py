@@ -152,3 +152,11 @@ def test_incremental_intake(spark, tmp_path):
     clean = intake.cleaned(spark, out)
     assert {r.branch: r.is_partial_history for r in clean["monthly_sales"].collect()} == {"Harbour": False, "Hill": True, "Moon": False}
     assert {r.canonical_branch_name for r in clean["dim_branch"].collect()} >= {"Harbour", "Hill", "Moon"}
+
+
+def test_csv_of_the_store_is_read_back(spark, tmp_path):
+    rows = [("1", ['a "b"', "c, d"], 1.5), ("2", [], None), ("3", None, 2.0)]
+    df = spark.createDataFrame(rows, "id string, items array<string>, x double")
+    store.write_table(df, str(tmp_path), "1", "t", "csv")
+    got = tables.read_csv_table(spark, store.table_path(str(tmp_path), "1", "t"), df.schema)
+    assert sorted((r.id, r["items"], r.x) for r in got.collect()) == rows

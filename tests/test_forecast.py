@@ -75,3 +75,23 @@ def test_backtest_and_metadata(spark):
     assert (got.n_holdout, got.mape_naive, got.mape_ensemble) == (1, 0.5, 0.5)
     meta = FC.run_metadata(FC.ensemble(df, ())).first()
     assert meta.total_rows == 6 and meta.scenarios == ["base", "surge_sensitive"] and meta.periods_per_scenario == 3
+
+
+def test_rolling_backtest_runs_every_origin_anew(spark):
+    values = [100.0, 110.0, 120.0, 130.0, 140.0, 150.0, 160.0, 200.0]
+    monthly = spark.createDataFrame([("a", dt.date(2025, m + 1, 1), v) for m, v in enumerate(values)] + [("b", dt.date(2025, 1, 1), 5.0)], "branch string, date date, revenue double")
+    got = {(r.branch, r.forecast_period): r for r in FC.rolling_backtest(monthly, 2, 3).collect()}
+    assert set(got) == {("a", 1), ("a", 2)}
+    # Origins 3, 2 and 1 months before the end know 5, 6 and 7 months; the naive value is the last one they know.
+    one = [(140.0, 150.0), (150.0, 160.0), (160.0, 200.0)]
+    two = [(140.0, 160.0), (150.0, 200.0)]
+    for period, pairs in ((1, one), (2, two)):
+        assert got["a", period].n_origins == len(pairs)
+        assert abs(got["a", period].mape_naive - sum(abs(f - y) / y for f, y in pairs) / len(pairs)) < 1e-6
+    assert got["a", 1].mape_ensemble <= got["a", 1].mape_naive
+
+
+def test_short_series_have_no_line(spark):
+    monthly = spark.createDataFrame([("a", dt.date(2025, 1, 1), 40.0), ("a", dt.date(2025, 2, 1), 50.0)], "branch string, date date, revenue double")
+    for r in FC.ensemble(monthly).collect():
+        assert r.linear_estimate == r.naive_estimate == 50.0 and r.relative_band_low > 0

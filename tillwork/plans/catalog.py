@@ -96,11 +96,32 @@ def channel_kpis(spark, d):
     return _rounded(T.channel_shares(star.channel_sales(spark, d)), 4, "avg_per_customer")
 
 
+def _beverage_items(spark, d):
+    """Items whose division text is made of their own words, so that the category patterns apply."""
+    return T.tag_items(star.items_by_group(spark, d).withColumn("division", F.replace(F.replace(
+        F.concat_ws(" ", "division", "item"), F.lit("hot"), F.lit("hot coffee")), F.lit("cold"), F.lit("iced coffee"))))
+
+
+def dim_item_beverages(spark, d):
+    return dims.dim_item(_beverage_items(spark, d), ["branch", "division", "group"])
+
+
+def beverage_features(spark, d):
+    """The features that tell beverages from other items: each branch's share of sales, and its items by opportunity flag."""
+    items = stage(_beverage_items(spark, d), "items")
+    share = features.branch_month(star.monthly_sales(spark, d), None, items).select(F.lit("beverage_share").alias("feature"), "branch", F.col("beverage_share").alias("value")).distinct()
+    flags = features.branch_item(items).groupBy("branch", "beverage_opportunity_flag").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return share.unionByName(flags.select(F.concat(F.lit("opportunity "), F.col("beverage_opportunity_flag").cast("string")).alias("feature"), "branch", "value"))
+
+
+def pairs_output_order(spark, d):
+    """The place of each row in the order the ranked answer comes in."""
+    return _metrics(B.top_overall(_pairs(spark, d, "overall"), 20, "support", MIN_COUNT)).select(
+        "item_a", "item_b", F.monotonically_increasing_id().alias("position"))
+
+
 def item_category(spark, d):
-    # Division text made of the item's own words, so that the category patterns apply.
-    renamed = star.items_by_group(spark, d).withColumn("division", F.replace(F.replace(
-        F.concat_ws(" ", "division", "item"), F.lit("hot"), F.lit("hot coffee")), F.lit("cold"), F.lit("iced coffee")))
-    return T.tag_items(renamed).groupBy("category", "is_modifier").agg(
+    return _beverage_items(spark, d).groupBy("category", "is_modifier").agg(
         F.count(F.lit(1)).alias("n"), F.sum(S.money(F.col("amount"))).cast("double").alias("amount"))
 
 
@@ -554,7 +575,7 @@ def number_parse(spark, d):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pairs_overall, pairs_four_scopes, pairs_top_overall, pairs_top_per_branch, pairs_top_per_channel, pairs_with_item,
-    pairs_similar_items, pair_checks, pair_sentences, order_baskets, channel_infer, channel_kpis, item_category, item_shares_ranks,
+    pairs_similar_items, pair_checks, pair_sentences, order_baskets, channel_infer, channel_kpis, pairs_output_order, item_category, dim_item_beverages, beverage_features, item_shares_ranks,
     dim_branch, dim_item, reconcile_sources, branch_month_features, partial_history, item_features, customer_rfm, customer_segments,
     segment_limits, shift_flags, shift_features, forward_fill, supply_hourly, supply_profile, demand_shape, demand_multipliers,
     demand_total, productivity_targets, staffing_gap, staffing_findings, staffing_summary, top_gap_slots, attach_kpis,

@@ -295,6 +295,13 @@ def lookup_page(spark, d):
     return rows.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last"), F.max(F.get_json_object("body", "$.branch")).alias("branch"))
 
 
+def lookup_page_combos(spark, d):
+    """The page of the best pairs: every place with its pair and count, from the rows' JSON."""
+    rows = lookups.run(spark, _run(spark, combo_pairs=catalog.pairs_four_scopes(spark, d)), "page", feature="combo")
+    field = lambda name: F.get_json_object("body", f"$.{name}").alias(name)
+    return rows.select("section", "position", field("item_a"), field("item_b"), field("scope"), field("count_ab").cast("long").alias("count_ab"))
+
+
 def store_newest_run(spark, d):
     """Of two complete runs and a newer one that was never finished, the second is read."""
     profile, root = catalog.supply_profile(spark, d), _folder(spark, "results")
@@ -339,7 +346,7 @@ def store_items(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     report_audit, report_customer_orders, report_tax, report_menu, report_delivery_detail, report_hours, file_lines, csv_coercion, line_items_layouts, pair_artifact,
     lookup_forecast, lookup_pairs, lookup_scopes, lookup_feasibility, lookup_growth_summary, lookup_risk_summary, lookup_feasibility_parts, lookup_staffing_gaps,
-    lookup_staffing_summary, lookup_growth_rules, lookup_growth_gap, lookup_overview, lookup_page, store_newest_run, store_branch_folders, store_arrays, store_csv,
+    lookup_staffing_summary, lookup_growth_rules, lookup_growth_gap, lookup_overview, lookup_page, lookup_page_combos, store_newest_run, store_branch_folders, store_arrays, store_csv,
     store_documents, store_items)}
 
 _B = oracle.BODIES
@@ -398,6 +405,8 @@ BODIES: dict[str, str] = {
         UNION ALL SELECT 'growth_ranking', CAST(row_number() OVER (ORDER BY potential_rank, branch) - 1 AS INTEGER), branch FROM ({_B['growth_potential']})""",
     "lookup_page": f"""SELECT 'kpis' AS section, 1 AS n, 0 AS last, 'ASIA' AS branch UNION ALL SELECT 'potential', 1, 0, 'ASIA'
         UNION ALL SELECT 'rules', count(*), CAST(count(*) - 1 AS INTEGER), max(branch) FROM ({_B['assoc_rules_top']}) WHERE NOT is_total AND branch = 'ASIA' AND lift >= 1""",
+    "lookup_page_combos": """SELECT 'data' AS section, CAST(row_number() OVER (ORDER BY lift DESC, count_ab DESC, item_a, item_b) - 1 AS INTEGER) AS position, item_a, item_b, scope, count_ab
+        FROM pairs WHERE scope_type = 'overall' AND lift >= 1 QUALIFY position < 20""",
     "store_newest_run": "SELECT * FROM profile",
     "store_branch_folders": "SELECT * EXCLUDE (branch) FROM profile WHERE branch = 'store_2'",
     "store_arrays": "SELECT order_id, branch, unnest(items) AS item FROM bask",

@@ -47,6 +47,8 @@ PARTS: dict[str, str] = {
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN ord ON l_orderkey = o_orderkey GROUP BY ALL""",
     "items": """SELECT *, amount = 0 AND qty > 0 AS is_modifier,
         CASE WHEN amount = 0 AND qty > 0 THEN 'modifier' ELSE 'core_food' END AS category FROM item0""",
+    "drinks": """SELECT branch, replace(replace(division || ' ' || item, 'hot', 'hot coffee'), 'cold', 'iced coffee') AS division, "group", item, qty, amount, is_modifier,
+        CASE WHEN contains(item, 'cold') THEN 'coffee_cold' WHEN contains(item, 'hot') THEN 'coffee_hot' WHEN is_modifier THEN 'modifier' ELSE 'core_food' END AS category FROM items""",
     "buyers0": """SELECT branch, c_name AS customer, CAST(o_custkey AS VARCHAR) AS phone, min(o_orderdate) AS first_order,
         max(o_orderdate) AS last_order, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS t, CAST(count(*) AS INTEGER) AS num_orders
         FROM ord GROUP BY branch, c_name, o_custkey""",
@@ -414,6 +416,13 @@ BODIES: dict[str, str] = {
         SELECT branch, channel, 0 AS m, 0 AS s FROM menu UNION ALL SELECT branch, NULL, 1, 0 FROM months UNION ALL SELECT branch, NULL, 0, 1 FROM shift0) GROUP BY branch""",
     "dim_item": """SELECT item AS canonical_item_name, division, "group", category, modifier_flag, category IN ('coffee_hot', 'coffee_cold', 'milkshake', 'other_beverage') AS beverage_flag FROM (
         SELECT *, row_number() OVER (PARTITION BY item ORDER BY branch, division, "group") AS rn, bool_or(is_modifier) OVER (PARTITION BY item) AS modifier_flag FROM items) WHERE rn = 1""",
+    "dim_item_beverages": """SELECT item AS canonical_item_name, division, "group", category, modifier_flag, category IN ('coffee_hot', 'coffee_cold', 'milkshake', 'other_beverage') AS beverage_flag FROM (
+        SELECT *, row_number() OVER (PARTITION BY item ORDER BY branch, division, "group") AS rn, bool_or(is_modifier) OVER (PARTITION BY item) AS modifier_flag FROM drinks) WHERE rn = 1""",
+    "beverage_features": """SELECT 'beverage_share' AS feature, branch, round(CAST(sum(CASE WHEN category LIKE 'coffee%' THEN CAST(amount AS DECIMAL(18,2)) END) AS DOUBLE) /
+            CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE), 4) AS value FROM drinks WHERE NOT is_modifier GROUP BY branch
+        UNION ALL SELECT 'opportunity ' || (category NOT LIKE 'coffee%'), branch, CAST(count(*) AS DOUBLE) FROM drinks WHERE NOT is_modifier GROUP BY ALL""",
+    "pairs_output_order": """SELECT item_a, item_b, row_number() OVER (ORDER BY support0 DESC, count_ab DESC, item_a, item_b) - 1 AS position FROM pairs WHERE scope_type = 'overall'
+        QUALIFY position < 20""",
     "reconcile_sources": """SELECT a.branch, a.source AS source_a, b.source AS source_b, 'total_revenue' AS metric, round(a.v, 2) AS value_a, round(b.v, 2) AS value_b,
         round(abs(a.v - b.v) / greatest(a.v, 1), 4) AS variance_pct, abs(a.v - b.v) / greatest(a.v, 1) <= 0.10 AS is_within_tolerance,
         CASE WHEN a.i = 1 AND b.i = 2 THEN 'monthly_sales is revenue truth; avg_sales is channel aggregate'
