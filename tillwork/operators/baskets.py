@@ -88,6 +88,7 @@ def pairs_of_baskets(presence: DataFrame, basket: Sequence[str], keep: Sequence[
     """Every pair item_a < item_b of each basket once: basket key, ``keep`` columns, item_a, item_b.
 
     ``presence`` has a row (basket key, ``keep``, n_items, item) per basket and distinct item; n_items is at least their number.
+    The join is never a broadcast: stored baskets are far smaller than the rows they unfold to, so their size says nothing.
     """
     chunks = F.ceil(F.col("n_items") / chunk).cast("int")
     placed = presence.withColumn("_k", chunks).withColumn("_c", F.pmod(F.xxhash64("item"), F.col("_k")).cast("int"))
@@ -96,7 +97,7 @@ def pairs_of_baskets(presence: DataFrame, basket: Sequence[str], keep: Sequence[
     right = placed.select(*basket, F.col("item").alias("_y"), F.col("_c").alias("_q"),
                           F.explode(F.sequence(F.lit(0), "_c")).alias("_p"))
     once = (F.col("_p") < F.col("_q")) | (F.col("_x") < F.col("_y"))
-    return (left.join(right, [*basket, "_p", "_q"]).where(once)
+    return (left.join(right.hint("merge"), [*basket, "_p", "_q"]).where(once)
             .select(*basket, *keep, F.least("_x", "_y").alias("item_a"), F.greatest("_x", "_y").alias("item_b")))
 
 

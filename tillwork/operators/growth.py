@@ -54,27 +54,29 @@ def _target_pairs(baskets: DataFrame, target) -> DataFrame:
     return foods.select("branch", "item_a", F.explode("drink").alias("item_b"))
 
 
-def pair_rules(baskets: DataFrame, target, top_k: int | None = 10, least: int = 1) -> DataFrame:
+def pair_rules(baskets: DataFrame, target, top_k: int | None = 10, least: int = 1, but: DataFrame | None = None) -> DataFrame:
     """Rules (other item -> target item) per branch and for all: support, confidence, lift, best ``top_k`` by lift.
 
-    Counts are taken once per branch and rolled up with GROUPING SETS; ``is_total`` marks the all-branch rules, so a
-    branch may itself be called ALL. Pairs in fewer than ``least`` baskets give no rule. ``baskets``: branch, items_list
-    of normalised names; read several times.
+    Counts are taken once per branch, written and rolled up; ``is_total`` marks the all-branch rules, so a branch may itself
+    be called ALL. Pairs in fewer than ``least`` baskets give no rule, nor do the groups (branch, is_total) of ``but``.
+    ``baskets``: branch, items_list of normalised names; read several times.
     """
     items = baskets.select("branch", F.explode(F.array_distinct("items_list")).alias("item"))
     facts = (baskets.select("branch", F.lit("").alias("item_a"), F.lit("").alias("item_b"), F.lit(0).alias("kind"))
              .unionByName(items.select("branch", F.coalesce("item", F.lit("")).alias("item_a"), F.lit("").alias("item_b"),
                                        F.lit(1).alias("kind")))
              .unionByName(_target_pairs(baskets, target).withColumn("kind", F.lit(2))))
-    fine = facts.groupBy("branch", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
-    rolled = (fine.withColumnRenamed("branch", "_branch")
-              .groupingSets([["_branch", "item_a", "item_b"], ["item_a", "item_b"]], "_branch", "item_a", "item_b")
-              .agg(F.sum("n").alias("n"), F.max("kind").alias("kind"), (F.grouping("_branch") == 1).alias("is_total")))
-    counts = rolled.select(F.coalesce("_branch", F.lit("ALL")).alias("branch"), "is_total", "item_a", "item_b", "n", "kind")
+    fine = stage(facts.groupBy("branch", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")), "rule_counts")
+    total = fine.groupBy("item_a", "item_b").agg(F.sum("n").alias("n"), F.max("kind").alias("kind"))
+    names = ["branch", "is_total", "item_a", "item_b", "n", "kind"]
+    counts = (fine.withColumns({"branch": F.coalesce("branch", F.lit("ALL")), "is_total": F.lit(False)}).select(*names)
+              .unionByName(total.withColumns({"branch": F.lit("ALL"), "is_total": F.lit(True)}).select(*names)))
     key = ["branch", "is_total"]
     one = counts.where("kind = 1")
-    rows = (counts.where((F.col("kind") == 2) & (F.col("n") >= least)).select(*key, "item_a", "item_b", F.col("n").alias("ab"))
-            .join(counts.where("kind = 0").select(*key, F.col("n").alias("baskets")), key)
+    pairs = counts.where((F.col("kind") == 2) & (F.col("n") >= least)).select(*key, "item_a", "item_b", F.col("n").alias("ab"))
+    if but is not None:
+        pairs = pairs.join(but.select(*key).distinct(), key, "left_anti")
+    rows = (pairs.join(counts.where("kind = 0").select(*key, F.col("n").alias("baskets")), key)
             .join(one.select(*key, "item_a", F.col("n").alias("a")), [*key, "item_a"])
             .join(one.select(*key, F.col("item_a").alias("item_b"), F.col("n").alias("b")), [*key, "item_b"]))
     return _rule_metrics(rows, top_k)
@@ -91,43 +93,72 @@ def _rule_metrics(rows: DataFrame, top_k: int | None) -> DataFrame:
     return top_per_group(result, ["branch", "is_total"], order, top_k, out=None)
 
 
-def frequent_sets(baskets: DataFrame, min_support: float, least_baskets: int = 5) -> DataFrame:
+def frequent_sets(baskets: DataFrame, min_support: float, least_baskets: int = 5, most: int = 16) -> DataFrame:
     """Item sets in at least ``min_support`` of the baskets, per branch and for all: branch, is_total, items (sorted), n, baskets.
 
     Levels of growing size: a set of k items joins two frequent sets that share its first k - 1 and k - 2 items, is pruned unless all its
-    parts of k - 1 items are frequent, and is counted over the baskets that hold both. Occurrences are rows keyed by (branch, basket,
-    prefix), so neither item lists nor candidates sit on the driver and the pairs of one basket are spread (see ``pairs_of_baskets``);
-    every level is written. Branches with fewer than ``least_baskets`` baskets have none. ``baskets``: branch, items_list.
+    parts of k - 1 items are frequent, and is counted over the baskets that hold both. Occurrences are rows, once for their branch and for
+    all, so neither item lists nor candidates sit on the driver; every level is written. An occurrence in a basket of up to ``most`` items
+    carries the basket's later items, by which it grows where it lies; larger baskets are spread: their pairs by ``pairs_of_baskets``, longer
+    sets by (basket, prefix). ``most`` changes no result. Branches with fewer than ``least_baskets`` baskets have none. ``baskets``: branch, items_list.
     """
     group = F.explode(F.array(F.struct("branch", F.lit(False).alias("is_total")), F.struct(F.lit("ALL").alias("branch"), F.lit(True).alias("is_total")))).alias("g")
-    sized = (baskets.select(group).groupBy("g.branch", "g.is_total").agg(F.count(F.lit(1)).alias("baskets"))
-             .where(F.col("baskets") >= least_baskets))
+    sized = stage(baskets.select(group).groupBy("g.branch", "g.is_total").agg(F.count(F.lit(1)).alias("baskets"))
+                  .where(F.col("baskets") >= least_baskets), "set_sizes")
     key = ["branch", "is_total"]
-    numbered = stage(baskets.select("branch", F.array_compact(F.array_distinct("items_list")).alias("items"))
+    numbered = stage(baskets.select("branch", F.array_sort(F.array_compact(F.array_distinct("items_list"))).alias("items"))
                      .withColumn("basket", F.monotonically_increasing_id()), "set_baskets")
-    every = numbered.select(group, "basket", F.size("items").alias("n_items"), F.explode("items").alias("item")).select("g.*", "basket", "n_items", "item")
 
     def frequent(occurrences: DataFrame) -> DataFrame:
-        counts = occurrences.groupBy(*key, "items").agg(F.count(F.lit(1)).alias("n")).join(sized, key)
-        return stage(counts.where(F.col("n").cast("double") / F.col("baskets") >= min_support), "frequent_sets")
-
-    found = frequent(every.withColumn("items", F.array("item")))
-    single = found.select(*key, F.get("items", F.lit(0)).alias("item"))
-    present = every.join(single, [*key, "item"], "left_semi")
-    pairs = pairs_of_baskets(present, [*key, "basket"]).select(*key, "basket", F.array("item_a", "item_b").alias("items"))
+        own = occurrences.groupBy("branch", "items").agg(F.count(F.lit(1)).alias("n"))
+        total = own.groupBy("items").agg(F.sum("n").alias("n"))
+        counts = own.withColumn("is_total", F.lit(False)).unionByName(total.select(F.lit("ALL").alias("branch"), "items", "n", F.lit(True).alias("is_total")))
+        return stage(counts.join(sized, key).where(F.col("n").cast("double") / F.col("baskets") >= min_support).select(*key, "items", "n", "baskets"), "frequent_sets")
+
+    def of_either(occurrences: DataFrame, sets: DataFrame, of: Column | None = None) -> DataFrame:
+        """Occurrences whose set is among ``sets`` for their branch or for all."""
+        of = F.col("items") if of is None else of
+        marks = [sets.where(~F.col("is_total")).select(F.col("branch").alias("_b"), F.col("items").alias("_s"), F.lit(True).alias("_own")),
+                 sets.where("is_total").select(F.col("items").alias("_t"), F.lit(True).alias("_all"))]
+        marked = (occurrences.join(marks[0], (F.col("branch") == F.col("_b")) & (of == F.col("_s")), "left")
+                  .join(marks[1], of == F.col("_t"), "left"))
+        return marked.where("_own OR _all").select(*occurrences.columns)
+
+    def grown(rows: DataFrame) -> DataFrame:
+        """Each occurrence (branch, items, tail) with each item of its tail; the tail of the new one is what follows."""
+        after = F.slice("tail", F.col("_i") + 2, F.size("tail"))
+        return (rows.select("branch", "items", "tail", F.posexplode("tail").alias("_i", "_x"))
+                .select("branch", F.lit(None).cast("long").alias("basket"), F.concat("items", F.array("_x")).alias("items"), after.alias("tail")))
+
+    none = F.lit(None).cast("array<string>").alias("tail")
+    every = numbered.select("branch", "basket", F.size("items").alias("n_items"), F.explode("items").alias("item"))
+    found = frequent(every.select("branch", F.array("item").alias("items")))
+    small = grown(numbered.where(F.size("items") <= most).select("branch", none.alias("items"), F.col("items").alias("tail"))
+                  .withColumn("items", F.array().cast("array<string>")))
+    small = of_either(grown(of_either(small, found).where(F.size("tail") > 0)), found.select(*key, "items"), F.slice("items", 2, 1))
+    large = of_either(every.where(F.col("n_items") > most), found, F.array("item"))
+    large = pairs_of_baskets(large, ["basket"], ["branch"]).select("branch", "basket", F.array("item_a", "item_b").alias("items"), none)
+    pairs = small.unionByName(large)
     levels, held, k = [found], stage(pairs, "set_occurrences"), 2
     while True:
         found = frequent(held)
         if found.isEmpty():
             return reduce(DataFrame.unionByName, levels)
         levels.append(found)
-        kept = held.join(found.select(*key, "items"), [*key, "items"], "left_semi")
+        kept = of_either(held, found)
         k += 1
-        candidates = _candidates(found.select(*key, "items"), key, k)
-        split = kept.select(*key, "basket", F.slice("items", 1, k - 2).alias("prefix"), F.get("items", F.lit(k - 2)).alias("item"))
-        longer = (split.join(split.withColumnRenamed("item", "_next"), [*key, "basket", "prefix"]).where(F.col("item") < F.col("_next"))
-                  .select(*key, "basket", F.concat("prefix", F.array("item", "_next")).alias("items")))
-        held = stage(longer.join(candidates, [*key, "items"], "left_semi"), "set_occurrences")
+        candidates = stage(_candidates(found.select(*key, "items"), key, k), "set_candidates")
+        longer = grown(kept.where(F.size("tail") > 0)).unionByName(_longer(kept.where(F.col("tail").isNull()), k))
+        held = stage(of_either(longer, candidates), "set_occurrences")
+
+
+def _longer(kept: DataFrame, k: int) -> DataFrame:
+    """Sets of k items from occurrences (branch, basket, items, tail) of k - 1 that share basket and prefix."""
+    lists = kept.groupBy("branch", "basket", F.slice("items", 1, k - 2).alias("prefix")).agg(
+        F.array_sort(F.collect_list(F.get("items", F.lit(k - 2)))).alias("last")).where(F.size("last") > 1)
+    first = lists.select("branch", "basket", "prefix", "last", F.posexplode("last").alias("_i", "item"))
+    pairs = first.select("branch", "basket", "prefix", "item", F.explode(F.slice("last", F.col("_i") + 2, F.size("last"))).alias("_next"))
+    return pairs.select("branch", "basket", F.concat("prefix", F.array("item", "_next")).alias("items"), F.lit(None).cast("array<string>").alias("tail"))
 
 
 def _candidates(found: DataFrame, key: Sequence[str], k: int) -> DataFrame:
@@ -178,9 +209,8 @@ def association_rules(baskets: DataFrame, target, method: str = "pairs", min_sup
         return pair_rules(baskets, target, top_k)
     if method != "sets":
         raise ValueError(f"method must be 'pairs' or 'sets', got '{method}'")
-    mined = set_rules(baskets, target, min_support, min_confidence, top_k)
-    rest = pair_rules(baskets, target, top_k).join(mined.select("branch", "is_total").distinct(), ["branch", "is_total"], "left_anti")
-    return mined.unionByName(rest)
+    mined = stage(set_rules(baskets, target, min_support, min_confidence, top_k), "mined_rules")
+    return mined.unionByName(pair_rules(baskets, target, top_k, but=mined))
 
 
 def growth_potential(kpis: DataFrame, rule_table: DataFrame, weights: Mapping[str, float] | None = None,
