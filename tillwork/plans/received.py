@@ -16,8 +16,7 @@ from . import filed, oracle, star
 
 def _put(rows: DataFrame, folder: str) -> None:
     """Rows (file int, at, line) as one text file per file number below ``folder``."""
-    count = max(1, rows.select("file").distinct().count())
-    rows.repartition(count, "file").sortWithinPartitions("file", "at").select("file", "line").write.mode("append").partitionBy("file").text(folder)
+    rows.repartition("file").sortWithinPartitions("file", "at").select("file", "line").write.mode("append").partitionBy("file").text(folder)
 
 
 def _months(spark: SparkSession, d: str) -> DataFrame:
@@ -107,13 +106,13 @@ def report_routing(spark, d):
 
 
 def _titled(rows: DataFrame, title: str) -> DataFrame:
-    first = rows.groupBy("file").agg(F.min("at").alias("at"))
+    first = rows.select("file").distinct()
     smallest = F.struct(*[F.lit(-(1 << 62)).alias(f.name) for f in rows.schema["at"].dataType.fields])
     return rows.unionByName(first.select("file", smallest.alias("at"), F.lit(title).alias("line")))
 
 
 def _named_file(rows: DataFrame, folder: str, name: str) -> None:
-    """Rows (file, at, line) as one file of that name; a source read by name is one file, written by one task."""
+    """Rows (file, at, line), a few per month, as one file of that name, written by one task."""
     spark = rows.sparkSession
     rows.repartition(1).sortWithinPartitions("file", "at").select("line").write.text(f"{folder}/.{name}")
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -122,6 +121,11 @@ def _named_file(rows: DataFrame, folder: str, name: str) -> None:
     fs.rename(part, path(f"{folder}/{name}"))
 
 
+def _named_parts(rows: DataFrame, folder: str, name: str) -> None:
+    """Rows (file, at, line) as a folder of that name whose parts hold them in order; any number of tasks write it."""
+    rows.repartitionByRange("file", "at").sortWithinPartitions("file", "at").select("line").write.text(f"{folder}/{name}")
+
+
 NAMES = [(b.lower(), b) for b in sorted(star.ZONES)] + [(f"store {i}", f"store_{i}") for i in range(5)]
 
 
@@ -132,8 +136,8 @@ def named_sources(spark, d):
     _named_file(_month_rows(months), folder, "REP_S_00334_1_SMRY.csv")  # before the next one by name
     _named_file(_month_rows(months.where("year = 1995")), folder, "monthly_sales_by_branch.csv")
     _named_file(filed.tax_rows(spark, d), folder, "tax_summary_by_branch.csv")
-    _named_file(filed.hours_rows(spark, d), folder, "Time_And_Attendance_Logs.csv")
-    _named_file(filed.delivery_rows(spark, d), folder, "sales_by_customer_detail_delivery.csv")
+    _named_parts(filed.hours_rows(spark, d), folder, "Time_And_Attendance_Logs.csv")
+    _named_parts(filed.delivery_rows(spark, d), folder, "sales_by_customer_detail_delivery.csv")
     _named_file(filed.menu_rows(spark, d), folder, "menu.csv")
     got = R.load_named_sources(spark, folder, NAMES)
     value = {"monthly_sales": "revenue", "tax_summary": "total_tax", "attendance": "duration_hours", "delivery_detail": "price", "customer_orders": "total"}

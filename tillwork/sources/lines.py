@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions import rules
 from ..functions.scalar import strip
+from ..session import stage
 
 PLACE = ["path", "block", "pos"]
 _BLOCK = ["path", "block"]
@@ -36,11 +37,26 @@ def read_lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*.cs
     return decode(place(scan(spark.read, path, glob)))
 
 
+def folders(spark: SparkSession, path: str) -> dict[str, str]:
+    """Path by name of the folders in a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {s.getPath().getName(): s.getPath().toString() for s in fs.listStatus(at) if s.isDirectory()}
+
+
+def scan_parts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Raw rows of a folder as Spark writes one (``part-<number>...``), as those of one file of that name with its parts in order."""
+    raw = place(scan(spark.read, folder, "part-*"))
+    part = F.regexp_extract(F.substring_index("path", "/", -1), r"^part-(\d+)", 1).cast("long")
+    return raw.withColumns({"block": F.shiftleft(part, 40) + F.col("block"), "path": F.lit(folder), "file": F.lit(name)})
+
+
 def decode(placed: DataFrame) -> DataFrame:
     """Text of each line: UTF-8 if the whole file is valid UTF-8, else Latin-1. White space at the ends is removed."""
     valid = placed.groupBy("path").agg(F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("_utf8"))
-    text = F.when(F.col("_utf8"), F.decode("bytes", "UTF-8")).otherwise(F.decode("bytes", "ISO-8859-1"))
-    return placed.join(valid, "path").withColumn("line", strip(text)).drop("_utf8")
+    latin = stage(valid.where("NOT _utf8"), "latin_files")  # a row per file, so the join goes by a known size and lines stay where they are
+    text = F.when(F.col("_utf8").isNull(), F.decode("bytes", "UTF-8")).otherwise(F.decode("bytes", "ISO-8859-1"))
+    return placed.join(latin, "path", "left").withColumn("line", strip(text)).drop("_utf8")
 
 
 def list_files(spark: SparkSession, path: str | Sequence[str], glob: str = "*.csv") -> DataFrame:
@@ -54,7 +70,7 @@ def number_lines(placed: DataFrame) -> DataFrame:
     """Add ``line_no``, the place of each line in its file from 0, whatever blocks the file was read in."""
     blocks = placed.groupBy(*_BLOCK).agg(F.min("pos").alias("_p0"), F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    starts = blocks.select(*_BLOCK, "_p0", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    starts = stage(blocks.select(*_BLOCK, "_p0", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")), "block_starts")
     return placed.join(starts, _BLOCK).withColumn("line_no", F.col("pos") - F.col("_p0") + F.col("_before")).drop("_p0", "_before")
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import rules, scalar as S
 from ..operators import tables as T
+from ..session import stage
 from . import lines as L
 
 
@@ -139,8 +141,11 @@ def transaction_baskets(lines: DataFrame) -> DataFrame:
     branch = first.rlike(branch_prefix + ".+")
     person = first.rlike(f"^{rules.PERSON}") & ~branch & ~F.col("is_total")
     name = F.regexp_replace(_after(first, branch_prefix), ",+$", "")
+    # Only the line moves to its block; its cells are taken again from what is left behind the headers.
+    df = df.select(*L.PLACE, "file", "line", "is_total", "c0")
     df = L.carry(df, {"branch": (branch, name), "customer": (person, first)}, counts={"basket_id": person})
-    rows = df.where(~branch & ~person & ~F.col("is_total") & F.col("branch").isNotNull() & F.col("customer").isNotNull()
+    df = L.split_cells(df.where(~branch & ~person & ~F.col("is_total") & F.col("c0").isNull()))
+    rows = df.where(F.col("branch").isNotNull() & F.col("customer").isNotNull()
                     & F.col("c0").isNull() & (F.col("n_cells") >= 4) & F.col("c2").isNotNull())
     return rows.select(*L.PLACE, "file", "basket_id", "branch", "customer", F.col("c2").alias("item"),
                        S.parse_number(F.col("c1")).alias("qty"),
@@ -315,15 +320,21 @@ def clean_tables(parsed: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def load_named_sources(spark: SparkSession, path: str, names: Sequence[tuple[str, str]], files: Mapping[str, str] = rules.SOURCE_FILES) -> dict[str, DataFrame]:
-    """Sources recognised by file name, the first file by name for each source; absent sources are absent from the dict."""
-    lines = L.read_lines(spark, path)
+    """Sources recognised by file name, the first file by name for each source; absent sources are absent from the dict.
+
+    A folder of parts, as Spark writes one, counts as one file of its name; large sources are written and read that way.
+    """
+    raw = L.scan(spark.read, path)
+    parts = {p: L.scan_parts(spark, p, name) for name, p in L.folders(spark, path).items() if name.lower() in files}
+    names_of = [df.select("path", "file").distinct() for df in (raw, *parts.values())]
     key = S.lookup(F.lower("file"), files)
-    chosen = (lines.select("path", "file", key.alias("source")).where(F.col("source").isNotNull()).distinct()
+    chosen = (reduce(DataFrame.unionByName, names_of).withColumn("source", key).where(F.col("source").isNotNull())
               .groupBy("source").agg(F.min_by("path", F.struct("file", "path")).alias("path")))
     found = {r.source: r.path for r in chosen.collect()}  # at most one row per known source
 
     def of(source: str) -> DataFrame:
-        return lines.where(F.col("path") == found[source])
+        at = found[source]
+        return stage(L.decode(parts[at] if at in parts else L.place(raw.where(F.col("path") == at))).drop("bytes"), source)
 
     def branch_of(df: DataFrame) -> DataFrame:
         return _canonical(df.withColumnRenamed("branch", "branch_raw"), names)
