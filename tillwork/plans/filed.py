@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -25,13 +26,35 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 # ---------------------------------------------------------------- report files
 
-def _written(spark: SparkSession, rows: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """Write rows (file int, at struct, line) as one text file per file number and read them back as placed lines."""
+BLOCK = 16 << 20  # most bytes of a file in one block, so that what a task holds of a file is bounded
+
+
+@contextmanager
+def _block_bytes(spark: SparkSession, most: int):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def _written(spark: SparkSession, rows: DataFrame, name: str, files: int | None = None, least: int = BLOCK) -> DataFrame:
+    """Write rows (file int, at struct, line) as one text file per file number and read them back as placed lines.
+
+    Blocks hold ``BLOCK`` bytes. A smaller ``least`` cuts every longer file into several blocks of that many bytes or more.
+    """
     path = _folder(spark, name)
     count = files or rows.select("file").distinct().count()
     (rows.repartition(count, "file").sortWithinPartitions("file", "at").select("file", "line")
      .write.partitionBy("file").text(path))
-    return stage(L.read_lines(spark, f"{path}/*", glob="*.txt"), name)
+    size = BLOCK
+    if least < BLOCK:
+        files_of = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/*.txt")
+        sizes = [s.getLen() for s in files_of.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files_of)]
+        size = min(BLOCK, max(least, min([n for n in sizes if n > least], default=least) // 8))
+    with _block_bytes(spark, size):
+        return stage(L.read_lines(spark, f"{path}/*", glob="*.txt"), name)
 
 
 def _lines(*pairs) -> F.Column:
@@ -109,14 +132,14 @@ def report_menu(spark, d):
     return got.withColumn("avg_per_customer", S.round_to("avg_per_customer", 2))
 
 
-def delivery_rows(spark, d):
-    """Order lines as a delivery-detail report, one file per 64th of the orders; returns are written as negative quantities."""
+def delivery_rows(spark, d, files: int = 64):
+    """Order lines as a delivery-detail report in ``files`` files, dealt by order; returns are written as negative quantities."""
     items = star.table(spark, d, "part").select("p_partkey", "p_name")
     heads = star.orders(spark, d).select("o_orderkey", "branch")
     key = F.col("o_orderkey")
     body = (star.table(spark, d, "lineitem").join(items, F.expr("l_partkey = p_partkey")).select(
         F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("q"), "p_name", "l_extendedprice"))
-    file = (key % 64).cast("int").alias("file")
+    file = (key % files).cast("int").alias("file")
     body = body.select(file, _at(key, 2, F.col("l_linenumber")).alias("at"), F.format_string(',%.0f,%s,"%,.2f",', "q", "p_name", "l_extendedprice").alias("line"))
     head = heads.select(file, _lines((_at(key, 0, 0), F.concat(F.lit("Branch :"), F.col("branch"), F.lit(",,,"))), (_at(key, 1, 0), F.format_string("Person_%d,,,", key)),
                                      (_at(key, 3, 0), F.lit("Total :,,,"))))
@@ -125,7 +148,8 @@ def delivery_rows(spark, d):
 
 def report_delivery_detail(spark, d):
     """Delivered lines of the report, per customer."""
-    rows = R.delivery_detail(_written(spark, delivery_rows(spark, d), "delivery_report", 64))
+    files = max(64, star.table(spark, d, "lineitem").count() // 250_000)  # a file is sorted by one task
+    rows = R.delivery_detail(_written(spark, delivery_rows(spark, d, files), "delivery_report", files))
     return rows.groupBy("branch", "customer").agg(F.count(F.lit(1)).alias("n"), F.sum(S.money(F.col("price"))).cast("double").alias("price"), F.sum("qty").alias("qty"))
 
 
@@ -160,13 +184,7 @@ def file_lines(spark, d):
     rows = rows.unionByName(first)
     latin = F.encode(F.regexp_replace("line", "[^\\x00-\\xFF]", "?"), "ISO-8859-1").cast("string")
     rows = rows.withColumn("line", F.when(F.col("file") % 2 == 1, latin).otherwise(F.col("line")))
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
-    try:
-        placed = _written(spark, rows, "document_files", 32)
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    got = L.number_lines(placed)
+    got = L.number_lines(_written(spark, rows, "document_files", 32, least=16 << 10))
     return got.groupBy(F.regexp_extract("path", r"file=(\d+)", 1).cast("int").alias("file")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.max("line_no").alias("last_line"),
         F.sum(F.length(F.regexp_replace("line", "[\\x00-\\x7F]", ""))).alias("n_not_ascii"), (F.count_distinct("block") > 1).alias("several_blocks"))
@@ -290,7 +308,9 @@ def lookup_overview(spark, d):
 
 
 def lookup_page(spark, d):
-    root = _run(spark, branch_beverage_kpis=catalog.attach_kpis(spark, d), branch_growth_potential=catalog.growth_potential(spark, d), assoc_rules_by_branch=catalog.assoc_rules_top(spark, d))
+    baskets = catalog._growth_baskets(spark, d)
+    root = _run(spark, branch_beverage_kpis=catalog.attach_kpis(spark, d, baskets), branch_growth_potential=catalog.growth_potential(spark, d, baskets),
+                assoc_rules_by_branch=catalog.assoc_rules_top(spark, d, baskets))
     rows = lookups.run(spark, root, "page", feature="growth", branch="ASIA")
     return rows.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last"), F.max(F.get_json_object("body", "$.branch")).alias("branch"))
 
