@@ -247,8 +247,8 @@ def _growth_baskets(spark, d):
     return stage(B.order_baskets(star.lines(spark, d)).select("branch", F.col("items_set").alias("items_list")), "growth_baskets")
 
 
-def attach_kpis(spark, d):
-    return G.attach_kpis(_growth_baskets(spark, d), is_target)
+def attach_kpis(spark, d, baskets=None):
+    return G.attach_kpis(baskets or _growth_baskets(spark, d), is_target)
 
 
 def attach_revenue_share(spark, d):
@@ -266,8 +266,8 @@ def assoc_rules_pairs(spark, d):
     return G.pair_rules(_growth_baskets(spark, d), is_target, None, least=3)
 
 
-def assoc_rules_top(spark, d):
-    return G.association_rules(_growth_baskets(spark, d), is_target, "pairs", top_k=10)
+def assoc_rules_top(spark, d, baskets=None):
+    return G.association_rules(baskets or _growth_baskets(spark, d), is_target, "pairs", top_k=10)
 
 
 def assoc_rules_fpgrowth(spark, d):
@@ -294,14 +294,14 @@ def assoc_rules_choice(spark, d):
     return _rounded(rules_, 6, "support", "confidence", "lift")
 
 
-def _potential(spark, d):
-    baskets = _growth_baskets(spark, d)
+def _potential(spark, d, baskets=None):
+    baskets = baskets or _growth_baskets(spark, d)
     kpis = G.merge_kpis(G.attach_kpis(baskets, is_target), G.revenue_share(_growth_items(spark, d)))
     return G.growth_potential(stage(kpis, "growth_kpis"), stage(G.pair_rules(baskets, is_target, 10), "growth_rules"))
 
 
-def growth_potential(spark, d):
-    return _rounded(_potential(spark, d), 6, "low_attachment_score", "order_volume_score", "avg_lift", "assoc_lift_score")
+def growth_potential(spark, d, baskets=None):
+    return _rounded(_potential(spark, d, baskets), 6, "low_attachment_score", "order_volume_score", "avg_lift", "assoc_lift_score")
 
 
 def growth_actions(spark, d):
