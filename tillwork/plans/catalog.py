@@ -481,17 +481,32 @@ def report_roundtrip(spark, d):
     return R.monthly_sales(stage(_monthly_report(spark, d), "monthly_report"))
 
 
+def _whole_text(x: Column) -> Column:
+    """As ``%.0f``; by the slow formatter only where a long does not print the same (null, not finite, huge, or a signed zero)."""
+    return F.when(F.abs(x).between(0.5, 1e15), F.round(x, 0).cast("long").cast("string")).otherwise(F.format_string("%.0f", x))
+
+
+def _money_text(x: Column) -> Column:
+    """As ``%,.2f``; by the slow formatter only outside 0 to a million, or where null."""
+    cents = (x.cast("decimal(18,2)") * 100).cast("long")
+    whole = F.floor(cents / 100).cast("long")
+    tail = F.concat(F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    small = F.concat(whole.cast("string"), tail)
+    large = F.concat(F.floor(whole / 1000).cast("string"), F.lit(","), F.lpad((whole % 1000).cast("string"), 3, "0"), tail)
+    return F.when(x.between(0.01, 999), small).when(x.between(1000, 999_999), large).otherwise(F.format_string("%,.2f", x))
+
+
 def _detail_report(spark, d):
     """Order lines as an order-detail report: one person block per order, a branch header on every order."""
     items = star.table(spark, d, "part").select("p_partkey", "p_name")
     detail = star.table(spark, d, "lineitem").join(items, F.expr("l_partkey = p_partkey")).withColumnRenamed("l_orderkey", "o_orderkey")
-    price = F.when(F.col("l_linenumber") == 7, F.lit("0.00")).otherwise(F.format_string('"%,.2f"', "l_extendedprice"))
+    price = F.when(F.col("l_linenumber") == 7, F.lit("0.00")).otherwise(F.concat(F.lit('"'), _money_text(F.col("l_extendedprice")), F.lit('"')))
     qty = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
     body = detail.select("o_orderkey", F.lit(3).alias("kind"), F.col("l_linenumber").alias("n"),
-                         F.format_string(",%.0f,%s,%s,", qty, "p_name", price).alias("line"))
+                         F.concat(F.lit(","), _whole_text(qty), F.lit(","), F.coalesce("p_name", F.lit("null")), F.lit(","), price, F.lit(",")).alias("line"))
     head = star.orders(spark, d).select("o_orderkey", F.inline(F.array(
         F.struct(F.lit(1).alias("kind"), F.concat(F.lit("Branch :"), F.col("branch"), F.lit(",,,,")).alias("line")),
-        F.struct(F.lit(2).alias("kind"), F.format_string("Person_%d,,,,", "o_orderkey").alias("line")),
+        F.struct(F.lit(2).alias("kind"), F.concat(F.lit("Person_"), F.coalesce(F.col("o_orderkey").cast("string"), F.lit("null")), F.lit(",,,,")).alias("line")),
         F.struct(F.lit(4).alias("kind"), F.lit("Total :,,,,").alias("line"))))).select(
         "o_orderkey", "kind", F.lit(0).alias("n"), "line")
     rows = body.unionByName(head)

@@ -166,6 +166,8 @@ def classify(lines: DataFrame, footer: str = rules.FOOTER) -> DataFrame:
 
 
 N_NAMED = 4
+# A quoted cell: quotes inside are doubled. Written without a choice per character, which is slow and deep on long cells.
+QUOTED = r'"[^"]*(?:""[^"]*)*"'
 
 
 def split_cells(lines: DataFrame) -> DataFrame:
@@ -175,15 +177,20 @@ def split_cells(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     # Each cell is taken with the comma before it, so no match is empty.
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"(?=,|$)|[^,]*)'), 1)
-    plain = F.transform(raw, lambda x: F.when(x.rlike('^".*"$') & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
-    cells = F.transform(plain, lambda x: F.nullif(strip(x), F.lit("")))
-    unquoted = F.when(line.contains('"'), F.regexp_replace(line, r'"(?:[^"]|"")*"', "")).otherwise(line)
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(rf",({QUOTED}(?=,|$)|[^,]*)"), 1)
+
+    def clean(x: Column) -> Column:
+        quoted = x.startswith('"') & x.rlike('^".*"$') & (F.length(x) > 1)
+        return F.nullif(strip(F.when(quoted, F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)), F.lit(""))
+
+    unquoted = F.when(line.contains('"'), F.regexp_replace(line, QUOTED, "")).otherwise(line)
     commas = F.length(unquoted) - F.length(F.translate(unquoted, ",", "")) + 1
-    # An unquoted first cell ends at the first comma: header tests need no CSV parsing.
-    first = F.when(line.startswith('"'), F.get("cells", F.lit(0))).otherwise(F.substring_index(line, ",", 1))
-    return (lines.withColumns({"cells": cells, "n_cells": commas})
-            .withColumns({"c0": F.nullif(strip(first), F.lit("")), **{f"c{i}": F.get("cells", F.lit(i)) for i in range(1, N_NAMED)}}))
+    # An unquoted first cell ends at the first comma: header tests need no CSV parsing. Named cells are taken one by one, so that
+    # a reader of these alone does not make the array.
+    first = F.when(line.startswith('"'), clean(F.get("_raw", F.lit(0)))).otherwise(F.nullif(strip(F.substring_index(line, ",", 1)), F.lit("")))
+    return (lines.withColumn("_raw", raw)
+            .withColumns({"cells": F.transform("_raw", clean), "n_cells": commas, "c0": first, **{f"c{i}": clean(F.get("_raw", F.lit(i))) for i in range(1, N_NAMED)}})
+            .drop("_raw"))
 
 
 def is_label() -> Column:

@@ -141,15 +141,16 @@ def transaction_baskets(lines: DataFrame) -> DataFrame:
     branch = first.rlike(branch_prefix + ".+")
     person = first.rlike(f"^{rules.PERSON}") & ~branch & ~F.col("is_total")
     name = F.regexp_replace(_after(first, branch_prefix), ",+$", "")
-    # Only the line moves to its block; its cells are taken again from what is left behind the headers.
-    df = df.select(*L.PLACE, "file", "line", "is_total", "c0")
+    # Lines are stored once classified, as carrying reads them twice; only the line moves to its block, its cells are taken behind the headers.
+    df = stage(df.select(*L.PLACE, "file", "line", "is_total", "c0"), "detail_lines")
     df = L.carry(df, {"branch": (branch, name), "customer": (person, first)}, counts={"basket_id": person})
-    df = L.split_cells(df.where(~branch & ~person & ~F.col("is_total") & F.col("c0").isNull()))
-    rows = df.where(F.col("branch").isNotNull() & F.col("customer").isNotNull()
-                    & F.col("c0").isNull() & (F.col("n_cells") >= 4) & F.col("c2").isNotNull())
-    return rows.select(*L.PLACE, "file", "basket_id", "branch", "customer", F.col("c2").alias("item"),
-                       S.parse_number(F.col("c1")).alias("qty"),
-                       F.coalesce(S.parse_number(F.col("c3")), F.lit(0.0)).alias("price")).where(F.col("qty").isNotNull())
+    df = df.where(~branch & ~person & ~F.col("is_total") & F.col("c0").isNull() & F.col("branch").isNotNull() & F.col("customer").isNotNull())
+    # The cells are the output of a generator: a filter on them is not pushed down to take them a second time.
+    cells = F.inline(F.array(F.struct("n_cells", *[F.col(f"c{i}").alias(f"_c{i}") for i in (1, 2, 3)])))
+    rows = L.split_cells(df).select(*L.PLACE, "file", "basket_id", "branch", "customer", cells)
+    rows = rows.where((F.col("n_cells") >= 4) & F.col("_c2").isNotNull())
+    numbers = F.inline(F.array(F.struct(S.parse_number(F.col("_c1")).alias("qty"), F.coalesce(S.parse_number(F.col("_c3")), F.lit(0.0)).alias("price"))))
+    return rows.select(*L.PLACE, "file", "basket_id", "branch", "customer", F.col("_c2").alias("item"), numbers).where(F.col("qty").isNotNull())
 
 
 def attendance(lines: DataFrame) -> DataFrame:
