@@ -77,12 +77,14 @@ def basket_core(audit: DataFrame, order: tuple[str, ...] = ("line_no",)) -> Data
     """
     keys = [c for c in ("file", "basket_id", "branch", "customer") if c in audit.columns]
     listed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), "item")))
+    # Distinct items are counted in the list: a distinct aggregate beside it would group every line twice.
+    distinct = F.array_distinct(F.array_compact("items_list"))
     return (audit.where(~F.col("is_void") & ~F.col("is_modifier")).groupBy(*keys)
             .agg(F.transform(listed, lambda x: x["item"]).alias("items_list"),
-                 F.count_distinct("item").alias("unique_items"),
                  F.sum(F.col("qty").cast("decimal(18,4)")).cast("double").alias("net_qty"),
                  F.sum(F.col("price").cast("decimal(18,4)")).cast("double").alias("net_total"))
-            .where(F.col("net_qty") > 0))
+            .where(F.col("net_qty") > 0)
+            .select(*keys, "items_list", F.size(distinct).cast("long").alias("unique_items"), "net_qty", "net_total"))
 
 
 def carry_last(df: DataFrame, keys: list[str], order: list[str], is_header, value, out: str) -> DataFrame:
