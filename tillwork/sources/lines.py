@@ -185,9 +185,9 @@ def split_cells(lines: DataFrame) -> DataFrame:
 
     unquoted = F.when(line.contains('"'), F.regexp_replace(line, QUOTED, "")).otherwise(line)
     commas = F.length(unquoted) - F.length(F.translate(unquoted, ",", "")) + 1
-    # An unquoted first cell ends at the first comma: header tests need no CSV parsing. Named cells are taken one by one, so that
-    # a reader of these alone does not make the array.
-    first = F.when(line.startswith('"'), clean(F.get("_raw", F.lit(0)))).otherwise(F.nullif(strip(F.substring_index(line, ",", 1)), F.lit("")))
+    # An unquoted first cell ends at the first comma: header tests need no CSV parsing, so c0 does not read _raw. The other named cells
+    # are taken one by one, so that a reader of these alone does not make the array.
+    first = F.when(line.startswith('"'), F.get(F.transform(raw, clean), F.lit(0))).otherwise(F.nullif(strip(F.substring_index(line, ",", 1)), F.lit("")))
     return (lines.withColumn("_raw", raw)
             .withColumns({"cells": F.transform("_raw", clean), "n_cells": commas, "c0": first, **{f"c{i}": clean(F.get("_raw", F.lit(i))) for i in range(1, N_NAMED)}})
             .drop("_raw"))
