@@ -7,9 +7,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from tillwork.llm import words as wd
-from tillwork.llm.suffix_dedup import op3_suffix_dedup, remove_repeated_bytes
+from tillwork.llm.suffix_dedup import anchors, gram_hashes, op3_suffix_dedup, remove_repeated_bytes, starts_of, with_grams
 from tillwork.llm.suffix_sort import common, deep_shallow
-from tillwork.llm.window_dedup import op5_window_dedup, remove_repeated_windows
+from tillwork.llm.window_dedup import is_in, op5_window_dedup, remove_repeated_windows
 
 from conftest import SF
 
@@ -44,6 +44,29 @@ def test_chosen_is_the_leftmost_least():
         assert wd.chosen(h, w).tolist() == [i + int(np.argmin(h[i : i + w])) for i in range(200 - w + 1)]
 
 
+def test_hashes_do_not_depend_on_chunks(monkeypatch):
+    values = np.random.default_rng(2).integers(0, 2**64, 500, np.uint64, endpoint=False)
+    raw = values.view(np.uint8)[:700] % 3
+    whole = wd.mix(values).tolist(), wd.rolling(values, 40).tolist(), wd.chosen(values, 40).tolist(), gram_hashes(raw).tolist()
+    found = np.sort(values[::7])
+    for size in (1, 17, 64):
+        monkeypatch.setattr(wd, "CHUNK", size)
+        assert (wd.mix(values).tolist(), wd.rolling(values, 40).tolist(), wd.chosen(values, 40).tolist(), gram_hashes(raw).tolist()) == whole
+        assert is_in(values, found).tolist() == [i % 7 == 0 for i in range(500)]
+    assert not is_in(values, found[:0]).any()
+
+
+def test_only_texts_with_a_found_gram_are_anchored_again():
+    texts = pa.array(["", brute.prose(1, 60), None, brute.prose(2, 90), "short", brute.prose(3, 90)])
+    raw, offsets, grams, starts, picks = anchors(texts, 90)
+    assert starts.tolist() == [i for a, b in zip(offsets, offsets[1:]) for i in range(a, b - 89)]
+    assert starts_of(offsets, 10**6).tolist() == []
+    of_text = {i: np.unique(grams[picks[(starts >= offsets[i]) & (starts < offsets[i + 1])]]) for i in (1, 3, 5)}
+    for i, own in of_text.items():
+        assert with_grams(texts, own[:1]).to_pylist() == [texts[i].as_py()]
+    assert len(with_grams(texts, np.zeros(0, np.uint64))) == 0
+
+
 def test_deep_shallow_sorts_groups():
     rng = random.Random(5)
     for _ in range(60):
