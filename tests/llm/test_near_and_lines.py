@@ -181,6 +181,41 @@ def test_edit_similarity():
         assert fl.similar(a, b, 80) == (distance(a, b) <= max(len(a), len(b)) * 20 // 100)
 
 
+def test_pairs_side_by_side_are_judged_like_single_ones():
+    rng, one, other = random.Random(8), [], []
+    for _ in range(1500):
+        a = "".join(rng.choice("abc\u00e9 \U0001F600") for _ in range(rng.choice([0, 1, 20, 63, 64, 65, 128, 129, 300, 1100])))
+        rate = rng.choice([0.02, 0.15, 0.2, 0.5])
+        one.append(a)
+        other.append("".join(c if rng.random() > rate else rng.choice(["", "x", "ab"]) for c in a) or rng.choice(["", "q"]))
+    assert fl.similar_pairs(one, other, 80).tolist() == [fl.similar(a, b, 80) for a, b in zip(one, other)]
+    assert fl.similar_pairs([], [], 80).tolist() == []
+
+
+def test_a_pair_is_verified_once_however_many_keys_it_shares(frame, monkeypatch):
+    base, staged, stage = brute.prose(21, 40), {}, fl.tables.stage
+
+    def kept(df, name="stage"):
+        staged[name] = stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(fl.tables, "stage", kept)
+    rows = [(i, base.replace("stone", f"stone{'x' * i}", 1) + "x" * i, "en", "s", 0) for i in range(10)]
+    doomed = fl.fuzzy_lines(frame(rows))
+    pairs = [(r.a, r.b) for r in staged["pairs"].collect()]
+    assert len(pairs) == len({tuple(sorted(p)) for p in pairs}) == 45
+    assert doomed.count() == 10
+
+
+@pytest.mark.parametrize("paired", [0, 1 << 30])
+def test_lines_of_pairs_and_of_leaders_are_the_same(frame, paired, monkeypatch):
+    monkeypatch.setattr(fl, "PAIRED", paired)
+    base = brute.prose(21, 40)
+    rows = [(i, "\n".join([base.replace("stone", f"stone{i}", 1), brute.prose(30 + i, 15)]), "en", "s", 0) for i in range(12)]
+    for most in (2000, 3):
+        same(fl.fuzzy_lines(frame(rows), most=most).collect(), lines_expected(rows))
+
+
 def test_every_line_link_counts_whatever_group_is_largest_on_the_way():
     # Links 0-1, 2-3, 2-4, 1-3: 1 is left out while {0, 1} is largest, 3 and 4 while {2, 3, 4} is.
     rng, same_hash = random.Random(6), lambda n: np.zeros((n, 2), np.uint64)
