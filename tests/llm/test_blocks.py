@@ -71,3 +71,17 @@ def test_lines_at_any_number_of_blocks(frame, rows, block_bytes, monkeypatch):
     got = told(fuzzy_lines.fuzzy_lines(frame(rows)))
     monkeypatch.setattr(tables, "BLOCK_BYTES", 1 << 30)
     assert got == told(fuzzy_lines.fuzzy_lines(frame(rows)))
+
+
+def test_dropped_tables_and_parts_are_gone(spark):
+    import os
+
+    table = tables.stage(spark.range(9).selectExpr("id", "CAST(id % 3 AS INT) AS level"), "levels", "level")
+    files = table.inputFiles()
+    tables.drop(table, part="level=1")
+    left = [f for f in files if os.path.exists(f.split("file:")[-1].replace("///", "/"))]
+    assert {os.path.basename(os.path.dirname(f)) for f in left} == {"level=0", "level=2"}
+    assert sorted(r.id for r in table.where("level = 2").collect()) == [2, 5, 8]
+    tables.drop(table)
+    assert not any(os.path.exists(f.split("file:")[-1].replace("///", "/")) for f in files)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -210,6 +210,7 @@ def test_a_pair_is_verified_once_however_many_keys_it_shares(frame, monkeypatch)
 @pytest.mark.parametrize("paired", [0, 1 << 30])
 def test_lines_of_pairs_and_of_leaders_are_the_same(frame, paired, monkeypatch):
     monkeypatch.setattr(fl, "PAIRED", paired)
+    monkeypatch.setattr(fl, "PER_ROUND", 20)
     base = brute.prose(21, 40)
     rows = [(i, "\n".join([base.replace("stone", f"stone{i}", 1), brute.prose(30 + i, 15)]), "en", "s", 0) for i in range(12)]
     for most in (2000, 3):
