@@ -8,6 +8,7 @@ and carry the state of earlier blocks in from a small per-block summary; no task
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -17,6 +18,22 @@ from ..session import stage
 
 PLACE = ["path", "block", "pos"]
 _BLOCK = ["path", "block"]
+BLOCK = 4 << 20  # most bytes of a block of a named source: the lines of a block are held by one task, in ten times as many bytes
+
+
+@contextmanager
+def block_bytes(spark: SparkSession, most: int = BLOCK):
+    """Files read inside are cut into blocks of at most ``most`` bytes, or fewer where the session says so."""
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(old) <= most:
+        yield
+        return
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
 
 
 def scan(reader, path: str | Sequence[str], glob: str = "*.csv") -> DataFrame:

@@ -188,16 +188,17 @@ def attendance(lines: DataFrame) -> DataFrame:
 
 def attendance_hours(lines: DataFrame, names: Sequence[tuple[str, str]], shortest: float = 0.1) -> DataFrame:
     """branch_raw, branch, emp_id, duration_hours: the duration at the end of a line, clock glitches left out."""
-    df = L.split_cells(L.classify(lines).where(~F.col("is_noise")))
-    df = df.where(~_contains("time & attendance") & ~_contains("punch in") & ~_contains("from date:"))
+    df = L.classify(lines).where(~F.col("is_noise"))
+    df = df.where(~_contains("time & attendance") & ~_contains("punch in") & ~_contains("from date:")).select(*L.PLACE, "line")
     header = F.col("line").rlike(rules.EMPLOYEE) | F.col("line").rlike(rules.EMPLOYEE_NAME)
-    df = L.previous(df, header, "_after")
+    df = L.split_cells(L.previous(df, header, "_after"))  # a task holds the lines of a block, so no cells go along with them
     cells = F.array_compact("cells")
     label = F.get(F.filter(cells, lambda c: c.rlike(r"^[A-Za-z][A-Za-z0-9\s\-'()]+$")), F.lit(0))
     naming = F.coalesce("_after", F.lit(False)) & ~header
-    known = naming & S.canonical_name(label, names).isNotNull()
+    df = df.select(*L.PLACE, "line", "_after", F.when(naming, label).alias("_label"))
+    known = naming & S.canonical_name(F.col("_label"), names).isNotNull()
     emp = F.regexp_extract("line", rules.EMPLOYEE, 1)
-    df = L.carry(df, {"emp_id": (F.col("line").rlike(rules.EMPLOYEE), emp), "branch_raw": (known, label)})
+    df = L.carry(df, {"emp_id": (F.col("line").rlike(rules.EMPLOYEE), emp), "branch_raw": (known, F.col("_label"))})
     hours = S.duration_hours(F.regexp_extract("line", r"(\d{2}[.:]\d{2}[.:]\d{2})\s*$", 1))
     return (df.where(~header & ~naming & F.col("emp_id").isNotNull() & F.col("branch_raw").isNotNull())
             .select("branch_raw", S.canonical_name(F.col("branch_raw"), names).alias("branch"), "emp_id", hours.alias("duration_hours"))
@@ -224,10 +225,13 @@ def delivery_detail(lines: DataFrame, names: Sequence[tuple[str, str]] | None =
     prefix = r"(?i)^Branch\s*[:\s]\s*"
     branch = first.rlike(prefix + ".+")
     person = first.rlike(f"^{rules.PERSON}") & ~branch
-    df = L.carry(df, {"branch_raw": (branch, _after(first, prefix)), "customer": (person, first)}, {"customer": ["branch_raw"]})
-    rows = df.where(F.col("c0").isNull() & F.col("branch_raw").isNotNull() & F.col("customer").isNotNull() & F.col("c2").isNotNull())
-    rows = rows.select("branch_raw", "customer", F.col("c2").alias("item"), S.parse_number(F.col("c1")).alias("qty"),
-                       S.parse_number(F.col("c3")).alias("price")).where((F.col("qty") > 0) & (F.col("price") > 0))
+    # Only the line moves to its block; its cells are taken behind the headers.
+    df = L.carry(df.select(*L.PLACE, "line", "c0"), {"branch_raw": (branch, _after(first, prefix)), "customer": (person, first)}, {"customer": ["branch_raw"]})
+    df = df.where(F.col("c0").isNull() & F.col("branch_raw").isNotNull() & F.col("customer").isNotNull())
+    cells = F.inline(F.array(F.struct(*[F.col(f"c{i}").alias(f"_c{i}") for i in (1, 2, 3)])))
+    rows = L.split_cells(df).select("branch_raw", "customer", cells).where(F.col("_c2").isNotNull())
+    numbers = F.inline(F.array(F.struct(S.parse_number(F.col("_c1")).alias("qty"), S.parse_number(F.col("_c3")).alias("price"))))
+    rows = rows.select("branch_raw", "customer", F.col("_c2").alias("item"), numbers).where((F.col("qty") > 0) & (F.col("price") > 0))
     return _canonical(rows, names)
 
 
@@ -335,7 +339,8 @@ def load_named_sources(spark: SparkSession, path: str, names: Sequence[tuple[str
 
     def of(source: str) -> DataFrame:
         at = found[source]
-        return stage(L.decode(parts[at] if at in parts else L.place(raw.where(F.col("path") == at))).drop("bytes"), source)
+        with L.block_bytes(spark):  # blocks are those of this reading, as the lines are written with them
+            return stage(L.decode(parts[at] if at in parts else L.place(raw.where(F.col("path") == at))).drop("bytes"), source)
 
     def branch_of(df: DataFrame) -> DataFrame:
         return _canonical(df.withColumnRenamed("branch", "branch_raw"), names)
